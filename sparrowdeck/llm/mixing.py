@@ -51,8 +51,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return at.withColumn("final", first["level"]).select("source", "source_size", F.least(F.lit(float(most)) * F.col("source_size"), F.col("final") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
-    """What the mix takes of each document: (doc_id, source, size, source_size, target, taken).
+def mixed(docs: DataFrame, text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
+    """What the mix takes of each row (as struct `row`): doc_id, source, size, source_size, target, taken.
 
     Each source gives whole epochs first; what its target still wants is the fractional part. Documents get exponential
     keys -ln(u) / quality; in the order of keys they are taken whole until the fractional budget ends, and the document
@@ -66,7 +66,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", weights: tu
     `buckets` rows a source) are accumulated, and each range is summed on its own. The table of sources has one row for
     each source.
     """
-    rows = docs.select("doc_id", F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), quality_weight(F.col(text)).alias("quality"))
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), quality_weight(F.col(text)).alias("quality"))
     rows = rows.withColumn("key", -F.log(uniform(F.col("doc_id"), seed)) / F.col("quality"))
     rows = rows.withColumn("bucket", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * buckets).cast("int")).drop("quality")
     ranges = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -81,7 +81,24 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", weights: tu
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("prefix")))
-    return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return joined.select("row", "doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, **options: object) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) of each document; see mixed()."""
+    return mixed(docs, **options).drop("row")
+
+
+def sampled(docs: DataFrame, text: str = "text", **options: object) -> DataFrame:
+    """The mix itself: each document once for every epoch that takes it whole, and the first words of those at the edge
+    of a budget, joined by spaces; n_chars, if there, is counted anew. Documents without words are never taken."""
+    out = mixed(docs, text=text, **options).where("taken > 0").select("row", "size", "taken")
+    times = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    out = out.withColumn("epoch", F.explode(F.sequence(F.lit(1), times)))
+    part = F.array_join(F.slice(words(F.col("row")[text]), F.lit(1), (F.col("taken") % F.col("size")).cast("int")), " ")
+    body = F.when(F.col("epoch") * F.col("size") > F.col("taken"), part).otherwise(F.col("row")[text])
+    out = out.select("row", body.alias("new_text"))
+    return out.select(*[(F.col("new_text") if c == text else F.length("new_text").cast("long") if c == "n_chars" else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -193,6 +193,13 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, hot: int = HOT, o
     return fps.join(known, F.col("fp") == F.col("k_fp")).select("doc_id", "fp", "component_id")
 
 
+def deduplicated(docs: DataFrame, distance: int = DISTANCE, hot: int = HOT, owner: str = "dedup") -> DataFrame:
+    """The documents whose id is the least of their component. Rows that share a doc_id are one document and stay
+    together; rows without an id stay too, since no other row can stand for them."""
+    keep = near_duplicates(docs, distance, hot, owner).where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
+    return docs.join(keep, F.col("doc_id") == F.col("keep_id"), "left_semi").union(docs.where("doc_id IS NULL"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(documents(spark, sf_dir))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

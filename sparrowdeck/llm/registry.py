@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_dedup, pattern_packing, quality, substring_dedup
+from . import media, mixing, near_dedup, pattern_packing, quality, substring_dedup, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             quality.op1_quality_rules,
+            token_output.op4_token_output,
             substring_dedup.op5_suffix_array_dedup,
             substring_dedup.op6_substring_dedup,
+            media.op7_media_columns,
             mixing.op8_source_mixing,
             pattern_packing.op9_best_fit_packing,
             near_dedup.op10_simhash,

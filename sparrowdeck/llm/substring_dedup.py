@@ -354,6 +354,27 @@ def word_window_dedup(docs: DataFrame, window: int = WORDS, gram: int = WORD_GRA
     return with_spans(docs, repeated_word_spans(docs, window, gram, hot, owner), read, "doc_id long, n_words long, n_removed long, kept binary")
 
 
+def without_repeats(docs: DataFrame, text: str = "text", window: int = BYTES, gram: int = BYTE_GRAM, hot: int = HOT, owner: str = "substrings") -> DataFrame:
+    """The documents without the bytes that suffix_dedup removes. A character that loses a byte goes as a whole; n_chars,
+    if there, is counted anew; all rows stay, even those that nothing is left of."""
+    spans = repeated_byte_spans(docs.select("doc_id", F.col(text).alias("text")), window, gram, hot, owner)
+    grouped = spans.distinct().groupBy(F.col("doc_id").alias("s_id")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    rows = docs.select(F.struct("*").alias("row")).join(grouped, F.col("row.doc_id") == F.col("s_id"), "left")
+
+    def cut(batch: pa.RecordBatch) -> Iterator[dict]:
+        row = batch.column("row")
+        out = {f.name: row.field(i) for i, f in enumerate(row.type)}
+        body = [t if not s or t is None else _without(t, merged([(x["lo"], x["hi"]) for x in s])).decode("utf-8", "ignore") for t, s in zip(out[text].cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+        body = [t.decode() if isinstance(t, bytes) else t for t in body]
+        out[text] = body
+        if "n_chars" in out:
+            out["n_chars"] = [None if t is None else len(t) for t in body]
+        yield out
+
+    fields = docs.schema
+    return map_batches(rows.select("row", "spans"), cut, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 

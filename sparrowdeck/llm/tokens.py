@@ -46,3 +46,29 @@ _TO_SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
 
 def _cut(text: str) -> list[str]:
     return text.translate(_TO_SPACE).split(" ")
+
+
+class PieceEncoder:
+    """Unsigned 16-bit ids of a byte-level tokenizer; the pieces of its own pattern are encoded one by one."""
+
+    def __init__(self, path: str):
+        import public_tokenizers
+        import regex
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        self.cut = regex.compile(public_tokenizers.PATTERN).findall
+        self.known: dict[str, bytes] = {}
+
+    def encode(self, texts: Iterable[str]) -> list[bytes]:
+        split = [self.cut(t) for t in texts]
+        if len(self.known) > CACHE:
+            self.known = {}
+        known = self.known
+        new = list({p for pieces in split for p in pieces if p not in known})
+        for at in range(0, len(new), 50_000):
+            part = new[at : at + 50_000]
+            for p, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+                known[p] = np.array(e.ids, "<u2").tobytes()
+        return [b"".join([known[p] for p in pieces]) for pieces in split]
