@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, near_dedup, pattern_packing, quality, substring_dedup, token_output
+from . import licenses, lm_scoring, media, mixing, near_dedup, pattern_packing, quality, substring_dedup, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             quality.op1_quality_rules,
+            lm_scoring.op2_lm_scoring,
+            licenses.op3_license_scan,
             token_output.op4_token_output,
             substring_dedup.op5_suffix_array_dedup,
             substring_dedup.op6_substring_dedup,
