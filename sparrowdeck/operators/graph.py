@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 NODES = "id long, labels array<string>, props map<string,string>"
 RELATIONSHIPS = "id long, src long, dst long, type string, props map<string,string>"
 
@@ -29,7 +31,7 @@ def create_relationship(nodes: DataFrame, relationships: DataFrame, id_: int, sr
 def traverse(relationships: DataFrame, start: DataFrame, direction: str = "out", type_: str | None = None, max_depth: int = 1) -> DataFrame:
     """(id, depth) of the nodes within max_depth steps of the start nodes (a frame with id), by least depth.
 
-    Each step joins the frontier with the edges and drops what was reached before, so cycles end.
+    Each step joins the frontier with the edges and drops what was reached before, so cycles end; its lineage is cut.
     """
     if direction not in ("out", "in", "both") or max_depth < 0:
         raise ValueError("direction is out, in or both, and the depth is not negative")
@@ -41,6 +43,8 @@ def traverse(relationships: DataFrame, start: DataFrame, direction: str = "out",
     for depth in range(1, max_depth + 1):
         step = frontier.join(edges, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct()
         frontier = step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth))
+        if depth < max_depth:
+            frontier = cut(frontier)
         seen = seen.union(frontier)
     return seen
 

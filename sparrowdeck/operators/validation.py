@@ -171,25 +171,27 @@ def validate(df: DataFrame, profile: Profile, column: str = "failures") -> DataF
     return df.withColumn(column, profile.failures())
 
 
-ORDERS = (
-    Profile()
-    .rule_for("price", "o_totalprice", between(1000, 400000))
-    .rule_for("status", "o_orderstatus", length(1), not_equal_to("P"))
-    .rule_for("priority", "o_orderpriority", starts_with("1"), contains("-"))
-    .when(F.col("o_orderstatus") == "F", lambda p: p.rule_for("late", "o_orderkey", greater_than(500)))
-)
+def order_rules() -> Profile:
+    """Rules for the orders table."""
+    return (
+        Profile()
+        .rule_for("price", "o_totalprice", between(1000, 400000))
+        .rule_for("status", "o_orderstatus", length(1), not_equal_to("P"))
+        .rule_for("priority", "o_orderpriority", starts_with("1"), contains("-"))
+        .when(F.col("o_orderstatus") == "F", lambda p: p.rule_for("late", "o_orderkey", greater_than(500)))
+    )
 
 
 def validate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate(spark.read.parquet(f"{sf_dir}/orders.parquet"), ORDERS).select("o_orderkey", F.array_join("failures", ",").alias("failures"))
+    return validate(spark.read.parquet(f"{sf_dir}/orders.parquet"), order_rules()).select("o_orderkey", F.array_join("failures", ",").alias("failures"))
 
 
 def violation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate(spark.read.parquet(f"{sf_dir}/orders.parquet"), ORDERS).select(F.explode("failures").alias("failure")).groupBy("failure").agg(F.count(F.lit(1)).alias("n"))
+    return validate(spark.read.parquet(f"{sf_dir}/orders.parquet"), order_rules()).select(F.explode("failures").alias("failure")).groupBy("failure").agg(F.count(F.lit(1)).alias("n"))
 
 
 def validate_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = replace(ORDERS, cascade=False)
+    first = replace(order_rules(), cascade=False)
     return validate(spark.read.parquet(f"{sf_dir}/orders.parquet"), first).select("o_orderkey", F.array_join("failures", ",").alias("failure"))
 
 
