@@ -68,7 +68,7 @@ def test_gradients_against_differences():
 
 def test_probabilities_add_up(spark, sf):
     docs = lm.documents(spark, sf)
-    model, _ = lm.fitted(docs, public_tokenizers.path("word_bpe_49k.json"), "test", sample=40, steps=20)
+    model, _, _ = lm.fitted(docs, public_tokenizers.path("word_bpe_49k.json"), "test", sample=40, steps=20)
     ids = [np.array([320, k]) for k in range(lm.VOCABULARY)]
     two = np.concatenate([model.score(ids[k : k + 5000]) for k in range(0, len(ids), 5000)])
     one = model.score([np.array([320])])[0]
@@ -102,7 +102,7 @@ def test_scores_with_a_small_dictionary(spark, sf):
 
 
 def test_attention_helps(spark, sf):
-    model, _ = lm.fitted(lm.documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"), "test")
+    model, _, _ = lm.fitted(lm.documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"), "test")
     docs = [r for r in lm.documents(spark, sf).select("doc_id", "text").collect() if lm.held_out(r[0])]
     ids = lm._ids(WordEncoder(public_tokenizers.path("word_bpe_49k.json")), [(r[1] or "").encode() for r in docs])
     with_it = model.score(ids).sum()
