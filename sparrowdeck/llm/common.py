@@ -19,6 +19,9 @@ WORD_BREAK = r"[\x20\x09-\x0D]+"
 BREAK_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Rows that a function of map_batches gets at a time.
+ROWS = 1000
+
 _written: dict[str, list[str]] = {}
 
 
@@ -80,6 +83,11 @@ def drop_table(df: DataFrame, owner: str) -> None:
                 _written[owner].remove(path)
 
 
+def task_count(df: DataFrame) -> int:
+    """Tasks for a shuffle whose work is Python's: the session's number, which merging by bytes would undercut."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict[str, Any]]], schema: str) -> DataFrame:
     """mapInArrow for a function from one batch to dictionaries of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -89,8 +97,9 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for out in fn(batch):
-                yield to_batch(out, arrow)
+            for at in range(0, batch.num_rows, ROWS):
+                for out in fn(batch.slice(at, ROWS)):
+                    yield to_batch(out, arrow)
 
     return df.mapInArrow(run, schema)
 
