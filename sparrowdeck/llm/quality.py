@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BREAK_CHARS, LOWER, UPPER, WORD_BREAK, documents, words
+from .common import LOWER, UPPER, documents, materialize, words
 
 SYMBOLS = "#*$%&|<>"
 #: A line is boilerplate of a host from this many distinct documents on ...
@@ -17,40 +19,53 @@ MIN_LEFT_PERCENT = 30
 
 
 def normalised(line: Column) -> Column:
-    """A-Z in lower case, runs of breaks as one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.translate(line, UPPER, LOWER), WORD_BREAK, " "))
+    """The words of a line with A-Z in lower case, one space between them."""
+    return F.translate(F.array_join(line, " "), UPPER, LOWER)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed, and written into the plan, once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def again(ordered: Column, x: Column, i: Column) -> Column:
+    """Whether a neighbour in sorted (hash, place) pairs has the hash of x at i."""
+    return ((i > 0) & (F.get(ordered, i - 1)["h"] == x["h"])) | ((i < F.size(ordered) - 1) & (F.get(ordered, i + 1)["h"] == x["h"]))
+
+
+def covering(at: Column) -> Column:
+    """Words that 3-word windows at these sorted places cover."""
+    each = F.transform(at, lambda p, i: F.when(i < F.size(at) - 1, F.least(F.lit(3), F.get(at, i + 1) - p)).otherwise(3))
+    return F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
 def measured(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """The documents with their word list, base counts and content signature.
+    """Each document's base counts, content signature and lines, from one pass over its text.
 
-    The signature is the least 3-word window (the whole word sequence of shorter texts). Exact copies share it and
-    near copies nearly always do, so one text that was copied a thousand times counts as one document.
+    The signature is the least MD5 of a 3-word window (of the whole word sequence in shorter texts). Exact copies share
+    it and near copies nearly always do, so one text that was copied a thousand times counts as one document.
     """
-    hashes = lambda w: F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))))
-    step = docs.select(F.col("doc_id"), F.col(host).cast("string").alias("host"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    step = step.withColumn("w", words(F.col("body")))
-    step = step.withColumn("sorted", F.sort_array(F.coalesce(hashes(F.col("w")), F.array().cast("array<struct<h:bigint,i:int>>"))))
-    n = F.size("sorted")
-    same = lambda x, i: ((i > 0) & (F.get(F.col("sorted"), i - 1)["h"] == x["h"])) | ((i < n - 1) & (F.get(F.col("sorted"), i + 1)["h"] == x["h"]))
-    step = step.withColumn("at", F.array_sort(F.transform(F.filter("sorted", same), lambda x: x["i"])))
-    last = F.size("at") - 1
-    covered = F.aggregate(
-        F.transform("at", lambda p, i: F.when(i < last, F.least(F.lit(3), F.get(F.col("at"), i + 1) - p)).otherwise(3)), F.lit(0).cast("long"), lambda a, x: a + x
-    )
-    lines = F.filter(F.split("body", "\n"), lambda x: F.trim(F.translate(x, BREAK_CHARS, " " * len(BREAK_CHARS))) != "")
-    window = lambda i: F.concat_ws(" ", F.get(F.col("w"), i), F.get(F.col("w"), i + 1), F.get(F.col("w"), i + 2))
-    signature = F.when(F.size("w") >= 3, F.array_min(F.transform(F.sequence(F.lit(0), F.size("w") - 3), window))).otherwise(F.concat_ws(" ", "w"))
+    step = docs.select("doc_id", F.col(host).cast("string").alias("host"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    step = step.withColumn("raw", F.split("body", "\n"))
+    step = step.withColumn("split", F.transform("raw", words))
+    step = step.withColumn("w", F.flatten("split"))
+    hashed = F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.struct(F.xxhash64(F.get(F.col("w"), i), F.get(F.col("w"), i + 1), F.get(F.col("w"), i + 2)).alias("h"), i.alias("i"))))
+    in_order = F.sort_array(F.coalesce(hashed, F.array().cast("array<struct<h:bigint,i:int>>")))
+    covered = let(in_order, lambda s: let(F.array_sort(F.transform(F.filter(s, lambda x, i: again(s, x, i)), lambda x: x["i"])), covering))
+    dups = let(F.filter("raw", lambda x, i: F.size(F.get(F.col("split"), i)) > 0), lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    window = lambda i: F.md5(F.concat_ws(" ", F.get(F.col("w"), i), F.get(F.col("w"), i + 1), F.get(F.col("w"), i + 2)).cast("binary"))
+    signature = F.when(F.size("w") >= 3, F.array_min(F.transform(F.sequence(F.lit(0), F.size("w") - 3), window))).otherwise(F.md5(F.concat_ws(" ", "w").cast("binary")))
     return step.select(
         "doc_id",
         "host",
+        F.xxhash64("body").alias("body_hash"),
         F.size("w").cast("long").alias("n_words"),
-        F.length(F.translate("body", BREAK_CHARS, "")).cast("long").alias("word_chars"),
-        (F.length("body") - F.length(F.translate("body", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("body", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
+        dups.cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
         F.xxhash64(signature).alias("signature"),
-        F.transform(lines, lambda x: F.struct(F.xxhash64(normalised(x)).alias("line"), F.size(words(x)).cast("long").alias("n"))).alias("lines"),
+        F.transform(F.filter("split", lambda x: F.size(x) > 0), lambda x: F.struct(F.xxhash64(normalised(x)).alias("line"), F.size(x).cast("long").alias("n"))).alias("lines"),
     )
 
 
@@ -64,6 +79,25 @@ def frequent_lines(lines: DataFrame, hosts: DataFrame, min_docs: int, min_percen
     return counted.join(hosts, counted["host"].eqNullSafe(hosts["host"])).where(100 * F.col("n") >= min_percent * F.col("n_docs")).select(counted["host"], "line")
 
 
+def judged(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, min_percent: int = MIN_PERCENT, min_left_percent: int = MIN_LEFT_PERCENT, owner: str = "op1") -> DataFrame:
+    """Base counts, removed lines and verdict of each document; see quality_rules.
+
+    What one pass over the texts measures (a few numbers for each document and line) is written as a table, since
+    counting, removal and the verdict all read it.
+    """
+    m = materialize(measured(docs, text, host), owner, "measured")
+    each = m.select("doc_id", "host", "signature", F.explode("lines").alias("l")).select("doc_id", "host", "signature", F.col("l.line").alias("line"))
+    hosts = m.groupBy("host").agg(F.count_distinct("signature").alias("n_docs"))
+    often = frequent_lines(each, hosts, min_docs, min_percent).withColumnRenamed("host", "o_host").withColumnRenamed("line", "o_line")
+    cut = each.join(often, F.col("host").eqNullSafe(F.col("o_host")) & (F.col("line") == F.col("o_line")))
+    cut = cut.groupBy(F.col("doc_id").alias("c_id"), F.col("host").alias("c_host")).agg(F.collect_set("line").alias("cut_lines"))
+    out = m.join(cut, F.col("doc_id").eqNullSafe(F.col("c_id")) & F.col("host").eqNullSafe(F.col("c_host")), "left")
+    removed = F.aggregate(F.filter("lines", lambda x: F.array_contains("cut_lines", x["line"])), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    out = out.withColumn("n_removed_words", F.when(F.col("cut_lines").isNull(), F.lit(0).cast("long")).otherwise(removed)).withColumn("base_failed", base_failed())
+    left = 100 * (F.col("n_words") - F.col("n_removed_words")) >= min_left_percent * F.col("n_words")
+    return out.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(left))
+
+
 def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, min_percent: int = MIN_PERCENT, min_left_percent: int = MIN_LEFT_PERCENT) -> DataFrame:
     """Verdict of each document: base counts, words in removed lines, kept.
 
@@ -76,26 +110,17 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", min
     Counting goes through partial sums, so a line that a third of the documents carry is one row a task. The join of
     lines with the frequent ones is an equi-join that Spark broadcasts or splits by size.
     """
-    m = measured(docs, text, host)
-    each = m.select("doc_id", "host", "signature", F.explode("lines").alias("l")).select("doc_id", "host", "signature", F.col("l.line").alias("line"), F.col("l.n").alias("n"))
-    hosts = m.groupBy("host").agg(F.count_distinct("signature").alias("n_docs"))
-    often = frequent_lines(each, hosts, min_docs, min_percent).withColumnRenamed("host", "o_host").withColumnRenamed("line", "o_line")
-    cut = each.join(often, F.col("host").eqNullSafe(F.col("o_host")) & (F.col("line") == F.col("o_line"))).groupBy(F.col("doc_id").alias("c_id"), F.col("signature").alias("c_sig"), F.col("host").alias("c_host")).agg(F.sum("n").alias("cut"), F.count(F.lit(1)).alias("cut_lines"))
-    cols = ["doc_id", "host", "signature", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    rows = m.select(*cols, F.xxhash64("word_chars", "n_symbols", "n_words", "n_dup_lines").alias("shape"))
-    out = rows.join(cut, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("signature") == F.col("c_sig")) & F.col("host").eqNullSafe(F.col("c_host")), "left")
-    n_removed = F.coalesce(F.col("cut"), F.lit(0)).cast("long")
-    return out.select(
-        "doc_id",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        base_failed().alias("base_failed"),
-        (~base_failed() & (100 * (F.col("n_words") - n_removed) >= min_left_percent * F.col("n_words"))).alias("kept"),
-        n_removed.alias("n_removed_words"),
-    )
+    return judged(docs, text, host, min_docs, min_percent, min_left_percent).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
+
+
+def clean(docs: DataFrame, text: str = "text", host: str = "source", owner: str = "op1", **options: int) -> DataFrame:
+    """The documents that quality_rules keeps, without the lines it removes; n_chars, if there, is counted anew."""
+    good = judged(docs, text, host, owner=owner, **options).where("kept").groupBy("doc_id", "host", "body_hash").agg(F.first("cut_lines").alias("cut"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("r_id"), F.col(host).cast("string").alias("r_host"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("r_hash"))
+    out = rows.join(good, F.col("r_id").eqNullSafe(F.col("doc_id")) & F.col("r_host").eqNullSafe(F.col("host")) & (F.col("r_hash") == F.col("body_hash")))
+    left = F.array_join(F.filter(F.split(F.col(f"row.{text}"), "\n"), lambda x: ~F.array_contains("cut", F.xxhash64(normalised(words(x))))), "\n")
+    out = out.select("row", F.when(F.col("cut").isNull(), F.col(f"row.{text}")).otherwise(left).alias("new_text"))
+    return out.select(*[(F.col("new_text") if c == text else F.length("new_text").cast("long") if c == "n_chars" else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,8 +133,8 @@ w AS (SELECT doc_id, host, body, regexp_extract_all(body, '[^\x20\x09-\x0D]+') A
 win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM w, unnest(range(1, len(w) - 1)) AS t(i)),
 rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, unnest([0, 1, 2]) AS t(k) GROUP BY 1),
-sig3 AS (SELECT doc_id, min(g) AS sig FROM win GROUP BY 1),
-base AS (SELECT w.doc_id, host, body, len(w)::BIGINT AS n_words, coalesce(sig, array_to_string(w, ' ')) AS sig, coalesce(cov.n, 0)::BIGINT AS n_repeat_words
+sig3 AS (SELECT doc_id, min(md5(g)) AS sig FROM win GROUP BY 1),
+base AS (SELECT w.doc_id, host, body, len(w)::BIGINT AS n_words, coalesce(sig, md5(array_to_string(w, ' '))) AS sig, coalesce(cov.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN sig3 USING (doc_id) LEFT JOIN cov USING (doc_id)),
 raw_lines AS (SELECT doc_id, host, sig, unnest(string_split(body, chr(10))) AS l FROM base),
 lines AS (SELECT doc_id, host, sig, l, trim(regexp_replace(translate(l, '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n
