@@ -95,6 +95,7 @@ def runs(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, window: int, gram: i
 def segments(docs: DataFrame, values: Callable[[list[bytes]], Iterator[tuple]], window: int, gram: int) -> DataFrame:
     """(doc_id, start, nwin, mini, seg) of all runs of windows of all texts.
 
+    Rows without a doc_id have no place in the order of documents and take no part.
     values gives (document numbers, offsets, lengths, a, b) of pieces; pieces of a long document overlap by window - 1.
     """
 
@@ -108,24 +109,30 @@ def segments(docs: DataFrame, values: Callable[[list[bytes]], Iterator[tuple]],
                 first = np.cumsum(lengths) - lengths
                 yield {"doc_id": ids[doc[piece]], "start": start - first[piece] + offset[piece], "nwin": count, "mini": mini, "seg": seg}
 
-    return map_batches(docs.select("doc_id", "text"), cut, "doc_id long, start long, nwin int, mini long, seg long")
+    return map_batches(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), cut, "doc_id long, start long, nwin int, mini long, seg long")
 
 
 class Repeats:
     """Runs whose minimiser occurs again, as tables in the shared folder.
 
     occurrences: (doc_id, start, nwin, mini, seg); distinct: (mini, seg, n, doc_id, start, nwin) with the first
-    occurrence of each distinct run; mixed: those of `distinct` at minimisers with several distinct runs, with `hot`.
+    occurrence of each distinct run; mixed: those of `distinct` at minimisers with several distinct runs. `hot` are those
+    with more than so many; their runs are dealt by `salt` into parts of about that number.
+
+    The lists of minimisers are tables too, so that both sides of a join are plain shuffles: only then does Spark split
+    the rows of a minimiser that is everywhere over several tasks.
     """
 
     def __init__(self, found: DataFrame, owner: str, hot: int = HOT):
         # Counting needs the minimiser only, and partial sums keep a minimiser that is everywhere to a row a task.
-        again = found.groupBy("mini").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("mini")
+        again = materialize(found.groupBy("mini").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("mini"), owner, "again")
         self.occurrences = materialize(found.join(again, "mini", "left_semi"), owner, "occurrences")
         grouped = self.occurrences.groupBy("mini", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("first"), F.max("nwin").alias("nwin"))
         self.distinct = materialize(grouped.select("mini", "seg", "n", "first.doc_id", "first.start", "nwin"), owner, "distinct")
-        kinds = self.distinct.groupBy(F.col("mini").alias("m")).agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-        self.mixed = self.distinct.join(kinds, F.col("mini") == F.col("m")).select("mini", "seg", "n", "doc_id", "start", "nwin", (F.col("kinds") > hot).alias("hot"))
+        kinds = materialize(self.distinct.groupBy(F.col("mini").alias("m")).agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), owner, "kinds")
+        mixed = self.distinct.join(kinds, F.col("mini") == F.col("m"))
+        parts = F.ceil(F.col("kinds") / hot).cast("int")
+        self.mixed = mixed.select("mini", "seg", "n", "doc_id", "start", "nwin", (F.col("kinds") > hot).alias("hot"), F.pmod(F.xxhash64("seg"), parts).cast("int").alias("salt"))
 
     def copies(self) -> DataFrame:
         """Occurrences of runs that occur more than once, with the place of the first one."""

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, materialize, ranges
+from .common import documents, map_batches, materialize, ranges, task_count, to_batch
 from .segments import HOT, STEP, TABLE, Repeats, packed, segments, stirred, unpacked
 
 #: Bytes of a repeated string, and of the grams its minimiser is chosen from.
@@ -20,8 +20,8 @@ WORDS, WORD_GRAM = 35, 8
 #: Bytes of strings that one transform takes.
 BLOCK = 1 << 19
 END = 0xFF  # never a byte of UTF-8
-EXTRACT = "mini long, doc_id long, start long, nwin int, n long, string binary, wa long, wb long"
-SPANS = "doc_id long, lo long, hi long"
+EXTRACT = "mini long, salt int, hot boolean, doc_id long, start long, string binary"
+FOUND = "doc_id long, lo long, hi long, wa long, wb long"
 
 
 # ---- the transform
@@ -196,27 +196,87 @@ def _joined(pieces: list, length: Callable, values: Callable) -> Iterator[tuple]
         at = end
 
 
-def extracted(docs: DataFrame, mixed: DataFrame, symbols: Callable[[bytes], list | bytes], join: Callable, window: int) -> DataFrame:
-    """Strings of the first occurrences of mixed runs: one packed string for each run; single windows of hot ones."""
-    wanted = mixed.groupBy(F.col("doc_id").alias("w_id")).agg(F.collect_list(F.struct("mini", "start", "nwin", "n", "hot")).alias("runs"))
+def first_windows(strings: list[bytes], width: int) -> Iterator[tuple[int, int]]:
+    """(number of the string, window) of the first of each distinct word window."""
+    seen = set()
+    for k, s in enumerate(strings):
+        w = s.split(b" ")
+        for i in range(len(w) - width + 1):
+            g = b" ".join(w[i : i + width])
+            if g not in seen:
+                seen.add(g)
+                yield k, i
+
+
+def other_windows(strings: list[bytes], found: list[tuple[int, int, int]], width: int) -> Iterator[tuple[int, int]]:
+    """(number of the string, window) of the byte windows that are not in the runs found."""
+    gone: dict[int, list] = {}
+    for k, lo, hi in found:
+        gone.setdefault(k, []).append((lo, hi))
+    for k, s in enumerate(strings):
+        at = 0
+        for lo, hi in [*gone.get(k, []), (len(s) - width + 1,) * 2]:
+            yield from ((k, i) for i in range(at, lo))
+            at = hi
+
+
+class Bytes:
+    """Windows of bytes: all but the first occurrence are removed."""
+
+    def __init__(self, width: int):
+        self.width = width
+
+    def symbols(self, text: bytes) -> bytes:
+        return text
+
+    def string(self, part: bytes) -> bytes:
+        return bytes(part)
+
+    def search(self, strings: list[bytes], doc: np.ndarray, start: np.ndarray) -> list[tuple[int, int, int]]:
+        return list(later_windows(strings, doc, start, self.width))
+
+    def firsts(self, strings: list[bytes], found: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+        return other_windows(strings, found, self.width)
+
+    def window(self, string: bytes, i: int) -> bytes:
+        return string[i : i + self.width]
+
+
+class Words:
+    """Windows of words: all occurrences of repeated ones are removed."""
+
+    def __init__(self, width: int):
+        self.width = width
+
+    def symbols(self, text: bytes) -> list[bytes]:
+        return text.split()
+
+    def string(self, part: list[bytes]) -> bytes:
+        return b" ".join(part)
+
+    def search(self, strings: list[bytes], doc: np.ndarray, start: np.ndarray) -> list[tuple[int, int, int]]:
+        return list(repeated_windows(strings, self.width))
+
+    def firsts(self, strings: list[bytes], found: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+        return first_windows(strings, self.width)
+
+    def window(self, string: bytes, i: int) -> bytes:
+        return b" ".join(string.split(b" ")[i : i + self.width])
+
+
+def extracted(docs: DataFrame, mixed: DataFrame, kind: Bytes | Words) -> DataFrame:
+    """One packed string for the first occurrence of each mixed run."""
+    wanted = mixed.groupBy(F.col("doc_id").alias("w_id")).agg(F.collect_list(F.struct("mini", "salt", "hot", "start", "nwin")).alias("runs"))
     rows = packed(docs).join(wanted, F.col("doc_id") == F.col("w_id")).select("doc_id", "z", "runs")
 
     def pull(batch: pa.RecordBatch) -> Iterator[dict]:
         out: dict[str, list] = {k.split()[0]: [] for k in EXTRACT.split(", ")}
-
-        def put(*row: object) -> None:
-            for k, v in zip(out, row, strict=True):
-                out[k].append(v)
-
         for doc, z, got in zip(batch.column("doc_id").to_pylist(), batch.column("z").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-            body = symbols(unpacked(z))
+            body = kind.symbols(unpacked(z))
             for r in got:
-                if not r["hot"]:
-                    put(r["mini"], doc, r["start"], r["nwin"], r["n"], join(body[r["start"] : r["start"] + r["nwin"] + window - 1]), None, None)
-                    continue
-                for i in range(r["start"], r["start"] + r["nwin"]):
-                    d = hashlib.blake2b(join(body[i : i + window]), digest_size=16).digest()
-                    put(r["mini"], doc, i, 1, r["n"], None, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True))
+                string = kind.string(body[r["start"] : r["start"] + r["nwin"] + kind.width - 1])
+                for k, v in zip(out, (r["mini"], r["salt"], r["hot"], doc, r["start"], string), strict=True):
+                    out[k].append(v)
             if len(out["mini"]) > 20_000:
                 yield out
                 for v in out.values():
@@ -227,41 +287,58 @@ def extracted(docs: DataFrame, mixed: DataFrame, symbols: Callable[[bytes], list
     return map_batches(rows, pull, EXTRACT)
 
 
-def _by_block(batches: Iterator[pa.RecordBatch], search: Callable, window: int) -> Iterator[pa.RecordBatch]:
-    """Feed whole minimisers, about BLOCK bytes of strings at a time, to a search; spans of what it finds."""
+def _by_block(batches: Iterator[pa.RecordBatch], kind: Bytes | Words) -> Iterator[pa.RecordBatch]:
+    """Feed whole minimisers (parts of hot ones), about BLOCK bytes of strings at a time, to the search.
+
+    Gives the spans that it removes and, for hot minimisers, whose windows other parts may have too, a 128-bit hash of the
+    first occurrence of each window.
+    """
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "lo", "hi", "wa", "wb")])
     rows: list[tuple] = []
     size = 0
 
     def found() -> Iterator[pa.RecordBatch]:
-        strings, doc, start = [r[1] for r in rows], np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
-        got = list(search(strings, doc, start))
+        strings, doc, start = [r[2] for r in rows], np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
+        got = kind.search(strings, doc, start)
         if got:
             k, lo, hi = (np.array(x) for x in zip(*got, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[k]), pa.array(start[k] + lo), pa.array(start[k] + hi + window - 1)], names=["doc_id", "lo", "hi"])
+            yield to_batch({"doc_id": doc[k], "lo": start[k] + lo, "hi": start[k] + hi + kind.width - 1, "wa": pa.nulls(len(k), pa.int64()), "wb": pa.nulls(len(k), pa.int64())}, schema)
+        out: dict[str, list] = {f.name: [] for f in schema}
+        for k, i in kind.firsts(strings, got) if any(r[5] for r in rows) else ():
+            if rows[k][5]:
+                d = hashlib.blake2b(kind.window(strings[k], i), digest_size=16).digest()
+                at = rows[k][4] + i
+                for c, v in zip(out, (rows[k][3], at, at + kind.width, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)), strict=True):
+                    out[c].append(v)
+        if out["lo"]:
+            yield to_batch(out, schema)
 
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("mini", "string", "doc_id", "start")), strict=True):
-            if size >= BLOCK and row[0] != rows[-1][0]:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("mini", "salt", "string", "doc_id", "start", "hot")), strict=True):
+            if size >= BLOCK and row[:2] != rows[-1][:2]:
                 yield from found()
                 rows, size = [], 0
             rows.append(row)
-            size += len(row[1])
+            size += len(row[2])
     if rows:
         yield from found()
 
 
-def _spans(copies: DataFrame, pulled: DataFrame, search: Callable, window: int, all_copies: bool) -> DataFrame:
-    """Removed spans: copies of equal runs, what the search finds in buckets of one minimiser, and equal hot windows."""
-    tail = window - 1
+def _spans(docs: DataFrame, known: Repeats, kind: Bytes | Words, owner: str) -> DataFrame:
+    """Removed spans: copies of equal runs, what the search finds in buckets of one minimiser, and windows that several
+    parts of a hot minimiser have."""
+    every = isinstance(kind, Words)
     first = (F.col("doc_id") == F.col("first_doc")) & (F.col("start") == F.col("first_start"))
-    equal = (copies if all_copies else copies.where(~first)).select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.col("nwin") + tail).alias("hi"))
-    strings = pulled.where("string IS NOT NULL").select("mini", "string", "doc_id", "start")
-    searched = strings.repartition("mini").sortWithinPartitions("mini", "doc_id", "start").mapInArrow(lambda it: _by_block(it, search, window), SPANS)
-    hot = pulled.where("string IS NULL").select("doc_id", "start", "wa", "wb")
-    known = hot.groupBy(F.col("wa").alias("ka"), F.col("wb").alias("kb")).agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc_id", "start")).alias("f")).where("k > 1")
-    again = hot.join(known, (F.col("wa") == F.col("ka")) & (F.col("wb") == F.col("kb"))).select("doc_id", "start", F.col("f.doc_id").alias("first_doc"), F.col("f.start").alias("first_start"))
-    again = (again if all_copies else again.where(~first)).select("doc_id", F.col("start").alias("lo"), (F.col("start") + window).alias("hi"))
-    return equal.union(searched).union(again)
+    copies = known.copies()
+    equal = (copies if every else copies.where(~first)).select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.col("nwin") + (kind.width - 1)).alias("hi"))
+    strings = extracted(docs, known.mixed, kind)
+    dealt = strings.repartition(task_count(strings), "mini", "salt").sortWithinPartitions("mini", "salt", "doc_id", "start")
+    found = materialize(dealt.mapInArrow(lambda it: _by_block(it, kind), FOUND), owner, "found")
+    hot = found.where("wa IS NOT NULL")
+    shared = materialize(hot.groupBy(F.col("wa").alias("ka"), F.col("wb").alias("kb")).agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc_id", "lo")).alias("f")).where("k > 1"), owner, "shared")
+    again = hot.join(shared, (F.col("wa") == F.col("ka")) & (F.col("wb") == F.col("kb")))
+    again = again if every else again.where((F.col("doc_id") != F.col("f.doc_id")) | (F.col("lo") != F.col("f.lo")))
+    return equal.union(found.where("wa IS NULL").select("doc_id", "lo", "hi")).union(again.select("doc_id", "lo", "hi"))
 
 
 def merged(spans: list, limit: int | None = None) -> list[tuple[int, int]]:
@@ -297,17 +374,13 @@ def with_spans(docs: DataFrame, spans: DataFrame, read: Callable[[bytes, list],
 def repeated_byte_spans(docs: DataFrame, window: int = BYTES, gram: int = BYTE_GRAM, hot: int = HOT, owner: str = "op5") -> DataFrame:
     """(doc_id, lo, hi) of bytes covered by a string of `window` bytes that also starts earlier."""
     found = segments(docs, lambda got: byte_values(got, window), window, gram)
-    known = Repeats(found, owner, hot)
-    pulled = materialize(extracted(docs, known.mixed, lambda t: t, bytes, window), owner, "strings")
-    return _spans(known.copies(), pulled, lambda s, d, p: later_windows(s, d, p, window), window, False)
+    return _spans(docs, Repeats(found, owner, hot), Bytes(window), owner)
 
 
 def repeated_word_spans(docs: DataFrame, window: int = WORDS, gram: int = WORD_GRAM, hot: int = HOT, owner: str = "op6") -> DataFrame:
     """(doc_id, lo, hi) of words covered by a window of `window` words that also starts elsewhere."""
     found = segments(docs, lambda got: word_values(got, window), window, gram)
-    known = Repeats(found, owner, hot)
-    pulled = materialize(extracted(docs, known.mixed, bytes.split, b" ".join, window), owner, "strings")
-    return _spans(known.copies(), pulled, lambda s, d, p: repeated_windows(s, window), window, True)
+    return _spans(docs, Repeats(found, owner, hot), Words(window), owner)
 
 
 def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -322,11 +395,12 @@ def suffix_dedup(docs: DataFrame, window: int = BYTES, gram: int = BYTE_GRAM, ho
     """(doc_id, n_bytes, n_removed, n_spans, spans, kept): each text without bytes that an earlier equal string covers.
 
     Runs of windows with one minimiser are collapsed where equal; the distinct ones of a minimiser travel to one task,
-    which builds a Burrows-Wheeler transform over about a megabyte of whole minimisers and extends its intervals until
+    which builds Burrows-Wheeler transforms over some 64 KiB of whole minimisers (what fits a cache) and extends its intervals until
     they are `window` bytes deep. A minimiser with very many distinct runs (a passage with a different neighbour in each
-    document) is split into its windows, which are counted by a 128-bit hash.
+    document) is dealt out in parts, each transformed on its own; the first occurrences of their windows then meet by a
+    128-bit hash.
 
-    A null text is empty; doc_id must be unique (rows that share one are taken as one document for the order, and each
+    A null text is empty; a row without a doc_id takes no part and is returned unchanged; doc_id must be unique (rows that share one are taken as one document for the order, and each
     is returned); texts shorter than the window are unchanged; an empty table gives an empty result; only doc_id and text
     are read. `kept` is bytes: a span can end inside a character.
     """
@@ -338,7 +412,7 @@ def word_window_dedup(docs: DataFrame, window: int = WORDS, gram: int = WORD_GRA
 
     Super-k-mers (consecutive windows with one minimiser) travel as one string of words to the task of their minimiser,
     which sorts its windows and counts them exactly; equal super-k-mers are collapsed before they travel, and very
-    frequent minimisers are split into windows as in suffix_dedup. Nulls, short and empty inputs are as there.
+    frequent minimisers are dealt out as in suffix_dedup. Nulls, short and empty inputs are as there.
     """
 
     def read(text: bytes, spans: list) -> dict:

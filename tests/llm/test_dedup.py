@@ -193,6 +193,14 @@ def test_links_of_clustered_codes(spark):
         assert {i: got.get(i, i) for i in range(len(codes))} == root
 
 
+def test_rows_without_id_take_no_part(spark):
+    rows = [(None, "some words in a row " * 40), (3, "z" + "some other words here " * 3), (9, "z" + "some other words here " * 3)]
+    got = {r[0]: (r[1], r[2], r[3], bytes(r[4])) for r in sd.suffix_dedup(frame(spark, rows), 30).collect()}
+    want = brute_bytes(rows[1:], 30)
+    assert got == want | {None: (800, 0, 0, rows[0][1].encode())}
+    assert sd.word_window_dedup(frame(spark, rows), 10).where("doc_id IS NULL AND n_removed = 0").count() == 1
+
+
 def test_rows_without_id_and_clashing_columns(spark):
     rows = [(None, "a b c d e f", 1, 2), (7, "a b c d e f", 1, 2), (7, "a b c d e f", 1, 2), (8, None, 3, 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp long, u long")
