@@ -19,7 +19,7 @@ from .common import map_batches, materialize
 #: Distinct runs at one minimiser above which its windows are dealt by their own hash.
 HOT = 256
 #: Positions in one numpy step, and bytes of text at a time.
-STEP = 1 << 19
+STEP = 1 << 16
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _A_INV, _B_INV = (np.uint64(pow(int(x), -1, 1 << 64)) for x in (_A, _B))
 TABLE = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)

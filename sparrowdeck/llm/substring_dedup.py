@@ -18,7 +18,7 @@ BYTES, BYTE_GRAM = 100, 28
 #: Words of a repeated window, and of the grams its minimiser is chosen from.
 WORDS, WORD_GRAM = 35, 8
 #: Bytes of strings that one transform takes.
-BLOCK = 1 << 19
+BLOCK = 1 << 16
 END = 0xFF  # never a byte of UTF-8
 EXTRACT = "mini long, salt int, hot boolean, doc_id long, start long, string binary"
 FOUND = "doc_id long, lo long, hi long, wa long, wb long"
