@@ -98,7 +98,7 @@ def test_pieces_encode_alone():
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    odd = ["a  b\n\n\nc   ", " \t x", "don't WE'LL 12 3.4!!  ?", " x y", "é ß\U0001f600 <|endoftext|>"]
+    odd = ["a  b\n\n\nc   ", " \t x", "don't WE'LL 12 3.4!!  ?", " x y", "é ß\U0001f600 <|endoftext|>", "a\x1cb \x1f\x1f c\x85d", "x\u00b2 \u00bd \u00aa \u00df_\u00e9 'S 's'll\r\n\x0b\x0c y"]
     assert [np.frombuffer(x, "<u2").tolist() for x in PieceEncoder(path).encode(odd)] == [t.encode(x, add_special_tokens=False).ids for x in odd]
 
 
