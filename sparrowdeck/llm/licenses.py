@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches
+from .common import documents, few_rows, map_batches
 
 # Licence families and notices by which works commonly name them.
 TEMPLATES = {
@@ -186,7 +186,7 @@ def license_scan(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> D
     licences the first in the text counts; equal rows get equal results; an empty table gives an empty result (the
     classifier is then fitted to templates alone); only doc_id and text are read.
     """
-    few = docs.select(F.col(text).alias("t"), F.xxhash64("doc_id", text).alias("h")).orderBy("h").limit(sample).collect()
+    few = few_rows(docs.select("doc_id", F.col(text).alias("t")), F.col("doc_id"), sample)
     paragraphs = [p for r in few for p in (r["t"] or "").split("\n") if p.strip()]
     shared = docs.sparkSession.sparkContext.broadcast(fit(paragraphs[:NEGATIVES]))
 
