@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, words
+from .common import documents, materialize, words
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -51,8 +51,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return at.withColumn("final", first["level"]).select("source", "source_size", F.least(F.lit(float(most)) * F.col("source_size"), F.col("final") * F.col("weight")).alias("target"))
 
 
-def mixed(docs: DataFrame, text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
-    """What the mix takes of each row (as struct `row`): doc_id, source, size, source_size, target, taken.
+def mixed(docs: DataFrame, text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, buckets: int = BUCKETS, keep_rows: bool = True, owner: str = "op8") -> DataFrame:
+    """What the mix takes of each row (as struct `row`, if rows are kept): doc_id, source, size, source_size, target, taken.
 
     Each source gives whole epochs first; what its target still wants is the fractional part. Documents get exponential
     keys -ln(u) / quality; in the order of keys they are taken whole until the fractional budget ends, and the document
@@ -69,6 +69,8 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", weights:
     rows = docs.select(F.struct("*").alias("row"), "doc_id", F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), quality_weight(F.col(text)).alias("quality"))
     rows = rows.withColumn("key", -F.log(uniform(F.col("doc_id"), seed)) / F.col("quality"))
     rows = rows.withColumn("bucket", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * buckets).cast("int")).drop("quality")
+    if not keep_rows:  # then a few numbers for each document do, and each text is read once
+        rows = materialize(rows.drop("row"), owner, "sizes")
     ranges = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("ahead", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
@@ -81,12 +83,12 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", weights:
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("prefix")))
-    return joined.select("row", "doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return joined.select(*["row"] * keep_rows, "doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, **options: object) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of each document; see mixed()."""
-    return mixed(docs, **options).drop("row")
+    return mixed(docs, keep_rows=False, **options)
 
 
 def sampled(docs: DataFrame, text: str = "text", **options: object) -> DataFrame:
