@@ -15,7 +15,7 @@ from .tokens import PieceEncoder
 LENGTH = 2048
 END_ID = PAD_ID = 50256
 #: Tokens that are packed together; they bound a task's memory whatever its input.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 ROWS = "sequence_id long, n_tokens int, input_ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<long>, doc_starts array<long>"
 
 
