@@ -40,10 +40,10 @@ def covering(at: Column) -> Column:
 
 
 def measured(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """Each document's base counts, content signature and lines, from one pass over its text.
+    """Each document's base counts, hash of its whole text and lines, from one pass over its text.
 
-    The signature is the least MD5 of a 3-word window (of the whole word sequence in shorter texts). Exact copies share
-    it and near copies nearly always do, so one text that was copied a thousand times counts as one document.
+    Documents are told apart by that hash, so one text that was copied a thousand times counts as one document, and texts
+    that share all but a few words as many.
     """
     step = docs.select("doc_id", F.col(host).cast("string").alias("host"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     step = step.withColumn("raw", F.split("body", "\n"))
@@ -53,8 +53,6 @@ def measured(docs: DataFrame, text: str = "text", host: str = "source") -> DataF
     in_order = F.sort_array(F.coalesce(hashed, F.array().cast("array<struct<h:bigint,i:int>>")))
     covered = let(in_order, lambda s: let(F.array_sort(F.transform(F.filter(s, lambda x, i: again(s, x, i)), lambda x: x["i"])), covering))
     dups = let(F.filter("raw", lambda x, i: F.size(F.get(F.col("split"), i)) > 0), lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    window = lambda i: F.md5(F.concat_ws(" ", F.get(F.col("w"), i), F.get(F.col("w"), i + 1), F.get(F.col("w"), i + 2)).cast("binary"))
-    signature = F.when(F.size("w") >= 3, F.array_min(F.transform(F.sequence(F.lit(0), F.size("w") - 3), window))).otherwise(F.md5(F.concat_ws(" ", "w").cast("binary")))
     return step.select(
         "doc_id",
         "host",
@@ -64,7 +62,6 @@ def measured(docs: DataFrame, text: str = "text", host: str = "source") -> DataF
         F.regexp_count("body", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         dups.cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
-        F.xxhash64(signature).alias("signature"),
         F.transform(F.filter("split", lambda x: F.size(x) > 0), lambda x: F.struct(F.xxhash64(normalised(x)).alias("line"), F.size(x).cast("long").alias("n"))).alias("lines"),
     )
 
@@ -74,8 +71,8 @@ def base_failed() -> Column:
 
 
 def frequent_lines(lines: DataFrame, hosts: DataFrame, min_docs: int, min_percent: int) -> DataFrame:
-    """(host, line) of the lines over both limits. lines: (host, line, signature); hosts: (host, n_docs)."""
-    counted = lines.groupBy("host", "line").agg(F.count_distinct("signature").alias("n")).where(F.col("n") >= min_docs)
+    """(host, line) of the lines over both limits. lines: (host, line, body_hash); hosts: (host, n_docs)."""
+    counted = lines.groupBy("host", "line").agg(F.count_distinct("body_hash").alias("n")).where(F.col("n") >= min_docs)
     return counted.join(hosts, counted["host"].eqNullSafe(hosts["host"])).where(100 * F.col("n") >= min_percent * F.col("n_docs")).select(counted["host"], "line")
 
 
@@ -86,8 +83,8 @@ def judged(docs: DataFrame, text: str = "text", host: str = "source", min_docs:
     counting, removal and the verdict all read it.
     """
     m = materialize(measured(docs, text, host), owner, "measured")
-    each = m.select("doc_id", "host", "signature", F.explode("lines").alias("l")).select("doc_id", "host", "signature", F.col("l.line").alias("line"))
-    hosts = m.groupBy("host").agg(F.count_distinct("signature").alias("n_docs"))
+    each = m.select("doc_id", "host", "body_hash", F.explode("lines").alias("l")).select("doc_id", "host", "body_hash", F.col("l.line").alias("line"))
+    hosts = m.groupBy("host").agg(F.count_distinct("body_hash").alias("n_docs"))
     often = frequent_lines(each, hosts, min_docs, min_percent).withColumnRenamed("host", "o_host").withColumnRenamed("line", "o_line")
     cut = each.join(often, F.col("host").eqNullSafe(F.col("o_host")) & (F.col("line") == F.col("o_line")))
     cut = cut.groupBy(F.col("doc_id").alias("c_id"), F.col("host").alias("c_host")).agg(F.collect_set("line").alias("cut_lines"))
@@ -101,7 +98,7 @@ def judged(docs: DataFrame, text: str = "text", host: str = "source", min_docs:
 def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, min_percent: int = MIN_PERCENT, min_left_percent: int = MIN_LEFT_PERCENT) -> DataFrame:
     """Verdict of each document: base counts, words in removed lines, kept.
 
-    Lines with a word are normalised and hashed; distinct documents (by signature) are counted for each line of a host.
+    Lines with a word are normalised and hashed; distinct documents (by a hash of the whole text) are counted for each line of a host.
     Lines over the limits are removed; a document of which too few words remain is rejected, as is one that fails the
     base rules. A null text has no words and fails the base rules; a null host is a host of its own; equal rows get equal
     verdicts and are all returned; an empty table gives an empty result. Only doc_id, text and host are read, so further

@@ -60,6 +60,13 @@ def test_depleted_documents_go(spark):
     assert {r["doc_id"] for r in quality.quality_rules(docs).where("kept").collect()} == {999}
 
 
+def test_documents_of_mostly_shared_text_count_each(spark):
+    shared = [text(k, 12) for k in range(5)]
+    docs = spark.createDataFrame([(i, "\n".join([*shared, text(500 + i, 20)]), "h") for i in range(20)] + [(999, text(99), "h")], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in quality.quality_rules(docs).collect()}
+    assert all(got[i]["n_removed_words"] == 60 and not got[i]["kept"] for i in range(20)) and got[999]["kept"]
+
+
 def test_mixing_agrees_with_sql(spark, tmp_path):
     got, want = both(spark, mixing.op8_source_mixing, mixing.ORACLE, rows(), tmp_path)
     assert got == want
