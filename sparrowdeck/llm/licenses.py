@@ -40,6 +40,8 @@ SAMPLE, NEGATIVES = 300, 3_000
 VARIANTS = 40
 #: A prediction is confirmed if the paragraph has so much of a notice of its family: weighted share of its word pairs.
 CONFIRMED = 0.75
+#: Words on each side of a line break, and between two, that a notice across line breaks may take.
+REACH = 40
 SCHEMA = "doc_id long, n_paragraphs long, n_licensed long, families array<string>, top_family string, top_probability double, top_similarity double, first_paragraph long"
 _words = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)*").findall
 
@@ -96,7 +98,9 @@ class Classifier:
 
     def judge(self, paragraph: str) -> tuple[str, float, float] | None:
         """(family, probability, similarity) of a paragraph with a confirmed licence."""
-        words = words_of(paragraph)
+        return self.judge_words(words_of(paragraph))
+
+    def judge_words(self, words: list[str]) -> tuple[str, float, float] | None:
         features = self.vocabulary.features(words)
         if not features:
             return None
@@ -108,6 +112,53 @@ class Classifier:
         s = self.similarity(words, family)
         return (family, float(p[k]), s) if s >= CONFIRMED else None
 
+    def wrapped(self, lines: list[list[str]]) -> list[tuple[int, str, float, float]]:
+        """(first line, family, probability, similarity) of notices that run over the breaks of lines without a blank
+        line between them.
+
+        A span is the end of a line, whole lines, and the start of a line. It counts if it has more of a notice than any
+        of its lines alone; of spans that overlap, the most similar and then the shortest counts.
+        """
+        have = set().union(*(zip(w, w[1:], strict=False) for w in lines), ((a[-1], b[0]) for a, b in zip(lines, lines[1:], strict=False))) & self.vocabulary.pairs
+        if len(lines) < 2 or not any(len(have & t) >= CONFIRMED * len(t) for ts in self.notices.values() for t in ts):
+            return []
+        hits = []
+        for i in range(len(lines) - 1):
+            words = lines[i][-REACH:]
+            between = 0
+            for j in range(i + 1, len(lines)):
+                span = words + lines[j][:REACH]
+                hit = self.judge_words(span)
+                if hit and hit[2] > max(self.similarity(w, hit[0]) for w in lines[i : j + 1]):
+                    hits.append((-hit[2], len(span), i, j, hit))
+                between += len(lines[j])
+                if between > REACH:
+                    break
+                words = words + lines[j]
+        out, taken = [], set()
+        for _, _, i, j, hit in sorted(hits, key=lambda x: x[:4]):
+            # two notices can meet within a line, but not over the same break
+            if taken.isdisjoint(range(i, j)):
+                taken |= set(range(i, j))
+                out.append((i, *hit))
+        return out
+
+    def scan(self, body: str) -> tuple[int, list[tuple[int, str, float, float]]]:
+        """Lines that are not blank, and (line, family, probability, similarity) of the notices within and across them."""
+        found, run, k = [], [], 0
+        for p in [*body.split("\n"), ""]:
+            words = words_of(p)
+            if words:
+                if hit := self.judge_words(words):
+                    found.append((k, *hit))
+                run.append((k, words))
+            else:
+                if len(run) > 1:
+                    found += [(run[i][0], *hit) for i, *hit in self.wrapped([w for _, w in run])]
+                run = []
+            k += bool(p.strip())
+        return k, sorted(found, key=lambda x: x[0])
+
 
 def variants(template: list[str], filler: list[str], r: random.Random) -> list[list[str]]:
     """A notice as it is found: whole, cut, with lost words, within other text."""
@@ -177,10 +228,10 @@ def fit(paragraphs: list[str], templates: dict[str, list[str]] = TEMPLATES, seed
 
 
 def license_scan(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """Confirmed licences of each document: number of paragraphs with words, of licensed ones, families, the surest one.
+    """Confirmed licences of each document: number of lines that are not blank, of notices, families, the surest one.
 
-    Paragraphs are lines. The classifier is fitted on the driver to the templates and to paragraphs of at most `sample`
-    documents (those of least hash); every paragraph of every whole text is then scored where it is, without a shuffle.
+    A notice is within a line or runs over line breaks, up to a line without words. The classifier is fitted on the driver to the templates and to paragraphs of at most `sample`
+    documents (those of least hash); every line and every span across line breaks of every whole text is then scored where it is, without a shuffle.
 
     A null or empty text has no paragraphs; documents without a licence have an empty list and nulls; of equally sure
     licences the first in the text counts; equal rows get equal results; an empty table gives an empty result (the
@@ -194,10 +245,9 @@ def license_scan(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> D
         classifier = shared.value
         out: dict[str, list] = {c.split()[0]: [] for c in SCHEMA.split(", ")}
         for doc, body in zip(batch.column("doc_id").to_pylist(), batch.column(text).to_pylist(), strict=True):
-            lines = [p for p in (body or "").split("\n") if p.strip()]
-            found = [(k, *hit) for k, p in enumerate(lines) if (hit := classifier.judge(p))]
+            lines, found = classifier.scan(body or "")
             best = max(found, key=lambda x: (x[2], -x[0])) if found else (None, None, None, None)
-            for c, x in zip(out, (doc, len(lines), len(found), sorted({x[1] for x in found}), best[1], best[2], best[3], best[0]), strict=True):
+            for c, x in zip(out, (doc, lines, len(found), sorted({x[1] for x in found}), best[1], best[2], best[3], best[0]), strict=True):
                 out[c].append(x)
         yield out
 

@@ -169,3 +169,25 @@ def test_licence_edges(spark):
     got = li.license_scan(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, families string")).collect()
     assert sorted((str(r["doc_id"]), r["n_paragraphs"], r["families"]) for r in got) == [("1", 0, []), ("2", 0, []), ("3", 1, []), ("3", 3, ["ISC", "MIT"]), ("4", 1, []), ("None", 1, ["MIT"])]
     assert li.license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+WRAPPED = {
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software",
+    "BSD": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "GPL": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "LGPL": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "AGPL": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as\npublished by the Free Software Foundation, either version 3 of the\nLicense, or (at your option) any later version.",
+}
+
+
+@pytest.mark.parametrize("family", WRAPPED)
+def test_wrapped_notices(classifier, family):
+    for prefix in ("", " * ", "# "):
+        body = "\n".join(prefix + x for x in f"Some file of a work\n\n{WRAPPED[family]}\n\nand other lines\nof text".split("\n"))
+        assert {x[1] for x in classifier.scan(body)[1]} == {family}
+
+
+def test_wrapped_notice_in_a_scan(spark):
+    rows = [(1, f"a b\n{WRAPPED['MIT']}\nc d"), (2, WRAPPED["MIT"].replace("copy\nof", "copy\n\nof")), (3, "x " * 500 + WRAPPED["BSD"] + " y" * 500)]
+    got = {r["doc_id"]: (r["families"], r["n_licensed"], r["first_paragraph"]) for r in li.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (["MIT"], 1, 1), 2: ([], 0, None), 3: (["BSD"], 1, 0)}
