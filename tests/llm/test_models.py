@@ -117,6 +117,18 @@ def test_lm_edges(spark):
     assert lm.lm_scores(spark.createDataFrame([], "doc_id long, text string"), steps=2).count() == 0
 
 
+def test_all_training_documents_teach(spark):
+    rows = [(i, f"word{i % 7} of text {i} " * 60) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model, _, encoded = lm.fitted(docs, public_tokenizers.path("word_bpe_49k.json"), "test", sample=1, steps=2)
+    ids = [np.frombuffer(r["ids"], "<u2") for r in encoded.where("NOT held_out").collect()]
+    counts = np.bincount(np.concatenate(ids), minlength=lm.VOCABULARY)
+    assert (model.classes.predicted == lm.Classes.of(counts).predicted).all()  # ranked by all, not by the one
+    old = {k: v.copy() for k, v in model.attention.p.items()}
+    few, many = (lm.taught(model.attention, d.where("NOT held_out"), model.classes, every=4) for d in (encoded, encoded.union(encoded)))
+    assert few > 0 and many == pytest.approx(2 * few, rel=0.1) and any((model.attention.p[k] != old[k]).any() for k in old)
+
+
 # ---- licences
 
 
