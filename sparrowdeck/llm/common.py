@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from .. import lineage
+
 #: Words are maximal runs of characters other than space and U+0009 to U+000D.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 #: The same six characters, for translate().
@@ -36,15 +37,9 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = set_.get() if set_.isDefined() else None
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='sparrowdeck-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return str(found).rstrip("/")
+    """The folder all machines share: spark.checkpoint.dir; where that is unset, what the context has as checkpoint
+    folder; in local mode, where there is one machine, a temporary one."""
+    return lineage.shared_dir(spark)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -98,6 +93,15 @@ def task_count(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The frame; its session sends at most ROWS rows at a time to Python from now on. A row may be a whole text, and
+    both sides hold a batch outside the JVM's heap, in buffers that double as they grow."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= ROWS:
+        conf.set(name, str(ROWS))
+    return df
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict[str, Any]]], schema: str) -> DataFrame:
     """mapInArrow for a function from one batch to dictionaries of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -111,7 +115,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict[str,
                 for out in fn(batch.slice(at, ROWS)):
                     yield to_batch(out, arrow)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def to_batch(columns: dict[str, Any], schema: pa.Schema) -> pa.RecordBatch:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, materialize, shared_dir, texts, to_batch
+from .common import documents, map_batches, materialize, shared_dir, small_batches, texts, to_batch
 
 #: A payload is rows of so many 8-bit samples.
 WIDTH = 64
@@ -134,7 +134,7 @@ def store(docs: DataFrame, root: str, shard_bytes: int = SHARD, text: str = "tex
         if shard is not None:
             shard.close()
 
-    return docs.select("doc_id", text).mapInArrow(run, STORED)
+    return small_batches(docs.select("doc_id", text)).mapInArrow(run, STORED)
 
 
 def read_back(stored: DataFrame, root: str) -> DataFrame:

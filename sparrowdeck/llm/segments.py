@@ -6,7 +6,6 @@ minimiser. Shared by substring removal over bytes and over words.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize
+from .common import drop_table, map_batches, materialize
 
-#: Distinct runs at one minimiser above which its windows are dealt by their own hash.
+#: Distinct strings with one key above which they are cut into finer pieces.
 HOT = 256
 #: Positions in one numpy step, and bytes of text at a time.
 STEP = 1 << 16
@@ -69,14 +68,15 @@ def sliding_min(key: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows of pieces that stand one after the other: piece, start in the sequence, windows, minimiser, hash.
+    """Runs of windows of pieces that stand one after the other: piece, start in the sequence, windows, place of the
+    minimiser after the start, minimiser, hash.
 
     a, b: two 64-bit values for each symbol. The minimiser is the least gram hash (upper half, leftmost on a tie).
     """
     none = np.zeros(0, np.int64)
     has = lengths >= window
     if not has.any():
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     first = np.cumsum(lengths) - lengths
     hashes = Rolling(a, _A, _A_INV).grams(gram)
     key = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
@@ -89,11 +89,11 @@ def runs(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, window: int, gram: i
     start = at[cut]
     count = np.diff(np.append(cut, len(at)))
     whole = Rolling(b, _B, _B_INV).of(start, start + count + window - 1)
-    return np.searchsorted(first + lengths, start, side="right"), start, count, hashes[where[cut]].view(np.int64), whole.view(np.int64)
+    return np.searchsorted(first + lengths, start, side="right"), start, count, where[cut].astype(np.int64) - start, hashes[where[cut]].view(np.int64), whole.view(np.int64)
 
 
 def segments(docs: DataFrame, values: Callable[[list[bytes]], Iterator[tuple]], window: int, gram: int) -> DataFrame:
-    """(doc_id, start, nwin, mini, seg) of all runs of windows of all texts.
+    """(doc_id, start, nwin, off, mini, seg) of all runs of windows of all texts.
 
     Rows without a doc_id have no place in the order of documents and take no part.
     values gives (document numbers, offsets, lengths, a, b) of pieces; pieces of a long document overlap by window - 1.
@@ -104,35 +104,36 @@ def segments(docs: DataFrame, values: Callable[[list[bytes]], Iterator[tuple]],
 
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         for doc, offset, lengths, a, b in values(texts(batch)):
-            piece, start, count, mini, seg = runs(a, b, lengths, window, gram)
+            piece, start, count, off, mini, seg = runs(a, b, lengths, window, gram)
             if len(piece):
                 first = np.cumsum(lengths) - lengths
-                yield {"doc_id": ids[doc[piece]], "start": start - first[piece] + offset[piece], "nwin": count, "mini": mini, "seg": seg}
+                yield {"doc_id": ids[doc[piece]], "start": start - first[piece] + offset[piece], "nwin": count, "off": off, "mini": mini, "seg": seg}
 
-    return map_batches(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), cut, "doc_id long, start long, nwin int, mini long, seg long")
+    return map_batches(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), cut, "doc_id long, start long, nwin int, off int, mini long, seg long")
 
 
 class Repeats:
     """Runs whose minimiser occurs again, as tables in the shared folder.
 
-    occurrences: (doc_id, start, nwin, mini, seg); distinct: (mini, seg, n, doc_id, start, nwin) with the first
+    occurrences: (doc_id, start, nwin, off, mini, seg); distinct: (mini, seg, n, doc_id, start, nwin, off) with the first
     occurrence of each distinct run; mixed: those of `distinct` at minimisers with several distinct runs. `hot` are those
-    with more than so many; their runs are dealt by `salt` into parts of about that number.
+    with more than so many; their runs are cut into pieces, whose keys take more of the text than the minimiser.
 
     The lists of minimisers are tables too, so that both sides of a join are plain shuffles: only then does Spark split
     the rows of a minimiser that is everywhere over several tasks.
     """
 
     def __init__(self, found: DataFrame, owner: str, hot: int = HOT):
+        found = materialize(found, owner, "runs")  # each text is cut and hashed once; counting and choosing read the table
         # Counting needs the minimiser only, and partial sums keep a minimiser that is everywhere to a row a task.
         again = materialize(found.groupBy("mini").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("mini"), owner, "again")
         self.occurrences = materialize(found.join(again, "mini", "left_semi"), owner, "occurrences")
-        grouped = self.occurrences.groupBy("mini", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("first"), F.max("nwin").alias("nwin"))
-        self.distinct = materialize(grouped.select("mini", "seg", "n", "first.doc_id", "first.start", "nwin"), owner, "distinct")
+        drop_table(found, owner)
+        grouped = self.occurrences.groupBy("mini", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("first"), F.max("nwin").alias("nwin"), F.max("off").alias("off"))
+        self.distinct = materialize(grouped.select("mini", "seg", "n", "first.doc_id", "first.start", "nwin", "off"), owner, "distinct")
         kinds = materialize(self.distinct.groupBy(F.col("mini").alias("m")).agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), owner, "kinds")
         mixed = self.distinct.join(kinds, F.col("mini") == F.col("m"))
-        parts = F.ceil(F.col("kinds") / hot).cast("int")
-        self.mixed = mixed.select("mini", "seg", "n", "doc_id", "start", "nwin", (F.col("kinds") > hot).alias("hot"), F.pmod(F.xxhash64("seg"), parts).cast("int").alias("salt"))
+        self.mixed = mixed.select("mini", "doc_id", "start", "nwin", "off", (F.col("kinds") > hot).alias("hot"))
 
     def copies(self) -> DataFrame:
         """Occurrences of runs that occur more than once, with the place of the first one."""
@@ -157,7 +158,3 @@ def unpacked(z: bytes) -> bytes:
     import zstandard
 
     return zstandard.ZstdDecompressor().decompress(z)
-
-
-def checksum(data: bytes) -> int:
-    return zlib.crc32(data)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, materialize, ranges, task_count, to_batch
+from .common import documents, map_batches, materialize, ranges, small_batches, task_count, to_batch
 from .segments import HOT, STEP, TABLE, Repeats, packed, segments, stirred, unpacked
 
 #: Bytes of a repeated string, and of the grams its minimiser is chosen from.
@@ -20,8 +20,11 @@ WORDS, WORD_GRAM = 35, 8
 #: Bytes of strings that one transform takes.
 BLOCK = 1 << 16
 END = 0xFF  # never a byte of UTF-8
-EXTRACT = "mini long, salt int, hot boolean, doc_id long, start long, string binary"
-FOUND = "doc_id long, lo long, hi long, wa long, wb long"
+#: Places of the minimiser in a window, together in one piece of a run at a hot minimiser.
+BYTE_SPAN, WORD_SPAN = 10, 4
+STRINGS = "key long, piece boolean, seg long, doc_id long, start long, nwin int, string binary"
+FOUND = "doc_id long, lo long, hi long"
+SINGLE = "wa long, wb long, doc_id long, lo long"
 
 
 # ---- the transform
@@ -196,35 +199,11 @@ def _joined(pieces: list, length: Callable, values: Callable) -> Iterator[tuple]
         at = end
 
 
-def first_windows(strings: list[bytes], width: int) -> Iterator[tuple[int, int]]:
-    """(number of the string, window) of the first of each distinct word window."""
-    seen = set()
-    for k, s in enumerate(strings):
-        w = s.split(b" ")
-        for i in range(len(w) - width + 1):
-            g = b" ".join(w[i : i + width])
-            if g not in seen:
-                seen.add(g)
-                yield k, i
-
-
-def other_windows(strings: list[bytes], found: list[tuple[int, int, int]], width: int) -> Iterator[tuple[int, int]]:
-    """(number of the string, window) of the byte windows that are not in the runs found."""
-    gone: dict[int, list] = {}
-    for k, lo, hi in found:
-        gone.setdefault(k, []).append((lo, hi))
-    for k, s in enumerate(strings):
-        at = 0
-        for lo, hi in [*gone.get(k, []), (len(s) - width + 1,) * 2]:
-            yield from ((k, i) for i in range(at, lo))
-            at = hi
-
-
 class Bytes:
     """Windows of bytes: all but the first occurrence are removed."""
 
-    def __init__(self, width: int):
-        self.width = width
+    def __init__(self, width: int, gram: int, span: int = BYTE_SPAN):
+        self.width, self.gram, self.span = width, gram, span
 
     def symbols(self, text: bytes) -> bytes:
         return text
@@ -235,18 +214,12 @@ class Bytes:
     def search(self, strings: list[bytes], doc: np.ndarray, start: np.ndarray) -> list[tuple[int, int, int]]:
         return list(later_windows(strings, doc, start, self.width))
 
-    def firsts(self, strings: list[bytes], found: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-        return other_windows(strings, found, self.width)
-
-    def window(self, string: bytes, i: int) -> bytes:
-        return string[i : i + self.width]
-
 
 class Words:
     """Windows of words: all occurrences of repeated ones are removed."""
 
-    def __init__(self, width: int):
-        self.width = width
+    def __init__(self, width: int, gram: int, span: int = WORD_SPAN):
+        self.width, self.gram, self.span = width, gram, span
 
     def symbols(self, text: bytes) -> list[bytes]:
         return text.split()
@@ -257,88 +230,116 @@ class Words:
     def search(self, strings: list[bytes], doc: np.ndarray, start: np.ndarray) -> list[tuple[int, int, int]]:
         return list(repeated_windows(strings, self.width))
 
-    def firsts(self, strings: list[bytes], found: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-        return first_windows(strings, self.width)
 
-    def window(self, string: bytes, i: int) -> bytes:
-        return b" ".join(string.split(b" ")[i : i + self.width])
+def pieces(kind: Bytes | Words, part: bytes | list[bytes], off: int, nwin: int) -> Iterator[tuple[int, int, bytes]]:
+    """(first window, windows, core) of the pieces of a run.
+
+    Windows go together if the minimiser's place in them falls into one of fixed ranges of `span` places. The core is
+    what all windows with such a place have: window - span + 1 symbols about the minimiser. Equal windows have their
+    minimiser at the same place, so they come into pieces with the same core.
+    """
+    for r in range((off - nwin + 1) // kind.span, off // kind.span + 1):
+        low, high = r * kind.span, min((r + 1) * kind.span - 1, kind.width - kind.gram)
+        first, last = max(0, off - high), min(nwin - 1, off - low)
+        yield first, last - first + 1, b"%d " % r + kind.string(part[off - low : off - high + kind.width])
+
+
+def _signed(data: bytes, size: int = 8) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=size).digest(), "big", signed=True)
 
 
 def extracted(docs: DataFrame, mixed: DataFrame, kind: Bytes | Words) -> DataFrame:
-    """One packed string for the first occurrence of each mixed run."""
-    wanted = mixed.groupBy(F.col("doc_id").alias("w_id")).agg(F.collect_list(F.struct("mini", "salt", "hot", "start", "nwin")).alias("runs"))
+    """Packed strings of the first occurrence of each mixed run: one with the minimiser as its key or, at hot minimisers,
+    one for each piece, with a hash of its core as key."""
+    wanted = mixed.groupBy(F.col("doc_id").alias("w_id")).agg(F.collect_list(F.struct("mini", "hot", "start", "nwin", "off")).alias("runs"))
     rows = packed(docs).join(wanted, F.col("doc_id") == F.col("w_id")).select("doc_id", "z", "runs")
+    names = [k.split()[0] for k in STRINGS.split(", ")]
 
     def pull(batch: pa.RecordBatch) -> Iterator[dict]:
-        out: dict[str, list] = {k.split()[0]: [] for k in EXTRACT.split(", ")}
+        out: list[tuple] = []
         for doc, z, got in zip(batch.column("doc_id").to_pylist(), batch.column("z").to_pylist(), batch.column("runs").to_pylist(), strict=True):
             body = kind.symbols(unpacked(z))
             for r in got:
-                string = kind.string(body[r["start"] : r["start"] + r["nwin"] + kind.width - 1])
-                for k, v in zip(out, (r["mini"], r["salt"], r["hot"], doc, r["start"], string), strict=True):
-                    out[k].append(v)
-            if len(out["mini"]) > 20_000:
-                yield out
-                for v in out.values():
-                    v.clear()
-        if out["mini"]:
-            yield out
-
-    return map_batches(rows, pull, EXTRACT)
+                part = body[r["start"] : r["start"] + r["nwin"] + kind.width - 1]
+                if not r["hot"]:
+                    out.append((r["mini"], False, 0, doc, r["start"], r["nwin"], kind.string(part)))
+                    continue
+                for first, n, core in pieces(kind, part, r["off"], r["nwin"]):
+                    string = kind.string(part[first : first + n + kind.width - 1])
+                    out.append((_signed(core), True, _signed(string), doc, r["start"] + first, n, string))
+            if len(out) > 10_000:
+                yield dict(zip(names, map(list, zip(*out, strict=True)), strict=True))
+                out = []
+        if out:
+            yield dict(zip(names, map(list, zip(*out, strict=True)), strict=True))
+
+    return map_batches(rows, pull, STRINGS)
 
 
 def _by_block(batches: Iterator[pa.RecordBatch], kind: Bytes | Words) -> Iterator[pa.RecordBatch]:
-    """Feed whole minimisers (parts of hot ones), about BLOCK bytes of strings at a time, to the search.
-
-    Gives the spans that it removes and, for hot minimisers, whose windows other parts may have too, a 128-bit hash of the
-    first occurrence of each window.
-    """
-    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "lo", "hi", "wa", "wb")])
+    """Feed the strings of whole keys, about BLOCK bytes at a time, to the search; gives the spans that it removes."""
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "lo", "hi")])
     rows: list[tuple] = []
     size = 0
 
     def found() -> Iterator[pa.RecordBatch]:
-        strings, doc, start = [r[2] for r in rows], np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
-        got = kind.search(strings, doc, start)
-        if got:
+        doc, start = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+        if got := kind.search([r[1] for r in rows], doc, start):
             k, lo, hi = (np.array(x) for x in zip(*got, strict=True))
-            yield to_batch({"doc_id": doc[k], "lo": start[k] + lo, "hi": start[k] + hi + kind.width - 1, "wa": pa.nulls(len(k), pa.int64()), "wb": pa.nulls(len(k), pa.int64())}, schema)
-        out: dict[str, list] = {f.name: [] for f in schema}
-        for k, i in kind.firsts(strings, got) if any(r[5] for r in rows) else ():
-            if rows[k][5]:
-                d = hashlib.blake2b(kind.window(strings[k], i), digest_size=16).digest()
-                at = rows[k][4] + i
-                for c, v in zip(out, (rows[k][3], at, at + kind.width, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)), strict=True):
-                    out[c].append(v)
-        if out["lo"]:
-            yield to_batch(out, schema)
+            yield to_batch({"doc_id": doc[k], "lo": start[k] + lo, "hi": start[k] + hi + kind.width - 1}, schema)
 
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("mini", "salt", "string", "doc_id", "start", "hot")), strict=True):
-            if size >= BLOCK and row[:2] != rows[-1][:2]:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "string", "doc_id", "start")), strict=True):
+            if size >= BLOCK and row[0] != rows[-1][0]:
                 yield from found()
                 rows, size = [], 0
             rows.append(row)
-            size += len(row[2])
+            size += len(row[1])
     if rows:
         yield from found()
 
 
-def _spans(docs: DataFrame, known: Repeats, kind: Bytes | Words, owner: str) -> DataFrame:
-    """Removed spans: copies of equal runs, what the search finds in buckets of one minimiser, and windows that several
-    parts of a hot minimiser have."""
+def _single(batch: pa.RecordBatch, kind: Bytes | Words) -> Iterator[dict]:
+    """Each window of a piece on its own, by a 128-bit hash."""
+    out: dict[str, list] = {c.split()[0]: [] for c in SINGLE.split(", ")}
+    for doc, start, n, string in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "nwin", "string")), strict=True):
+        body = kind.symbols(string)
+        for i in range(n):
+            d = hashlib.blake2b(kind.string(body[i : i + kind.width]), digest_size=16).digest()
+            for c, v in zip(out, (int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), doc, start + i), strict=True):
+                out[c].append(v)
+    yield out
+
+
+def _spans(docs: DataFrame, known: Repeats, kind: Bytes | Words, owner: str, hot: int = HOT) -> DataFrame:
+    """Removed spans.
+
+    Equal strings are one string before they travel, and all of them but the first (for words: all) go. Distinct strings
+    of one key meet in one task, where the search decides. Where a key has over `hot` of them, they are cut into pieces
+    with keys that take more of the text: runs of a minimiser into pieces of `span` windows, and those at last into
+    single windows, where equal strings are all that there is to find.
+    """
     every = isinstance(kind, Words)
-    first = (F.col("doc_id") == F.col("first_doc")) & (F.col("start") == F.col("first_start"))
-    copies = known.copies()
-    equal = (copies if every else copies.where(~first)).select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.col("nwin") + (kind.width - 1)).alias("hi"))
-    strings = extracted(docs, known.mixed, kind)
-    dealt = strings.repartition(task_count(strings), "mini", "salt").sortWithinPartitions("mini", "salt", "doc_id", "start")
-    found = materialize(dealt.mapInArrow(lambda it: _by_block(it, kind), FOUND), owner, "found")
-    hot = found.where("wa IS NOT NULL")
-    shared = materialize(hot.groupBy(F.col("wa").alias("ka"), F.col("wb").alias("kb")).agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc_id", "lo")).alias("f")).where("k > 1"), owner, "shared")
-    again = hot.join(shared, (F.col("wa") == F.col("ka")) & (F.col("wb") == F.col("kb")))
+    tail = kind.width - 1
+    strings = materialize(extracted(docs, known.mixed, kind), owner, "strings")
+    parts = strings.where("piece")
+    grouped = parts.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("first"), F.max("nwin").alias("nwin"), F.min("string").alias("string"))
+    one = materialize(grouped.select("key", "seg", "n", "first.doc_id", "first.start", "nwin", "string"), owner, "pieces")
+    kinds = materialize(one.groupBy(F.col("key").alias("m")).agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), owner, "kinds")
+    several = one.join(kinds, F.col("key") == F.col("m"))
+    columns = ["key", "doc_id", "start", "string"]
+    mixed = strings.where("NOT piece").select(*columns).union(several.where(F.col("kinds") <= hot).select(*columns))
+    dealt = mixed.repartition(task_count(mixed), "key").sortWithinPartitions("key", "doc_id", "start")
+    found = materialize(small_batches(dealt).mapInArrow(lambda it: _by_block(it, kind), FOUND), owner, "found")
+    single = materialize(map_batches(several.where(F.col("kinds") > hot).select("doc_id", "start", "nwin", "string"), lambda b: _single(b, kind), SINGLE), owner, "single")
+    shared = materialize(single.groupBy(F.col("wa").alias("ka"), F.col("wb").alias("kb")).agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc_id", "lo")).alias("f")).where("k > 1"), owner, "shared")
+    again = single.join(shared, (F.col("wa") == F.col("ka")) & (F.col("wb") == F.col("kb")))
     again = again if every else again.where((F.col("doc_id") != F.col("f.doc_id")) | (F.col("lo") != F.col("f.lo")))
-    return equal.union(found.where("wa IS NULL").select("doc_id", "lo", "hi")).union(again.select("doc_id", "lo", "hi"))
+    more = one.where("n > 1").select(F.col("key").alias("m"), F.col("seg").alias("s"), F.col("doc_id").alias("first_doc"), F.col("start").alias("first_start"))
+    copies = known.copies().union(parts.join(more, (F.col("key") == F.col("m")) & (F.col("seg") == F.col("s"))).select("doc_id", "start", "nwin", "first_doc", "first_start"))
+    copies = copies if every else copies.where((F.col("doc_id") != F.col("first_doc")) | (F.col("start") != F.col("first_start")))
+    equal = copies.select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.col("nwin") + tail).alias("hi"))
+    return equal.union(found).union(again.select("doc_id", "lo", (F.col("lo") + kind.width).alias("hi")))
 
 
 def merged(spans: list, limit: int | None = None) -> list[tuple[int, int]]:
@@ -356,7 +357,7 @@ def merged(spans: list, limit: int | None = None) -> list[tuple[int, int]]:
 def with_spans(docs: DataFrame, spans: DataFrame, read: Callable[[bytes, list], dict], schema: str) -> DataFrame:
     """Apply read(text, merged spans) to each document."""
     # Spans of a document number at most its positions; rows of all tasks meet by document.
-    grouped = spans.distinct().groupBy(F.col("doc_id").alias("s_id")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    grouped = spans.groupBy(F.col("doc_id").alias("s_id")).agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     rows = packed(docs).join(grouped, F.col("doc_id") == F.col("s_id"), "left").select("doc_id", "z", "spans")
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -374,13 +375,13 @@ def with_spans(docs: DataFrame, spans: DataFrame, read: Callable[[bytes, list],
 def repeated_byte_spans(docs: DataFrame, window: int = BYTES, gram: int = BYTE_GRAM, hot: int = HOT, owner: str = "op5") -> DataFrame:
     """(doc_id, lo, hi) of bytes covered by a string of `window` bytes that also starts earlier."""
     found = segments(docs, lambda got: byte_values(got, window), window, gram)
-    return _spans(docs, Repeats(found, owner, hot), Bytes(window), owner)
+    return _spans(docs, Repeats(found, owner, hot), Bytes(window, gram), owner, hot)
 
 
 def repeated_word_spans(docs: DataFrame, window: int = WORDS, gram: int = WORD_GRAM, hot: int = HOT, owner: str = "op6") -> DataFrame:
     """(doc_id, lo, hi) of words covered by a window of `window` words that also starts elsewhere."""
     found = segments(docs, lambda got: word_values(got, window), window, gram)
-    return _spans(docs, Repeats(found, owner, hot), Words(window), owner)
+    return _spans(docs, Repeats(found, owner, hot), Words(window, gram), owner, hot)
 
 
 def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -395,10 +396,10 @@ def suffix_dedup(docs: DataFrame, window: int = BYTES, gram: int = BYTE_GRAM, ho
     """(doc_id, n_bytes, n_removed, n_spans, spans, kept): each text without bytes that an earlier equal string covers.
 
     Runs of windows with one minimiser are collapsed where equal; the distinct ones of a minimiser travel to one task,
-    which builds Burrows-Wheeler transforms over some 64 KiB of whole minimisers (what fits a cache) and extends its intervals until
-    they are `window` bytes deep. A minimiser with very many distinct runs (a passage with a different neighbour in each
-    document) is dealt out in parts, each transformed on its own; the first occurrences of their windows then meet by a
-    128-bit hash.
+    which builds Burrows-Wheeler transforms over some 64 KiB of whole minimisers (what fits a cache) and extends its
+    intervals until they are `window` bytes deep. Where a minimiser has over `hot` distinct runs (a passage with a
+    different neighbour in each document), its runs are cut into a few pieces whose keys are most of a window's text, and
+    these are transformed; see _spans for the last resort.
 
     A null text is empty; a row without a doc_id takes no part and is returned unchanged; doc_id must be unique (rows that share one are taken as one document for the order, and each
     is returned); texts shorter than the window are unchanged; an empty table gives an empty result; only doc_id and text
@@ -411,8 +412,9 @@ def word_window_dedup(docs: DataFrame, window: int = WORDS, gram: int = WORD_GRA
     """(doc_id, n_words, n_removed, kept): each text without words that a window occurring elsewhere too covers.
 
     Super-k-mers (consecutive windows with one minimiser) travel as one string of words to the task of their minimiser,
-    which sorts its windows and counts them exactly; equal super-k-mers are collapsed before they travel, and very
-    frequent minimisers are dealt out as in suffix_dedup. Nulls, short and empty inputs are as there.
+    which sorts its windows and counts them exactly; equal super-k-mers are collapsed before they travel, and those of
+    very frequent minimisers are cut finer as in suffix_dedup. Nulls, short, very long and empty inputs and repeated rows
+    are as there.
     """
 
     def read(text: bytes, spans: list) -> dict:
@@ -432,7 +434,7 @@ def without_repeats(docs: DataFrame, text: str = "text", window: int = BYTES, gr
     """The documents without the bytes that suffix_dedup removes. A character that loses a byte goes as a whole; n_chars,
     if there, is counted anew; all rows stay, even those that nothing is left of."""
     spans = repeated_byte_spans(docs.select("doc_id", F.col(text).alias("text")), window, gram, hot, owner)
-    grouped = spans.distinct().groupBy(F.col("doc_id").alias("s_id")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    grouped = spans.groupBy(F.col("doc_id").alias("s_id")).agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     rows = docs.select(F.struct("*").alias("row")).join(grouped, F.col("row.doc_id") == F.col("s_id"), "left")
 
     def cut(batch: pa.RecordBatch) -> Iterator[dict]:

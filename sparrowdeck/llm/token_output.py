@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import documents, small_batches
 from .tokens import PieceEncoder
 
 LENGTH = 2048
@@ -131,7 +131,7 @@ def token_matrices(docs: DataFrame, tokenizer: str | None = None, length: int =
         if pieces:
             yield to_batch(_matrix(pieces, length, pad_id, number), schema)
 
-    return docs.select("doc_id", text).mapInArrow(run, ROWS)
+    return small_batches(docs.select("doc_id", text)).mapInArrow(run, ROWS)
 
 
 def write_matrices(docs: DataFrame, path: str, **options: object) -> None:
