@@ -330,7 +330,7 @@ def _spans(docs: DataFrame, known: Repeats, kind: Bytes | Words, owner: str, hot
     columns = ["key", "doc_id", "start", "string"]
     mixed = strings.where("NOT piece").select(*columns).union(several.where(F.col("kinds") <= hot).select(*columns))
     dealt = mixed.repartition(task_count(mixed), "key").sortWithinPartitions("key", "doc_id", "start")
-    found = materialize(small_batches(dealt).mapInArrow(lambda it: _by_block(it, kind), FOUND), owner, "found")
+    found = small_batches(dealt).mapInArrow(lambda it: _by_block(it, kind), FOUND)
     single = materialize(map_batches(several.where(F.col("kinds") > hot).select("doc_id", "start", "nwin", "string"), lambda b: _single(b, kind), SINGLE), owner, "single")
     shared = materialize(single.groupBy(F.col("wa").alias("ka"), F.col("wb").alias("kb")).agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc_id", "lo")).alias("f")).where("k > 1"), owner, "shared")
     again = single.join(shared, (F.col("wa") == F.col("ka")) & (F.col("wb") == F.col("kb")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -25,34 +26,68 @@ def cut_at_breaks(text: str) -> list[str]:
     return text.split()
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The byte that each character of the byte-level alphabet stands for: printable bytes stand for themselves, the
+    others are the characters from U+0100 on, in order."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(others)}
+
+
+#: Stands for the end of a word; never a byte of UTF-8.
+WORD_END = b"\xff"
+
+
+def merge_core(path: str) -> object | None:
+    """The byte-pair merges of a byte-level tokenizer in the faster library, which takes one piece at a time.
+
+    That library merges the neighbours whose joined text has the least id, the tokenizer those of the least merge. Both
+    are the same where ids follow the order of merges and no two merges give one token; otherwise there is none.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        made = json.load(file)
+    model, suffix = made["model"], made["model"].get("end_of_word_suffix") or ""
+    merges = [x if isinstance(x, list) else x.split(" ") for x in model["merges"]]
+    ids = [model["vocab"].get(a.removesuffix(suffix) + b if suffix else a + b) for a, b in merges]
+    special = {t["content"] for t in made["added_tokens"]}
+    alphabet, ranks = byte_alphabet(), {}
+    for token, number in model["vocab"].items():
+        if token not in special:
+            body, end = (token[: -len(suffix)], WORD_END) if suffix and token.endswith(suffix) else (token, b"")
+            ranks[bytes(alphabet[c] for c in body) + end] = number
+    first = len(ranks) - len(merges)
+    if ids != list(range(first, len(ranks))) or max(ranks.values()) != len(ranks) - 1 or (suffix and sum(len(t) == 2 and t.endswith(WORD_END) for t in ranks) != 256):
+        return None
+    return tiktoken._tiktoken.CoreBPE(ranks, {}, r"\S+")
+
+
 class _Encoder(dict):
     """Ids, as bytes, of pieces by text. A piece that is new is encoded when it is looked up.
 
-    Plain letters need no normalising: for them there is the same model on text whose bytes are already spelt as the
-    byte-level alphabet spells them.
+    Plain letters need no normalising: for them the merges alone do.
     """
 
     code = "I"  # of array: unsigned 32-bit
+    end = b""
 
     def __init__(self, path: str, ordinary: bool, cache: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = ordinary
-        self.bare = Tokenizer(self.tokenizer.model)
-        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        spelt = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.spelling = {ord(c): spelt.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x100))}
+        self.core = merge_core(path)
         self.cache = cache
 
     def _full(self, piece: str) -> bytes:
         return array(self.code, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
     def _plain(self, letters: str) -> bytes:
-        if not letters.isascii():
-            letters = letters.translate(self.spelling)
-        return array(self.code, self.bare.encode(letters, add_special_tokens=False).ids).tobytes()
+        if self.core is None:
+            return self._full(letters)
+        return array(self.code, self.core.encode_single_piece(letters.encode() + self.end)).tobytes()
 
     def _joined(self, pieces: list[str]) -> bytes:
         if len(self) > self.cache:
@@ -68,6 +103,8 @@ class WordEncoder(_Encoder):
     case; punctuation after them is a piece of its own.
     """
 
+    end = WORD_END
+
     def __init__(self, path: str, cache: int = CACHE):
         super().__init__(path, False, cache)
 
@@ -99,13 +136,9 @@ class PieceEncoder(_Encoder):
         self.cut = regex.compile(public_tokenizers.PATTERN).findall
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self[piece] = self._plain("Ġ" + piece[1:]) if _plain_piece(piece) else self._full(piece)
+        ids = self[piece] = self._plain(piece) if _plain_piece(piece) else self._full(piece)
         return ids
 
-    def _plain(self, letters: str) -> bytes:
-        spelt = letters if letters[1:].isascii() else "Ġ" + letters[1:].translate(self.spelling)
-        return array(self.code, self.bare.encode(spelt, add_special_tokens=False).ids).tobytes()
-
     def pieces(self, text: str) -> list[str]:
         if _common_text(text):
             return _common_pieces(text)
