@@ -56,13 +56,22 @@ def release(spark: SparkSession, owner: str | None = None) -> None:
             _delete(spark, path)
 
 
-def materialize(df: DataFrame, owner: str, name: str) -> DataFrame:
+def fewer(df: DataFrame) -> DataFrame:
+    """The frame in a quarter as many tasks as a shuffle has, though two for each core at least: for tables whose rows are
+    cheap to make, so that four shuffle partitions, one after the other, make one file. Files cost more than rows here."""
+    spark = df.sparkSession
+    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, task_count(df) // 4))
+
+
+def materialize(df: DataFrame, owner: str, name: str, spread: bool = False) -> DataFrame:
     """Cut lineage: write df as a Parquet table in the shared folder and read it back.
 
-    The table outlives the loss of any executor. Each call writes to a folder of its own.
+    The table outlives the loss of any executor. Each call writes to a folder of its own. spread: by as many tasks as
+    there are, where making the rows is the work; otherwise by fewer.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparrowdeck/{owner}-{name}-{uuid.uuid4().hex}"
+    df = df if spread else fewer(df)
     df.write.option("compression", "zstd").parquet(path)
     _written.setdefault(owner, []).append(path)
     return spark.read.schema(df.schema).parquet(path)

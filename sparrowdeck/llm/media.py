@@ -197,7 +197,7 @@ def media_columns(docs: DataFrame, root: str | None = None, owner: str = "op7")
     root = root or f"{shared_dir(docs.sparkSession)}/sparrowdeck/{owner}-media-{uuid.uuid4().hex}"
     if "://" not in root:
         root = f"file://{root}" if root.startswith("/") else root.replace("file:/", "file:///", 1)
-    stored = materialize(store(docs, root), owner, "stored")
+    stored = materialize(store(docs, root), owner, "stored", spread=True)
     features = read_back(stored, root).withColumnRenamed("digest", "payload")
     return stored.join(features, F.col("digest") == F.col("payload")).drop("payload")
 

@@ -70,7 +70,7 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", weights:
     rows = rows.withColumn("key", -F.log(uniform(F.col("doc_id"), seed)) / F.col("quality"))
     rows = rows.withColumn("bucket", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * buckets).cast("int")).drop("quality")
     if not keep_rows:  # then a few numbers for each document do, and each text is read once
-        rows = materialize(rows.drop("row"), owner, "sizes")
+        rows = materialize(rows.drop("row"), owner, "sizes", spread=True)
     ranges = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("ahead", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))

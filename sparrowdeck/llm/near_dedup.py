@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -10,19 +12,22 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, materialize, texts
+from .common import documents, fewer, map_batches, materialize, small_batches, task_count, texts
+from .segments import stirred
+from .substring_dedup import word_hashes
 
-#: Fingerprints link at so many differing bits or fewer; with one block more than that, two linked ones share a block.
+#: Fingerprints link at so many differing bits or fewer.
 DISTANCE = 3
-BLOCKS = 4
 SHINGLE = 3
 SEED = 42
-#: A block value with more fingerprints than this is dealt out as pairs of salts ...
+#: A cell with more fingerprints than this is dealt out as pairs of salts ...
 HOT = 600
 #: ... of at most so many salts; beyond that the salts grow.
 MOST_SALTS = 64
 #: Fan-out of the index and shingles unpacked at a time.
 FAN, AT_ONCE = 8, 100_000
+#: Rows of cells that one task gets, about.
+AT_TASK = 100_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -55,12 +60,12 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Codes in Gray order, FAN to a node; a node keeps the bits its codes share as mask and pattern."""
+    """Codes (rows of 64-bit lanes) in Gray order, FAN to a node; a node keeps the bits its codes share as mask and pattern."""
 
     def __init__(self, codes: np.ndarray):
-        self.order = np.argsort(gray_rank(codes), kind="stable")
+        self.order = np.lexsort([gray_rank(lane) for lane in codes.T[::-1]])
         self.codes = codes[self.order]
-        every, pattern = np.full(len(codes), ~np.uint64(0)), self.codes
+        every, pattern = np.full(codes.shape, ~np.uint64(0)), self.codes
         self.levels = [(every, pattern)]
         low, high = self.codes, self.codes
         while len(low) > 1:
@@ -73,7 +78,7 @@ class GrayIndex:
         fixed add up on the way down; a pair of groups is dropped as soon as they exceed the distance."""
         top = len(self.levels) - 1
         zero = np.zeros(1, np.int64)
-        stack = [(top, zero, zero, np.zeros(1, np.uint64), np.zeros(1, np.int64))]
+        stack = [(top, zero, zero, np.zeros((1, self.codes.shape[1]), np.uint64), np.zeros(1, np.int64))]
         while stack:
             level, a, b, seen, differ = stack.pop()
             if level == 0:
@@ -93,7 +98,7 @@ class GrayIndex:
             parent = np.repeat(np.arange(len(a)), FAN * FAN)[ok]
             x, y = x[ok], y[ok]
             fixed = mask[x] & mask[y]
-            far = differ[parent] + np.bitwise_count((pattern[x] ^ pattern[y]) & fixed & ~seen[parent])
+            far = differ[parent] + np.bitwise_count((pattern[x] ^ pattern[y]) & fixed & ~seen[parent]).sum(axis=1)
             near = far <= distance
             if near.any():
                 stack.append((level - 1, x[near], y[near], fixed[near], far[near].astype(np.int64)))
@@ -115,52 +120,77 @@ def forest(n: int, chunks: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
     return root
 
 
+def schemes(distance: int, blocks: int) -> list[int]:
+    """Masks of all choices of `blocks` - `distance` of so many blocks: codes within the distance agree on one of them."""
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    block = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in pairwise(edges)]
+    return [sum(block[k] for k in chosen) for chosen in combinations(range(blocks), blocks - distance)]
+
+
+def blocks_for(codes: int, distance: int = DISTANCE, cell: int = HOT) -> int:
+    """The fewest blocks whose agreeing bits leave less than a quarter of `cell` codes to a cell on average."""
+    return next((b for b in range(distance + 1, 2 * distance + 2) if codes >> (64 * (b - distance) // b) < cell // 4), 2 * distance + 2)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def salted(cells: DataFrame, hot: int, *columns: str) -> DataFrame:
+    """Deal out the rows (cell, fp, ...) of cells with more than `hot` of them: rows get salts, and each pair of salts is a
+    cell of its own, (cell, a, b), so nothing gathers in one task and no pair is lost. Beyond MOST_SALTS the salts grow."""
+    often = cells.groupBy(F.col("cell").alias("k")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot)
+    often = often.select("k", F.least(F.lit(MOST_SALTS), F.ceil(F.col("n") / hot)).cast("int").alias("salts"))
+    dealt = cells.join(often, F.col("cell") == F.col("k"), "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    return dealt.select("cell", F.least("salt", "other").alias("a"), F.greatest("salt", "other").alias("b"), "fp", *columns)
+
+
 def _links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+    """Join what a task got with itself over an index, one table after the other; the rows of a task are few (AT_TASK)."""
     got = [b for b in batches if b.num_rows]
     if not got:
         return
     table = pa.Table.from_batches(got)
-    fp, node, block = (table.column(c).to_numpy() for c in ("fp", "node", "block"))
-    for j in np.unique(block):
-        mine = block == j
-        codes, first = np.unique(fp[mine].view(np.uint64), return_index=True)
-        ids = node[mine][first]
-        by_id = np.argsort(ids, kind="stable")  # so that the least index is the least id
-        codes, ids = codes[by_id], ids[by_id]
-        shift = np.uint64(16 * int(j))
-        turned = (codes << shift) | (codes >> np.uint64(64 - int(shift))) if j else codes
-        root = forest(len(ids), GrayIndex(turned).pairs(distance))
-        linked = root != np.arange(len(ids))
+    fp, mask = (table.column(c).to_numpy() for c in ("fp", "mask"))
+    for m in np.unique(mask):
+        codes = np.unique(fp[mask == m])
+        # the bits that cells agree on lead the order, so that cells are upper nodes of the index
+        bits = [k for k in range(64) if int(m) >> k & 1] + [k for k in range(64) if not int(m) >> k & 1]
+        turned = np.zeros(len(codes), np.uint64)
+        for lead, k in enumerate(bits):
+            turned |= ((codes.view(np.uint64) >> np.uint64(k)) & np.uint64(1)) << np.uint64(63 - lead)
+        root = forest(len(codes), GrayIndex(turned[:, None]).pairs(distance))
+        linked = root != np.arange(len(codes))
         if linked.any():
-            yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[root[linked]])], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(codes[linked]), pa.array(codes[root[linked]])], names=["u", "v"])
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
-    """Edges (u, v) that span the components. nodes: (fp, node), distinct fingerprints.
+def links(codes: DataFrame, distance: int = DISTANCE, hot: int = HOT, blocks: int | None = None) -> DataFrame:
+    """Edges (u, v) between fingerprints that span the components. codes: a column fp of distinct ones.
 
-    Two codes within the distance agree on one of four 16-bit blocks: each code goes to its four block values, and each
-    partition joins what it got with itself over an index. A value that many codes share is dealt out: its codes get
-    salts, and each pair of salts is a cell of its own, so nothing gathers in one task and no link is lost. Only edges
-    of a spanning forest leave a task.
+    Two codes within the distance agree on one of the choices of blocks: each code goes to a cell for each choice, and
+    each task joins what it got with itself over an index. The more codes, the more bits a cell takes, so cells stay
+    small; one that many codes share all the same is dealt out (see salted). Only edges of a spanning forest leave a task.
     """
-    blocks = nodes.select("fp", "node", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
-    blocks = blocks.withColumn("value", F.expr("shiftrightunsigned(fp, 48 - 16 * block) & 65535").cast("int"))
-    often = blocks.groupBy(F.col("block").alias("k"), F.col("value").alias("x")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot)
-    often = often.select("k", "x", F.least(F.lit(MOST_SALTS), F.ceil(F.col("n") / hot)).cast("int").alias("salts"))
-    dealt = blocks.join(often, (F.col("block") == F.col("k")) & (F.col("value") == F.col("x")), "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    dealt = dealt.select("fp", "node", "block", "value", F.least("salt", "other").alias("a"), F.greatest("salt", "other").alias("b"))
-    return dealt.repartition("block", "value", "a", "b").select("fp", "node", "block").mapInArrow(lambda it: _links(it, distance), "u long, v long").where("u != v").distinct()
+    n = codes.count()
+    masks = schemes(distance, blocks or blocks_for(n, distance, hot))
+    cells = codes.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
+    cells = cells.withColumn("cell", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))
+    dealt = salted(cells, hot, "mask")
+    tasks = max(task_count(dealt), n * len(masks) // AT_TASK)
+    return small_batches(dealt.repartition(tasks, "cell", "a", "b").select("fp", "mask")).mapInArrow(lambda it: _links(it, distance), "u long, v long").where("u != v").distinct()
 
 
-def components(edges: DataFrame, owner: str, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, owner: str) -> DataFrame:
     """(node, root) of all nodes of the edges with the least node of their component: alternating stars, on Spark.
 
     Each round links every node to the least neighbour of its neighbours; tables in the shared folder cut the lineage.
+    Labels only fall, so rounds end; a chain of n nodes takes about log n of them.
     """
     edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), owner, "edges")
     last = None
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")).withColumn("m", F.least("m", "c"))
         large = both.where("v > u").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -173,33 +203,215 @@ def components(edges: DataFrame, owner: str, rounds: int = 40) -> DataFrame:
         if tuple(state) == last:
             break
         last = tuple(state)
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, hot: int = HOT, owner: str = "op10") -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, hot: int = HOT, blocks: int | None = None, owner: str = "op10") -> DataFrame:
     """(doc_id, fp, component_id) of each row.
 
-    A null or wordless text has fingerprint zero and links like any other; equal rows get equal results; a row without a
-    doc_id gets the component of its fingerprint, which is null if no row of the component has an id; an empty table
-    gives an empty result; only doc_id and text are read. Equal fingerprints are collapsed before anything else, so
-    a text copied any number of times is one code.
+    A null or wordless text has fingerprint zero and links like any other; a text of any length is one fingerprint, its
+    shingles are unpacked AT_ONCE at a time; equal rows get equal results; a row without a doc_id links like any other and
+    gets its component, which is null if no row of the component has an id; an empty table gives an empty result; only
+    doc_id and text are read. Equal fingerprints are collapsed before anything else, so a text copied any number of times
+    is one code.
     """
-    fps = materialize(map_batches(docs.select("doc_id", "text"), _fingerprints, "doc_id long, fp long"), owner, "fps")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), owner, "nodes")
-    roots = components(links(nodes.where("node IS NOT NULL"), distance, hot), owner).withColumnRenamed("node", "r_node")
-    known = nodes.join(roots, F.col("node") == F.col("r_node"), "left").select(F.col("fp").alias("k_fp"), F.coalesce("root", "node").alias("component_id"))
+    fps = materialize(map_batches(docs.select("doc_id", "text"), _fingerprints, "doc_id long, fp long"), owner, "fps", spread=True)
+    codes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), owner, "codes")
+    roots = components(links(codes.select("fp"), distance, hot, blocks), owner)
+    placed = codes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    known = placed.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
+    known = placed.join(known, F.col("root") == F.col("r")).select(F.col("fp").alias("k_fp"), "component_id")
     return fps.join(known, F.col("fp") == F.col("k_fp")).select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, distance: int = DISTANCE, hot: int = HOT, owner: str = "dedup") -> DataFrame:
-    """The documents whose id is the least of their component. Rows that share a doc_id are one document and stay
-    together; rows without an id stay too, since no other row can stand for them."""
-    keep = near_duplicates(docs, distance, hot, owner).where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
-    return docs.join(keep, F.col("doc_id") == F.col("keep_id"), "left_semi").union(docs.where("doc_id IS NULL"))
+# ---- similar documents: the same index over wide fingerprints, confirmed by exact similarity
+
+#: Words of a shingle and the least Jaccard similarity of two sets of shingles.
+WORDS, SIMILARITY = 5, 0.8
+#: 64-bit lanes of a wide fingerprint; the first two are compared, cells are chosen from all.
+LANES, COMPARED = 4, 2
+#: Share of the pairs at exactly the least similarity that meet in a cell.
+RECALL = 0.97
+#: Codes that an average cell may have, and codes of a cell that are compared without an index.
+CELL, DIRECT = 16, 48
+CODES = "doc_id long, " + ", ".join(f"c{k} long" for k in range(LANES))
+_LANE = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) for k in range(LANES)], np.uint64)
+
+
+def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles of a text in lower case (A-Z): of the whole sequence where it is shorter,
+    none without words."""
+    w = word_hashes(text.lower())
+    if not len(w):
+        return w
+    k = min(words, len(w))
+    mixed = sum((w[i : len(w) - k + 1 + i] * (_LANE[0] + np.uint64(2 * i)) for i in range(k)), np.zeros(len(w) - k + 1, np.uint64))
+    return np.unique(stirred(mixed))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """Majority of the bits of LANES derived hashes of each shingle; zero without shingles."""
+    ones = np.zeros(64 * LANES, np.int64)
+    for at in range(0, len(hashes), AT_ONCE // LANES):
+        lanes = stirred(stirred(hashes[at : at + AT_ONCE // LANES, None] ^ _LANE) + _LANE)
+        ones += np.unpackbits(lanes.astype(">u8").view(np.uint8).reshape(len(lanes), -1), axis=1).sum(axis=0, dtype=np.int64)
+    return np.frombuffer(np.packbits(2 * ones > len(hashes)).tobytes(), ">u8").astype(np.uint64)
+
+
+def differing(similarity: float) -> float:
+    """Expected share of differing bits of two fingerprints of sets of that Jaccard similarity and equal size."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def tables_for(codes: int, similarity: float = SIMILARITY) -> tuple[int, int]:
+    """(bits of a cell's key, tables). Keys get longer with the number of codes, so that a cell stays small; there are as
+    many tables as let RECALL of the least similar pairs meet."""
+    bits = min(32, max(8, math.ceil(math.log2(max(codes, 1) / CELL + 1))))
+    meet = (1 - differing(similarity)) ** bits
+    return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - meet))
+
+
+def spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Numbers of the edges of a least spanning forest of n items: each component takes its least edge, round by round."""
+    place = np.lexsort((b, a, weight))
+    rank = np.empty(len(place), np.int64)
+    rank[place] = np.arange(len(place))
+    root, chosen = np.arange(n), []
+    while len(rank):
+        x, y = root[a[place[rank]]], root[b[place[rank]]]
+        rank, x, y = (z[x != y] for z in (rank, x, y))
+        if not len(rank):
+            break
+        best = np.full(n, len(place))
+        np.minimum.at(best, x, rank)
+        np.minimum.at(best, y, rank)
+        picked = np.unique(best[best < len(place)])
+        chosen.append(place[picked])
+        ends = forest(n, iter([(root[a[place[picked]]], root[b[place[picked]]])]))
+        root = ends[root]
+    return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+
+
+def _cells(batch: pa.RecordBatch, keys: np.ndarray) -> Iterator[dict]:
+    """A row for each table: the cell is the table's number and the code's bits at the table's places."""
+    codes = np.stack([batch.column(f"c{k}").to_numpy().view(np.uint64) for k in range(LANES)], axis=1)
+    bits = np.unpackbits(codes.astype(">u8").view(np.uint8).reshape(len(codes), -1), axis=1).astype(np.int64)
+    weight = np.int64(1) << np.arange(keys.shape[1], dtype=np.int64)
+    for t, places in enumerate(keys):
+        yield {"cell": (bits[:, places] @ weight) | (np.int64(t) << np.int64(32)), "fp": batch.column("node"), **{f"c{k}": batch.column(f"c{k}") for k in range(COMPARED)}}
+
+
+def _alike(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) of a least spanning forest of the codes within `most` bits, cell by cell (rows come sorted)."""
+
+    def edges(cell: np.ndarray, node: np.ndarray, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        begin = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+        size = np.diff(np.append(begin, len(cell)))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in np.unique(size[(size > 1) & (size <= DIRECT)]):
+            x, y = np.triu_indices(k, 1)
+            first = begin[size == k][:, None]
+            for at in range(0, len(first), max(1, (1 << 20) // len(x))):
+                p, q = (first[at : at + max(1, (1 << 20) // len(x))] + x).reshape(-1), (first[at : at + max(1, (1 << 20) // len(x))] + y).reshape(-1)
+                near = np.bitwise_count(codes[p] ^ codes[q]).sum(axis=1) <= most
+                a.append(p[near])
+                b.append(q[near])
+        for k in np.flatnonzero(size > DIRECT):
+            kept = np.zeros((2, 0), np.int64)
+            for p, q in GrayIndex(codes[begin[k] : begin[k] + size[k]]).pairs(most):
+                both = np.concatenate((kept, [p, q]), axis=1)
+                far = np.bitwise_count(codes[begin[k] + both[0]] ^ codes[begin[k] + both[1]]).sum(axis=1)
+                kept = both[:, spanning(int(size[k]), both[0], both[1], far)]
+            a.append(begin[k] + kept[0])
+            b.append(begin[k] + kept[1])
+        p, q = np.concatenate(a), np.concatenate(b)
+        kept = spanning(len(cell), p, q, np.bitwise_count(codes[p] ^ codes[q]).sum(axis=1)) if len(p) else p
+        u, v = node[p[kept]], node[q[kept]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+
+    held: list[tuple] = []
+    rows = 0
+    for batch in batches:
+        salts = batch.column("a").to_numpy().astype(np.int64) * MOST_SALTS + batch.column("b").to_numpy()
+        cell = batch.column("cell").to_numpy() * np.int64(MOST_SALTS**2) + salts
+        held.append((cell, batch.column("fp").to_numpy(), np.stack([batch.column(f"c{k}").to_numpy().view(np.uint64) for k in range(COMPARED)], axis=1)))
+        rows += len(cell)
+        if rows >= 1 << 16:
+            cell, node, codes = (np.concatenate(x) for x in zip(*held, strict=True))
+            done = len(cell) - int(np.argmax(cell[::-1] != cell[-1])) if (cell != cell[-1]).any() else 0  # the last cell may go on
+            if done:
+                yield from edges(cell[:done], node[:done], codes[:done])
+            held, rows = [(cell[done:], node[done:], codes[done:])], len(cell) - done
+    if rows:
+        yield from edges(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def _sets(batch: pa.RecordBatch, words: int) -> Iterator[dict]:
+    yield {"s_id": batch.column("doc_id"), "set": [shingle_set(t, words).tobytes() for t in texts(batch)]}
+
+
+def _confirmed(batch: pa.RecordBatch, similarity: float) -> Iterator[dict]:
+    keep = []
+    for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        keep.append(both >= similarity * (len(x) + len(y) - both))
+    kept = batch.filter(pa.array(keep, pa.bool_()))
+    yield {"u": kept.column("u"), "v": kept.column("v")}
+
+
+def similar_documents(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, hot: int = HOT, owner: str = "similar") -> DataFrame:
+    """(doc_id, component_id) of each row with an id: documents whose sets of word shingles have a Jaccard similarity of
+    `similarity` or more are linked, and a component's id is its least doc_id.
+
+    Wide fingerprints of the sets go to cells of several tables, chosen bits of the fingerprint each; in a cell, codes
+    near each other are found directly or, in large cells, over the index; a least spanning forest of them leaves the
+    task, and of its edges those stay whose sets are similar enough by count. Equal sets are one code.
+
+    A null or wordless text has the empty set, and all such are linked; a text of any length is one set; equal rows get
+    equal results; rows without an id take no part and are not returned; rows that share an id are one document; an empty
+    table gives an empty result; only doc_id and text are read.
+    """
+    docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
+
+    def fingerprints(batch: pa.RecordBatch) -> Iterator[dict]:
+        codes = np.array([wide_fingerprint(shingle_set(t, words)) for t in texts(batch)], np.uint64).reshape(-1, LANES).view(np.int64)
+        yield {"doc_id": batch.column("doc_id"), **{f"c{k}": codes[:, k] for k in range(LANES)}}
+
+    lanes = [f"c{k}" for k in range(LANES)]
+    prints = materialize(map_batches(docs, fingerprints, CODES), owner, "prints", spread=True)
+    codes = materialize(prints.groupBy(*lanes).agg(F.min("doc_id").alias("node")), owner, "codes")
+    n = codes.count()
+    bits, tables = tables_for(n, similarity)
+    r = np.random.default_rng(13)
+    keys = np.array([r.permutation(64 * LANES)[:bits] for _ in range(tables)])
+    cells = map_batches(codes, lambda b: _cells(b, keys), "cell long, fp long, " + ", ".join(f"c{k} long" for k in range(COMPARED)))
+    dealt = salted(cells, hot, *lanes[:COMPARED])
+    share, width = differing(similarity), 64 * COMPARED
+    most = math.ceil(width * share + 3 * math.sqrt(width * share * (1 - share)))
+    tasks = max(task_count(docs), n * tables // AT_TASK)
+    dealt = dealt.repartition(tasks, "cell", "a", "b").sortWithinPartitions("cell", "a", "b", "fp")
+    near = materialize(small_batches(dealt).mapInArrow(lambda it: _alike(it, most), "u long, v long").where("u != v").distinct(), owner, "near")
+    ends = near.select(F.col("u").alias("w_id")).union(near.select("v")).distinct()
+    sets = materialize(map_batches(docs.join(ends, F.col("doc_id") == F.col("w_id"), "left_semi"), lambda b: _sets(b, words), "s_id long, set binary"), owner, "sets")
+    left = near.join(sets, F.col("u") == F.col("s_id")).select("u", "v", F.col("set").alias("left"))
+    both = left.join(sets, F.col("v") == F.col("s_id")).select("u", "v", "left", F.col("set").alias("right"))
+    roots = components(map_batches(both, lambda b: _confirmed(b, similarity), "u long, v long"), owner)
+    known = codes.join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").select(*[F.col(c).alias(f"k_{c}") for c in lanes], F.coalesce("root", "node").alias("component_id"))
+    return prints.join(known, [F.col(c) == F.col(f"k_{c}") for c in lanes]).select("doc_id", "component_id")
+
+
+def deduplicated(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, hot: int = HOT, owner: str = "dedup") -> DataFrame:
+    """The documents whose id is the least of their component; see similar_documents. Rows that share a doc_id are one
+    document and stay together; rows without an id stay too, since no other row can stand for them. All columns stay,
+    whatever their names; an empty table gives an empty one."""
+    keep = similar_documents(docs, words, similarity, hot, owner).where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"))
+    out = rows.join(keep, F.col("row.doc_id") == F.col("keep_id"), "left_semi").union(rows.where("row.doc_id IS NULL"))
+    return fewer(out.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of each document by the contract's parameters: 3-word shingles, 3 bits."""
     out = near_duplicates(documents(spark, sf_dir))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -219,7 +219,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    return pack(materialize(token_pieces(docs, tokenizer, capacity, end_id), owner, "pieces"), capacity, owner=owner)
+    return pack(materialize(token_pieces(docs, tokenizer, capacity, end_id), owner, "pieces", spread=True), capacity, owner=owner)
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

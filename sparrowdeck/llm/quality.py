@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, documents, materialize, words
+from .common import LOWER, UPPER, documents, fewer, materialize, words
 
 SYMBOLS = "#*$%&|<>"
 #: A line is boilerplate of a host from this many distinct documents on ...
@@ -82,7 +82,7 @@ def judged(docs: DataFrame, text: str = "text", host: str = "source", min_docs:
     What one pass over the texts measures (a few numbers for each document and line) is written as a table, since
     counting, removal and the verdict all read it.
     """
-    m = materialize(measured(docs, text, host), owner, "measured")
+    m = materialize(measured(docs, text, host), owner, "measured", spread=True)
     each = m.select("doc_id", "host", "body_hash", F.explode("lines").alias("l")).select("doc_id", "host", "body_hash", F.col("l.line").alias("line"))
     hosts = m.groupBy("host").agg(F.count_distinct("body_hash").alias("n_docs"))
     often = frequent_lines(each, hosts, min_docs, min_percent).withColumnRenamed("host", "o_host").withColumnRenamed("line", "o_line")
@@ -117,7 +117,7 @@ def clean(docs: DataFrame, text: str = "text", host: str = "source", owner: str
     out = rows.join(good, F.col("r_id").eqNullSafe(F.col("doc_id")) & F.col("r_host").eqNullSafe(F.col("host")) & (F.col("r_hash") == F.col("body_hash")))
     left = F.array_join(F.filter(F.split(F.col(f"row.{text}"), "\n"), lambda x: ~F.array_contains("cut", F.xxhash64(normalised(words(x))))), "\n")
     out = out.select("row", F.when(F.col("cut").isNull(), F.col(f"row.{text}")).otherwise(left).alias("new_text"))
-    return out.select(*[(F.col("new_text") if c == text else F.length("new_text").cast("long") if c == "n_chars" else F.col("row")[c]).alias(c) for c in docs.columns])
+    return fewer(out.select(*[(F.col("new_text") if c == text else F.length("new_text").cast("long") if c == "n_chars" else F.col("row")[c]).alias(c) for c in docs.columns]))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, materialize, ranges, small_batches, task_count, to_batch
+from .common import documents, fewer, map_batches, materialize, ranges, small_batches, task_count, to_batch
 from .segments import HOT, STEP, TABLE, Repeats, packed, segments, stirred, unpacked
 
 #: Bytes of a repeated string, and of the grams its minimiser is chosen from.
@@ -369,7 +369,7 @@ def with_spans(docs: DataFrame, spans: DataFrame, read: Callable[[bytes, list],
                 out[n].append(row[n])
         yield out
 
-    return map_batches(rows, apply, schema)
+    return fewer(map_batches(rows, apply, schema))
 
 
 def repeated_byte_spans(docs: DataFrame, window: int = BYTES, gram: int = BYTE_GRAM, hot: int = HOT, owner: str = "op5") -> DataFrame:
@@ -448,7 +448,7 @@ def without_repeats(docs: DataFrame, text: str = "text", window: int = BYTES, gr
         yield out
 
     fields = docs.schema
-    return map_batches(rows.select("row", "spans"), cut, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
+    return fewer(map_batches(rows.select("row", "spans"), cut, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)))
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -187,10 +188,107 @@ def test_links_of_clustered_codes(spark):
             codes.add(x)
     codes = sorted(codes)
     root = brute_components(dict(enumerate(codes)))
-    nodes = spark.createDataFrame([(c - (1 << 64) if c >> 63 else c, i) for i, c in enumerate(codes)], "fp long, node long")
-    for hot in (600, 7):
-        got = dict(nd.components(nd.links(nodes, hot=hot), "test").collect())
-        assert {i: got.get(i, i) for i in range(len(codes))} == root
+    signed = [c - (1 << 64) if c >> 63 else c for c in codes]
+    frame_ = spark.createDataFrame([(c,) for c in signed], "fp long")
+    for hot, blocks in ((600, None), (7, None), (600, 5), (20, 6)):
+        got = dict(nd.components(nd.links(frame_, hot=hot, blocks=blocks), "test").collect())
+        groups = defaultdict(set)
+        for i, c in enumerate(signed):
+            groups[got.get(c, c)].add(i)
+        assert {min(g): g for g in groups.values()} == {k: {i for i, x in root.items() if x == k} for k in set(root.values())}
+
+
+def test_blocks_grow_with_the_codes():
+    assert [nd.blocks_for(n) for n in (10, 9_000_000, 50_000_000, 10**11)] == [4, 4, 5, 6]
+    for blocks in (4, 5, 6):
+        assert all(bin(m).count("1") >= 64 * (blocks - 3) // blocks - 3 for m in nd.schemes(3, blocks))
+
+
+def jaccard(a, b):
+    def grams(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+
+    x, y = grams(a), grams(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def brute_similar(rows):
+    """Components of texts of a five-word Jaccard similarity of 0.8 or more."""
+    root = {d: d for d, _ in rows}
+    links = [(a, b) for k, (a, s) in enumerate(rows) for b, t in rows[k + 1 :] if jaccard(s, t) >= 0.8]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            m = min(root[a], root[b])
+            if root[a] != m or root[b] != m:
+                root[a] = root[b] = m
+                changed = True
+    return root
+
+
+def near_rows(seed, n=40):
+    r = random.Random(seed)
+    vocab = [f"w{k}" for k in range(4000)]
+    rows = []
+    for g in range(n):
+        base = [r.choice(vocab) for _ in range(r.choice([30, 120, 250]))]
+        rows.append((len(rows) * 7 % 1009, " ".join(base)))
+        for _ in range(r.choice([0, 1, 1, 8])):
+            w = list(base)
+            for _ in range(r.randint(0, max(1, len(w) // 40))):
+                w[r.randrange(len(w))] = r.choice(vocab)
+            rows.append((len(rows) * 7 % 1009, " ".join(w).upper() if r.random() < 0.2 else " ".join(w)))
+    return [*rows, (5000, None), (5001, ""), (5002, " \n"), (5003, "one two"), (5004, "ONE two"), (5005, "one"), (5006, "a b c " * 5000), (5007, "a b c " * 5000)]
+
+
+@pytest.mark.parametrize("hot", [600, 4])
+def test_similar_documents_against_brute_force(spark, hot):
+    rows = near_rows(3)
+    want = brute_similar(rows)
+    got = dict(nd.similar_documents(frame(spark, rows), hot=hot).collect())
+    # cells find nearly all pairs at the least similarity, and never join what is not similar
+    assert sum(got[d] == want[d] for d in want) >= 0.98 * len(want)
+    for d, c in got.items():
+        assert want[d] == want[c]
+
+
+def test_large_cells_take_the_index():
+    r = random.Random(1)
+    centre = [r.getrandbits(64) for _ in range(2)]
+    codes = np.array([[c ^ sum(1 << r.randrange(64) for _ in range(r.randint(0, 6))) & (2**64 - 1) for c in centre] for _ in range(150)], np.uint64)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(150, np.int64)), pa.array(np.zeros(150, np.int32)), pa.array(np.zeros(150, np.int32)), pa.array(np.arange(150)), *(pa.array(codes[:, k].view(np.int64)) for k in range(2))], names=["cell", "a", "b", "fp", "c0", "c1"])
+    edges = [(u, v) for b in nd._alike(iter([batch]), 8) for u, v in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    near = {(i, j) for i in range(150) for j in range(i) if int(np.bitwise_count(codes[i] ^ codes[j]).sum()) <= 8}
+    assert set(edges) <= near and len(edges) == len(set(edges))
+
+    def parts(links):
+        root = list(range(150))
+        for _ in range(150):
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert parts(edges) == parts(near)
+
+
+def test_a_row_without_id_links_others(spark):
+    base = brute_fingerprint("a b c d e f g h")
+    codes = [base, base ^ 0b111, base ^ 0b111111]
+    signed = [c - (1 << 64) if c >> 63 else c for c in codes]
+    edges = nd.links(spark.createDataFrame([(c,) for c in signed], "fp long")).collect()
+    assert len(edges) == 2
+
+
+def test_deduplicated_keeps_columns_and_rows_without_id(spark):
+    rows = [(None, "a b c d e f", 1, 2), (7, "a b c d e f", 1, 2), (7, "a b c d e f", 1, 2), (8, "a b c d e f", 3, 4), (9, None, 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, keep_id long, component_id long")
+    out = nd.deduplicated(docs)
+    assert out.columns == docs.columns and sorted(str(r[0]) for r in out.collect()) == ["7", "7", "9", "None"]
+    assert nd.deduplicated(docs.where("false")).count() == 0
 
 
 def test_rows_without_id_take_no_part(spark):
