@@ -126,12 +126,9 @@ class Plan:
             used[length] = used.get(length, 0) + 1
         room = self.capacity - sum(got)
         while room > 0 and (length := self._longest(room, used)) is not None:
-            fits = min(self.left[length] - used.get(length, 0), room // length)
-            # places of one length at once, but no more than leaves the step repeatable
             got = [*got, length]
             used[length] = used.get(length, 0) + 1
             room -= length
-            del fits
         n = min(self.left[k] // m for k, m in used.items())
         n = max(1, n if times is None else min(n, times))
         self.steps.append((got, n))
@@ -161,25 +158,26 @@ def slots(steps: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, text: str = "text") -> DataFrame:
     """Pieces of the documents' ids: (doc_id, piece, start, length, ids_crc32). Longer documents are cut at the capacity."""
     encoder: list[WordEncoder] = []
-    end = np.array([end_id], "<u4").tobytes()
 
     def cut(batch: pa.RecordBatch) -> Iterator[dict]:
         if not encoder:
             encoder.append(WordEncoder(tokenizer))
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            ids = encoder[0].encode(x or "" for x in part.column(text).to_pylist())
-            rows = [(d, k, k * capacity, len(p) // 4, zlib.crc32(p)) for d, x in zip(part.column("doc_id").to_pylist(), ids, strict=True) for k, p in enumerate(_pieces(x + end, 4 * capacity))]
-            yield dict(zip(("doc_id", "piece", "start", "length", "ids_crc32"), map(list, zip(*rows, strict=True)), strict=True))
+        ids, ends = encoder[0].flat(batch.column(text).cast(pa.string()))
+        size = np.diff(np.concatenate(([0], ends))) + 1
+        all_ids = np.full(len(ids) + len(ends), end_id, "<u4")
+        all_ids[np.arange(len(ids)) + np.searchsorted(ends, np.arange(len(ids)), side="right")] = ids
+        count = -(-size // capacity)
+        row = np.repeat(np.arange(len(size)), count)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        start = piece * capacity
+        length = np.minimum(capacity, size[row] - start)
+        at = (np.cumsum(size) - size)[row] + start
+        crc = [zlib.crc32(all_ids[a:b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
+        yield {"doc_id": batch.column("doc_id").take(pa.array(row)), "piece": piece, "start": start, "length": length, "ids_crc32": crc}
 
     return map_batches(docs.select("doc_id", text), cut, PIECES)
 
 
-def _pieces(x: bytes, size: int) -> Iterator[bytes]:
-    for at in range(0, len(x), size):
-        yield x[at : at + size]
-
-
 def pack(pieces: DataFrame, capacity: int = CAPACITY, classes: int = CLASSES, depth: int = DEPTH, buckets: int = BUCKETS, owner: str = "op9") -> DataFrame:
     """Add sequence_id and offset to pieces of at most `capacity` tokens.
 

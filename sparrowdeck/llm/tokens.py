@@ -8,6 +8,12 @@ import re
 from array import array
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .common import ranges
+
 #: Entries of a cache; a full one starts anew.
 CACHE = 1_200_000
 #: Letters, and after them punctuation that is one piece; apostrophes and the characters of special tokens are not plain.
@@ -16,14 +22,26 @@ _plain_piece = re.compile(r" [A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 #: Texts of these characters alone are cut by a pattern of the faster library; it cuts them as the tokenizer's own does.
 _common_text = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*").fullmatch
 _common_pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+").findall
-_to_space = str.maketrans("\t\n\x0b\x0c\r", "     ")
 
 
-def cut_at_breaks(text: str) -> list[str]:
-    """The words of a text between ASCII white space, some perhaps cut at other white space as well."""
-    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:  # white space to split() only
-        return text.translate(_to_space).split(" ")
-    return text.split()
+def cut_words(text: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, pa.Array]:
+    """(ends of the texts in the words, words, code of each word, distinct words) of an array of texts; null is empty."""
+    lists = pc.ascii_split_whitespace(text.fill_null("") if text.null_count else text)
+    flat = lists.flatten()
+    there = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+    before = np.concatenate(([0], np.cumsum(there)))
+    offsets = lists.offsets.to_numpy()
+    flat = flat.filter(pa.array(there))
+    coded = flat.dictionary_encode()
+    return before[offsets[1:] - offsets[0]], flat, coded.indices.to_numpy(), coded.dictionary
+
+
+def split_buffer(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary array of consecutive parts of `data` that end at these elements."""
+    offsets = np.concatenate(([0], ends)).astype(np.int64) * data.itemsize
+    if offsets[-1] >= 1 << 31:
+        return pa.array([data[a:b].tobytes() for a, b in zip(np.concatenate(([0], ends[:-1])), ends, strict=True)], pa.large_binary())
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -98,7 +116,7 @@ class _Encoder(dict):
 class WordEncoder(_Encoder):
     """Little-endian unsigned 32-bit ids of a tokenizer that drops white space, ends words with a mark and lower-cases.
 
-    Gives the same ids as the tokenizer on the whole text: words are cut at white space, over which neither its
+    Gives the same ids as the tokenizer on the whole text: words are cut at ASCII white space, over which neither its
     normalisation nor its pre-tokenizer nor its special tokens reach. Plain words are encoded by their letters in lower
     case; punctuation after them is a piece of its own.
     """
@@ -119,8 +137,25 @@ class WordEncoder(_Encoder):
         self[word] = ids
         return ids
 
+    def looked_up(self, codes: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words with these codes, end of each word's ids). Each distinct word is looked up once."""
+        if len(self) > self.cache:
+            self.clear()
+        got = list(map(self.__getitem__, words.to_pylist()))
+        lengths = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        pool = np.frombuffer(b"".join(got), "<u4")
+        each = lengths[codes]
+        return pool[ranges((np.cumsum(lengths) - lengths)[codes], each)], np.cumsum(each)
+
+    def flat(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the texts, one after the other, end of each)."""
+        ends, _, codes, words = cut_words(text)
+        ids, after = self.looked_up(codes, words)
+        return ids, np.concatenate(([0], after))[ends]
+
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        return [self._joined(cut_at_breaks(t)) for t in texts]
+        ids, ends = self.flat(pa.array(list(texts), pa.string()))
+        return [x.tobytes() for x in np.split(ids, ends[:-1])] if len(ends) else []
 
 
 class PieceEncoder(_Encoder):
