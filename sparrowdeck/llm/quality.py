@@ -12,8 +12,9 @@ from .common import LOWER, UPPER, documents, fewer, materialize, words
 SYMBOLS = "#*$%&|<>"
 #: A line is boilerplate of a host from this many distinct documents on ...
 MIN_DOCS = 10
-#: ... if these are also at least this percentage of the host's distinct documents.
-MIN_PERCENT = 5
+#: ... if so many times the square of their number also reaches the host's distinct documents. So the share that makes a
+#: line boilerplate falls as a host grows (7 % of 100 documents, 0.07 % of a million), and removal doesn't dwindle.
+SQUARES = 2
 #: A document is depleted if fewer than this percentage of its words remain.
 MIN_LEFT_PERCENT = 30
 
@@ -70,13 +71,13 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def frequent_lines(lines: DataFrame, hosts: DataFrame, min_docs: int, min_percent: int) -> DataFrame:
+def frequent_lines(lines: DataFrame, hosts: DataFrame, min_docs: int, squares: int) -> DataFrame:
     """(host, line) of the lines over both limits. lines: (host, line, body_hash); hosts: (host, n_docs)."""
     counted = lines.groupBy("host", "line").agg(F.count_distinct("body_hash").alias("n")).where(F.col("n") >= min_docs)
-    return counted.join(hosts, counted["host"].eqNullSafe(hosts["host"])).where(100 * F.col("n") >= min_percent * F.col("n_docs")).select(counted["host"], "line")
+    return counted.join(hosts, counted["host"].eqNullSafe(hosts["host"])).where(squares * F.col("n") * F.col("n") >= F.col("n_docs")).select(counted["host"], "line")
 
 
-def judged(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, min_percent: int = MIN_PERCENT, min_left_percent: int = MIN_LEFT_PERCENT, owner: str = "op1") -> DataFrame:
+def judged(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, squares: int = SQUARES, min_left_percent: int = MIN_LEFT_PERCENT, owner: str = "op1") -> DataFrame:
     """Base counts, removed lines and verdict of each document; see quality_rules.
 
     What one pass over the texts measures (a few numbers for each document and line) is written as a table, since
@@ -85,7 +86,7 @@ def judged(docs: DataFrame, text: str = "text", host: str = "source", min_docs:
     m = materialize(measured(docs, text, host), owner, "measured", spread=True)
     each = m.select("doc_id", "host", "body_hash", F.explode("lines").alias("l")).select("doc_id", "host", "body_hash", F.col("l.line").alias("line"))
     hosts = m.groupBy("host").agg(F.count_distinct("body_hash").alias("n_docs"))
-    often = frequent_lines(each, hosts, min_docs, min_percent).withColumnRenamed("host", "o_host").withColumnRenamed("line", "o_line")
+    often = frequent_lines(each, hosts, min_docs, squares).withColumnRenamed("host", "o_host").withColumnRenamed("line", "o_line")
     cut = each.join(often, F.col("host").eqNullSafe(F.col("o_host")) & (F.col("line") == F.col("o_line")))
     cut = cut.groupBy(F.col("doc_id").alias("c_id"), F.col("host").alias("c_host")).agg(F.collect_set("line").alias("cut_lines"))
     out = m.join(cut, F.col("doc_id").eqNullSafe(F.col("c_id")) & F.col("host").eqNullSafe(F.col("c_host")), "left")
@@ -95,23 +96,29 @@ def judged(docs: DataFrame, text: str = "text", host: str = "source", min_docs:
     return out.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(left))
 
 
-def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, min_percent: int = MIN_PERCENT, min_left_percent: int = MIN_LEFT_PERCENT) -> DataFrame:
+def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, squares: int = SQUARES, min_left_percent: int = MIN_LEFT_PERCENT) -> DataFrame:
     """Verdict of each document: base counts, words in removed lines, kept.
 
     Lines with a word are normalised and hashed; distinct documents (by a hash of the whole text) are counted for each line of a host.
     Lines over the limits are removed; a document of which too few words remain is rejected, as is one that fails the
     base rules. A null text has no words and fails the base rules; a null host is a host of its own; equal rows get equal
-    verdicts and are all returned; an empty table gives an empty result. Only doc_id, text and host are read, so further
-    columns, whatever their names, don't matter.
+    verdicts and are all returned; a null doc_id is a value like any other; a text of any length is measured whole, in
+    arrays of its words and lines; an empty table gives an empty result. Only doc_id, text and host are read, so further
+    columns, whatever their names, don't matter. Exact copies of a text count once: else the lines of a text that was
+    copied a thousand times would be boilerplate, and all its copies would go.
 
     Counting goes through partial sums, so a line that a third of the documents carry is one row a task. The join of
     lines with the frequent ones is an equi-join that Spark broadcasts or splits by size.
     """
-    return judged(docs, text, host, min_docs, min_percent, min_left_percent).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
+    return judged(docs, text, host, min_docs, squares, min_left_percent).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
 
 
 def clean(docs: DataFrame, text: str = "text", host: str = "source", owner: str = "op1", **options: int) -> DataFrame:
-    """The documents that quality_rules keeps, without the lines it removes; n_chars, if there, is counted anew."""
+    """The documents that quality_rules keeps, without the lines it removes; n_chars, if there, is counted anew.
+
+    Nulls, ties, repeated rows, empty and very long texts are as there: a null or empty text fails the base rules and
+    goes, repeated rows stay or go together. All columns stay, whatever their names; an empty table gives an empty one.
+    """
     good = judged(docs, text, host, owner=owner, **options).where("kept").groupBy("doc_id", "host", "body_hash").agg(F.first("cut_lines").alias("cut"))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("r_id"), F.col(host).cast("string").alias("r_host"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("r_hash"))
     out = rows.join(good, F.col("r_id").eqNullSafe(F.col("doc_id")) & F.col("r_host").eqNullSafe(F.col("host")) & (F.col("r_hash") == F.col("body_hash")))
@@ -121,25 +128,24 @@ def clean(docs: DataFrame, text: str = "text", host: str = "source", owner: str
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules, with their defaults, over the documents table."""
     return quality_rules(documents(spark, sf_dir))
 
 
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS body FROM documents),
-w AS (SELECT doc_id, host, body, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS w FROM d),
+w AS (SELECT doc_id, host, body, md5(body) AS text_id, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS w FROM d),
 win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM w, unnest(range(1, len(w) - 1)) AS t(i)),
 rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, unnest([0, 1, 2]) AS t(k) GROUP BY 1),
-sig3 AS (SELECT doc_id, min(md5(g)) AS sig FROM win GROUP BY 1),
-base AS (SELECT w.doc_id, host, body, len(w)::BIGINT AS n_words, coalesce(sig, md5(array_to_string(w, ' '))) AS sig, coalesce(cov.n, 0)::BIGINT AS n_repeat_words
-  FROM w LEFT JOIN sig3 USING (doc_id) LEFT JOIN cov USING (doc_id)),
-raw_lines AS (SELECT doc_id, host, sig, unnest(string_split(body, chr(10))) AS l FROM base),
-lines AS (SELECT doc_id, host, sig, l, trim(regexp_replace(translate(l, '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n
+base AS (SELECT w.doc_id, host, body, text_id, len(w)::BIGINT AS n_words, coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN cov USING (doc_id)),
+raw_lines AS (SELECT doc_id, host, text_id, unnest(string_split(body, chr(10))) AS l FROM base),
+lines AS (SELECT doc_id, host, text_id, l, trim(regexp_replace(translate(l, '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n
   FROM raw_lines WHERE len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) > 0),
 dup AS (SELECT doc_id, (count(*) - count(DISTINCT l))::BIGINT AS n_dup_lines FROM lines GROUP BY 1),
-hosts AS (SELECT host, count(DISTINCT sig) AS n_docs FROM base GROUP BY 1),
-often AS (SELECT f.host, line FROM (SELECT host, line, count(DISTINCT sig) AS n FROM lines GROUP BY 1, 2) f JOIN hosts h ON f.host IS NOT DISTINCT FROM h.host
-  WHERE n >= {MIN_DOCS} AND 100 * n >= {MIN_PERCENT} * n_docs),
+hosts AS (SELECT host, count(DISTINCT text_id) AS n_docs FROM base GROUP BY 1),
+often AS (SELECT f.host, line FROM (SELECT host, line, count(DISTINCT text_id) AS n FROM lines GROUP BY 1, 2) f JOIN hosts h ON f.host IS NOT DISTINCT FROM h.host
+  WHERE n >= {MIN_DOCS} AND {SQUARES} * n * n >= n_docs),
 cut AS (SELECT doc_id, sum(n)::BIGINT AS n_removed FROM lines l JOIN often o ON l.line = o.line AND l.host IS NOT DISTINCT FROM o.host GROUP BY 1)
 SELECT b.doc_id, n_words, length(regexp_replace(body, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
   (length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, n_repeat_words,

@@ -54,6 +54,32 @@ def test_clean_takes_lines_out(spark):
     assert out[100]["text"] == text(100) + "\nend" and 200 not in out
 
 
+def long_line_rows(n=300, bearers=60):
+    """Documents of which some are one long common line and a few words of their own."""
+    common = text(3, 300)
+    return [(i, f"{common}\n{text(1000 + i, 6)}" if i < bearers else text(1000 + i, 90), "h", "en", 1) for i in range(n)]
+
+
+@pytest.mark.parametrize("bearers, gone", [(60, True), (20, True), (9, False)])
+def test_bearers_of_one_long_line_go(spark, tmp_path, bearers, gone):
+    got, want = both(spark, quality.op1_quality_rules, quality.ORACLE, long_line_rows(bearers=bearers), tmp_path)
+    assert got == want
+    assert all(r[7] == (not gone or r[0] >= bearers) and (r[8] == 300) == (gone and r[0] < bearers) for r in got)
+
+
+def test_null_ids_repeated_rows_and_long_texts(spark):
+    long = " ".join(f"w{k}" for k in range(100_000))
+    rows_ = [(None, text(1), "h"), (1, text(2), "h"), (1, text(2), "h"), (2, long, None), (3, "x " * 50_000, "h")]
+    got = sorted(((r["doc_id"] is None, r["doc_id"], r["n_words"], r["kept"]) for r in quality.quality_rules(spark.createDataFrame(rows_, "doc_id long, text string, source string")).collect()), key=repr)
+    assert got == sorted([(True, None, 60, True), (False, 1, 60, True), (False, 1, 60, True), (False, 2, 100_000, True), (False, 3, 50_000, False)], key=repr)
+
+
+def test_limit_falls_with_the_host(spark):
+    m = spark.createDataFrame([("h", 1, k) for k in range(80)] + [("h", 2, k) for k in range(60)], "host string, line long, body_hash long")
+    hosts = spark.createDataFrame([("h", 10_000)], "host string, n_docs long")
+    assert [r["line"] for r in quality.frequent_lines(m, hosts, quality.MIN_DOCS, quality.SQUARES).collect()] == [1]
+
+
 def test_depleted_documents_go(spark):
     shared = [text(k, 12) for k in range(5)]
     docs = spark.createDataFrame([(i, "\n".join([*shared, text(500 + i, 20)]), "h") for i in range(100)] + [(999, text(99), "h")], "doc_id long, text string, source string")
