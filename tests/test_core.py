@@ -136,7 +136,8 @@ def test_tables(spark, tmp_path):
     db.drop_index("items", "u")
     db.drop_column("items", "label")
     assert db.read("items").columns == ["id", "qty", "extra"]
-    assert db.purge("items") > 3 and db.read("items").count() == 1
+    assert db.scan_versions("items").select("version").distinct().count() > 3
+    assert db.purge() > 3 and db.read("items").count() == 1
     t1, t2 = tables.Transaction(db), tables.Transaction(db)
     t1.replace("items", t1.read("items").withColumn("qty", F.lit(9)))
     t2.replace("items", t2.read("items").withColumn("qty", F.lit(8)))
@@ -152,6 +153,66 @@ def test_tables(spark, tmp_path):
         db.read("items")
 
 
+def test_a_dropped_name_added_anew_is_null(spark, tmp_path):
+    db, col = tables.Database(spark, f"file://{tmp_path}"), tables.ColumnDef
+    db.create_table("t", tables.TableDef((col("id", "INT"), col("v", "INT"))))
+    db.insert("t", [(1, 7), (2, 8)])
+    before = db.version("t")
+    db.drop_column("t", "v")
+    db.add_column("t", col("v", "VARCHAR(5)"))
+    assert sorted(map(tuple, db.read("t").collect())) == [(1, None), (2, None)]
+    db.insert("t", [(3, "x")])
+    assert sorted(map(tuple, db.read("t").collect())) == [(1, None), (2, None), (3, "x")]
+    assert sorted(map(tuple, db.read("t", before).collect())) == [(1, 7), (2, 8)]
+
+
+def test_a_commit_over_two_tables_is_atomic(spark, tmp_path):
+    db, col = tables.Database(spark, f"file://{tmp_path}"), tables.ColumnDef
+    for name in ("a", "b"):
+        db.create_table(name, tables.TableDef((col("id", "INT"), col("v", "INT"))))
+        db.insert(name, [(1, 1), (2, 2)])
+    one = tables.Transaction(db)
+    one.insert("a", [(3, 3)])
+    one.update("b", {"v": F.lit(9)}, F.col("id") == 1)
+    assert one.read("a").count() == 3 and db.read("a").count() == 2  # its own changes are seen by it alone
+    assert db.update("b", {"v": F.lit(5)}, F.col("id") == 1) == 1
+    with pytest.raises(tables.Conflict):
+        one.commit()
+    assert db.read("a").count() == 2 and {r["v"] for r in db.read("b").collect()} == {5, 2}
+    two = tables.Transaction(db)
+    two.insert("a", [(3, 3)])
+    two.delete("b")
+    db.insert("a", [(4, 4)])  # adding rows is no conflict
+    two.commit()
+    assert sorted(r["id"] for r in db.read("a").collect()) == [1, 2, 3, 4] and db.read("b").count() == 0
+    three = tables.Transaction(db, "read committed")
+    db.insert("b", [(5, 5)])
+    assert three.read("b").count() == 1 and tables.Transaction(db).read("b").count() == 1
+    three.insert("b", [(6, 6)])
+    three.rollback()
+    assert db.read("b").count() == 1
+
+
+def test_only_touched_files_are_rewritten_and_seeks_skip_files(spark, tmp_path):
+    db, col = tables.Database(spark, f"file://{tmp_path}"), tables.ColumnDef
+    db.create_table("t", tables.TableDef((col("id", "BIGINT"), col("v", "BIGINT"))))
+    db.insert("t", spark.range(1000).selectExpr("id", "id AS v"))
+    db.insert("t", spark.range(1000, 1010).selectExpr("id", "id AS v"))
+    first = set(db.state("t").files)
+    assert db.update("t", {"v": F.lit(-1)}, F.col("id") == 1005) == 1
+    assert len(first & set(db.state("t").files)) >= len(first) - 4
+    db.create_index("t", "by_id", ["id"], unique=True)
+    db.cluster("t")
+    got = db.seek("t", "by_id", low=10, high=20)
+    assert got.count() == 11 and db.seek("t", "by_id", equal=[500]).count() == 1
+    assert "PushedFilters: [IsNotNull" in got._jdf.queryExecution().toString()
+    with pytest.raises(tables.TableError, match="duplicate"):
+        db.insert("t", [(20, 1)])
+    with pytest.raises(tables.TableError, match="duplicate"):
+        db.update("t", {"id": F.lit(3)}, F.col("id") == 4)
+    assert db.update("t", {"id": F.col("id") + 1}) == 1010
+
+
 # ---- key-value
 
 
