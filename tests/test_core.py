@@ -379,3 +379,53 @@ def test_every_query_runs(spark, sf):
     for name, query in catalog.queries().items():
         assert query(spark, sf).limit(5).count() >= 0, name
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
+
+
+# ---- statements over a database
+
+
+def test_null_candidates_and_names_in_literals(spark, users, scores):
+    assert sorted(ask(spark, "SELECT id FROM users WHERE id NOT IN (2, @p)", {"p": None}, users=users)) == [(1,), (3,)]
+    assert sorted(ask(spark, "SELECT id FROM users WHERE id NOT IN (2, NULLIF(id, id))", users=users)) == [(1,), (3,)]
+    assert ask(spark, "SELECT id FROM users WHERE id IN (@p)", {"p": None}, users=users) == []
+    assert ask(spark, "SELECT 'rows from users today', id FROM users WHERE id = 1", users=users) == [("rows from users today", 1)]
+    assert ask(spark, "SELECT users FROM t, users WHERE users = id", t=spark.createDataFrame([(1,)], "users long"), users=users) == [(1,)]
+    assert ask(spark, "WITH users AS (SELECT 5 AS id) SELECT id FROM users", users=users) == [(5,)]
+    odd = spark.createDataFrame([("a\\b",), ("ab",)], "x string")
+    assert ask(spark, "SELECT x FROM odd WHERE x LIKE @p", {"p": "a\\_"}, odd=odd) == [("a\\b",)]
+    assert ask(spark, "SELECT EXTRACT(YEAR FROM d) AS y FROM t", t=spark.createDataFrame([(dt.date(2024, 1, 1),)], "d date")) == [(2024,)]
+
+
+def test_statements(spark, tmp_path):
+    db = tables.Database(spark, f"file://{tmp_path}")
+    run = lambda text, **p: dialect.execute(db, text, p)
+    rows = lambda text, **p: sorted(map(tuple, run(text, **p).collect()), key=repr)
+    run("CREATE TABLE Items (id INT PRIMARY KEY, label VARCHAR(20) DEFAULT 'none', price DECIMAL(10, 2), qty INT DEFAULT -1);")
+    run("CREATE TABLE IF NOT EXISTS Items (id INT)")
+    assert run("INSERT INTO items (id, price) VALUES (1, 2.5), (2, NULL), (3, @p)", p=7) == 3
+    assert rows("SELECT id, label, qty FROM items WHERE price IS NULL") == [(2, "none", -1)]
+    assert run("UPDATE items SET qty = qty + id, label = 'it''s, ok' WHERE id > 1 AND id NOT IN (@a, NULL)", a=3) == 1
+    assert rows("SELECT id, label, qty FROM items WHERE id = 2") == [(2, "it's, ok", 1)]
+    assert run("UPDATE items SET qty = qty / 2 WHERE id IN (SELECT MAX(id) FROM items)") == 1
+    assert rows("SELECT qty FROM items WHERE id = 3") == [(0,)]
+    run("CREATE TABLE copies (id BIGINT, price DOUBLE)")
+    assert run("INSERT INTO copies SELECT id, price FROM items WHERE price > 2") == 2
+    assert run("DELETE FROM copies WHERE price > 5") == 1 and run("DELETE FROM copies") == 1
+    run("CREATE UNIQUE INDEX u ON items (id)")
+    with pytest.raises(tables.TableError, match="duplicate"):
+        run("INSERT INTO items (id) VALUES (9), (2)")
+    run("DROP INDEX u")
+    run("DROP INDEX IF EXISTS u")
+    run("ALTER TABLE items DROP COLUMN label")
+    run("ALTER TABLE items ADD COLUMN label INT")
+    assert rows("SELECT DISTINCT label FROM items") == [(None,)]
+    t = tables.Transaction(db)
+    assert dialect.execute(t, "DELETE FROM items WHERE id = 1") == 1
+    assert dialect.execute(t, "SELECT COUNT(*) FROM items").first()["count"] == 2 and rows("SELECT COUNT(*) FROM items") == [(3,)]
+    t.commit()
+    assert rows("SELECT COUNT(*) FROM items") == [(2,)]
+    run("DROP TABLE items")
+    run("DROP TABLE IF EXISTS items")
+    for bad in ("INSERT INTO copies VALUES (1, 2", "UPDATE copies price = 2", "CREATE VIEW v", "ALTER TABLE copies RENAME x", "DELETE copies", "CREATE TABLE q (a POINT)"):
+        with pytest.raises(ValueError):
+            run(bad)
