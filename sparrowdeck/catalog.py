@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .functions import cron
 from .operators import graph, keyvalue, mapping, tables, validation
-from .plans import relational
+from .plans import relational, statements
 from .sources import formats
 from .streaming import events
 
-MODULES = (relational, keyvalue, tables, graph, validation, mapping, formats, cron, events)
+MODULES = (relational, statements, keyvalue, tables, graph, validation, mapping, formats, cron, events)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

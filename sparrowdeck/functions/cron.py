@@ -49,11 +49,15 @@ def matches(expression: str, ts: Column) -> Column:
 
 
 def occurrences(spark: SparkSession, expression: str, start: str, end: str) -> DataFrame:
-    """(ts) of a schedule from start (inclusive) to end (exclusive); days are dealt out before minutes are made."""
-    days = spark.sql("SELECT explode(sequence(to_date(:a), to_date(:b))) AS day", args={"a": start, "b": end})
-    at = days.select(F.explode(F.sequence(F.col("day").cast("timestamp_ntz"), F.col("day").cast("timestamp_ntz") + F.expr("INTERVAL '23:59' HOUR TO MINUTE"), F.expr("INTERVAL 1 MINUTE"))).alias("ts"))
-    bounds = (F.col("ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("ts") < F.lit(end).cast("timestamp_ntz"))
-    return at.where(bounds & matches(expression, F.col("ts")))
+    """(ts) of a schedule from start (inclusive) to end (exclusive): the days that match, each with the minutes of a day
+    that the first two fields name."""
+    fields = expression.split()
+    matches(expression, F.lit(None).cast("timestamp_ntz"))  # a bad schedule fails here
+    minutes = [60 * h + m for h in sorted(values(fields[1], *FIELDS[1][1:])) for m in sorted(values(fields[0], *FIELDS[0][1:]))]
+    days = spark.sql("SELECT CAST(d AS TIMESTAMP_NTZ) AS day FROM (SELECT explode(sequence(to_date(:a), to_date(:b))) AS d)", args={"a": start, "b": end})
+    days = days.where(matches(f"* * {' '.join(fields[2:])}", F.col("day")))
+    at = days.withColumn("minute", F.explode(F.array(*map(F.lit, minutes)))).select((F.col("day") + F.make_dt_interval(mins=F.col("minute"))).alias("ts"))
+    return at.where((F.col("ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("ts") < F.lit(end).cast("timestamp_ntz")))
 
 
 QUERIES = {

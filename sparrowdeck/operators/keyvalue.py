@@ -143,9 +143,24 @@ def _shown(df: DataFrame) -> DataFrame:
     return df.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "etag")
 
 
+def _three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of events of each type, keyed by type."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.groupBy(F.concat(F.lit("b:"), "event_type").cast("binary").alias("key")).agg(F.count(F.lit(1)).cast("string").cast("binary").alias("value"), F.max("event_id").alias("etag"))
+
+
+def _commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store after commands of which some do not apply."""
+    store = _three(spark, sf_dir)
+    for text, given in (("PUT @k @v", {"k": "a", "v": "1"}), ("PUT @k @v IF ABSENT", {"k": "a", "v": "2"}), ("PUT @k @v IF ABSENT", {"k": "c", "v": "3"}), ("PUT @k @v IF @e", {"k": "c", "v": "4", "e": -5}), ("DELETE @k", {"k": "b:view"}), ("DELETE @k IF @e", {"k": "b:click", "e": -5})):
+        store = command(store, text, given).store
+    return store.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
 QUERIES = {
-    "kv_get": lambda s, d: _shown(get(events_store(s, d), b"click:00000007")),
-    "kv_exists": lambda s, d: exists(events_store(s, d), b"click:00000007"),
+    "kv_get": lambda s, d: _shown(command(_three(s, d), "GET @k", {"k": "b:view"})),
+    "kv_exists": lambda s, d: command(_three(s, d), "EXISTS @k", {"k": "b:view"}).union(command(_three(s, d), "EXISTS @k", {"k": "b:zzz"})),
+    "kv_put_delete": _commands,
     "kv_scan": lambda s, d: _shown(scan(events_store(s, d), b"click:", b"purchase:")),
     "kv_prefix": lambda s, d: _shown(scan(events_store(s, d), prefix=b"purchase:")),
     "kv_scan_limit": lambda s, d: _shown(scan(events_store(s, d), limit=17)),
@@ -154,8 +169,9 @@ QUERIES = {
 }
 _STORE = "(SELECT event_type || ':' || lpad(event_id::VARCHAR, 8, '0') AS key, props AS value, event_id AS etag FROM events)"
 ORACLES = {
-    "kv_get": f"SELECT * FROM {_STORE} WHERE key = 'click:00000007'",
-    "kv_exists": f'SELECT count(*) > 0 AS "exists" FROM {_STORE} WHERE key = \'click:00000007\'',
+    "kv_get": "SELECT 'b:' || event_type AS key, count(*)::VARCHAR AS value, max(event_id) AS etag FROM events WHERE event_type = 'view' GROUP BY event_type",
+    "kv_exists": 'SELECT count(*) > 0 AS "exists" FROM events WHERE event_type = \'view\' UNION ALL SELECT FALSE',
+    "kv_put_delete": "SELECT 'b:' || event_type AS key, count(*)::VARCHAR AS value FROM events WHERE event_type <> 'view' GROUP BY event_type UNION ALL SELECT 'a', '1' UNION ALL SELECT 'c', '3'",
     "kv_scan": f"SELECT * FROM {_STORE} WHERE key >= 'click:' AND key < 'purchase:' ORDER BY key",
     "kv_prefix": f"SELECT * FROM {_STORE} WHERE starts_with(key, 'purchase:') ORDER BY key",
     "kv_scan_limit": f"SELECT * FROM {_STORE} ORDER BY key LIMIT 17",

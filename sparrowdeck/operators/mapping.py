@@ -7,6 +7,9 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..lineage import cut
 
 
 @dataclass(frozen=True)
@@ -68,9 +71,29 @@ def layered(*layers: DataFrame, path: str = "path") -> DataFrame:
 
 
 def bind_object(pairs: DataFrame, schema: str, path: str = "path", value: str = "value", key: str = "id") -> DataFrame:
-    """Objects from path/value pairs: one row a key, the fields of a DDL schema read from paths of their names."""
-    fields = [tuple(f.strip().split(None, 1)) for f in schema.split(",")]
-    return pairs.groupBy(key).agg(*[F.max(F.when(F.lower(path) == n.lower(), F.col(value))).cast(t).alias(n) for n, t in fields])
+    """Objects from path/value pairs: one row a key, the fields of a DDL schema read from paths of their names; a nested
+    struct reads from paths below its own, an array of scalars from the indexes below it, a map from its last segments."""
+
+    def leaf(at: str, kind: T.DataType) -> Column:
+        return F.max(F.when(F.lower(path) == at.lower(), F.col(value))).cast(kind)
+
+    def below(at: str) -> Column:
+        """(segment, value) of the paths one step below."""
+        inside = F.lower(F.substring(path, 1, len(at) + 1)) == f"{at}:".lower()
+        rest = F.substring(F.col(path), F.lit(len(at) + 2), F.length(path))
+        return F.collect_list(F.when(inside & ~F.contains(rest, F.lit(":")), F.struct(rest.alias("k"), F.col(value).alias("v"))))
+
+    def read(at: str, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StructType):
+            return F.struct(*[read(f"{at}:{f.name}", f.dataType).alias(f.name) for f in kind.fields])
+        if isinstance(kind, T.ArrayType):
+            placed = F.array_sort(F.transform(below(at), lambda x: F.struct(x["k"].cast("int").alias("i"), x["v"].alias("v"))))
+            return F.transform(placed, lambda x: x["v"].cast(kind.elementType))
+        if isinstance(kind, T.MapType):
+            return F.map_from_entries(F.transform(below(at), lambda x: F.struct(x["k"], x["v"].cast(kind.valueType))))
+        return leaf(at, kind)
+
+    return pairs.groupBy(key).agg(*[read(f.name, f.dataType).alias(f.name) for f in T._parse_datatype_string(schema).fields])
 
 
 def bind_array(pairs: DataFrame, path: str = "path", value: str = "value", key: str = "id") -> DataFrame:
@@ -96,19 +119,27 @@ def upsert(store: DataFrame, changes: DataFrame, key: str = "key") -> DataFrame:
     return kept.unionByName(changes.where(" OR ".join(f"`{c}` IS NOT NULL" for c in values)).select(*store.columns))
 
 
+def cleared(store: DataFrame) -> DataFrame:
+    """The store without entries."""
+    return store.where(F.lit(False))
+
+
 def evict(entries: DataFrame, limit: int, compaction: float = 0.05) -> DataFrame:
     """Entries (size, priority, last_access, keep boolean) after eviction to limit less its compaction share.
 
-    Lowest priority goes first, then the least recently used; those to keep are exempt. Priorities and access times are
-    summed per (priority, last_access) first, so the running total is over distinct times, not entries.
+    Lowest priority goes first, then the least recently used; those to keep are exempt. Sizes are summed per (priority,
+    last_access), dealt out by ranges of these; the sums of ranges, as many as there are tasks, are added up first, and
+    each range is summed on its own.
     """
     total = entries.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     if total <= limit:
         return entries
     need = total - int(limit * (1 - compaction))
     steps = entries.where(~F.col("keep")).groupBy("priority", "last_access").agg(F.sum("size").alias("step"))
-    w = Window.orderBy("priority", "last_access").rowsBetween(Window.unboundedPreceding, -1)
-    steps = steps.withColumn("before", F.coalesce(F.sum("step").over(w), F.lit(0))).withColumnRenamed("priority", "p").withColumnRenamed("last_access", "l")
+    steps = cut(steps.repartitionByRange("priority", "last_access").withColumn("part", F.spark_partition_id()))
+    ahead = steps.groupBy(F.col("part").alias("q")).agg(F.sum("step").alias("n")).select("q", F.coalesce(F.sum("n").over(Window.orderBy("q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    within = Window.partitionBy("part").orderBy("priority", "last_access").rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.join(F.broadcast(ahead), F.col("part") == F.col("q")).select(F.col("priority").alias("p"), F.col("last_access").alias("l"), (F.col("ahead") + F.coalesce(F.sum("step").over(within), F.lit(0))).alias("before"))
     out = entries.join(steps, (F.col("priority") == F.col("p")) & (F.col("last_access") == F.col("l")), "left")
     return out.where(F.col("keep") | (F.col("before") >= need)).select(*entries.columns)
 
@@ -145,8 +176,52 @@ def evict_lru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evict(e, 40_000, 0.1).select("event_id")
 
 
-QUERIES = {"map_members": map_members, "map_merge_arrays": map_merge_arrays, "map_null_handling": map_null_handling, "layered_users": layered_users, "evict_lru": evict_lru}
+def expiring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as entries of three kinds of expiry, of which those are left that had not expired at a moment."""
+    e = _events(spark, sf_dir).select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    kind = F.col("event_id") % 4
+    entries = e.select(
+        "event_id",
+        F.when(kind < 2, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")).alias("absolute"),
+        F.when(kind == 1, F.col("ts") + F.expr("INTERVAL '06' HOUR")).alias("relative"),
+        F.when(kind == 2, F.col("ts")).alias("last_access"),
+        F.when(kind == 2, F.expr("INTERVAL '2' DAY")).alias("sliding"),
+    )
+    return unexpired(entries, F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")).select("event_id")
+
+
+def latest_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's value from the highest of four layers of events that has one."""
+    e = _events(spark, sf_dir)
+    layers = [e.where(F.col("event_id") % 4 == k).groupBy(F.col("user_id").alias("path")).agg(F.min("value").alias("value")) for k in range(4)]
+    return layered(*layers)
+
+
+def bound_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as path/value pairs and back as typed objects."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    text = lambda c: F.col(c).cast("string")
+    entries = F.array(*[F.struct(F.lit(p).alias("path"), v.alias("value")) for p, v in (("Status", text("o_orderstatus")), ("money:total", text("o_totalprice")), ("money:by", text("o_custkey")), ("tags:1", F.lit("b")), ("tags:0", F.lit("a")), ("limits:low", F.lit("1")), ("limits:high", F.lit("2")))])
+    pairs = o.select(F.col("o_orderkey").alias("id"), F.explode(entries).alias("p")).select("id", "p.path", "p.value")
+    got = bind_object(pairs, "status string, money struct<total: decimal(18,2), by: bigint>, tags array<string>, limits map<string, int>")
+    return got.select("id", "status", "money.total", "money.by", F.array_join("tags", "").alias("tags"), (F.col("limits")["low"] + F.col("limits")["high"]).alias("limits"))
+
+
+def changed_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache by nation: some entries replaced, some removed; a cleared one adds nothing."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    store = n.select(F.col("n_name").alias("key"), F.col("n_regionkey").cast("long").alias("v"))
+    changes = store.where("v > 1").select("key", F.when(F.col("v") > 2, F.col("v") * 10).alias("v"))
+    return upsert(store, changes).union(cleared(store))
+
+
+QUERIES = {"expiry_filter": expiring, "layered_lookup": latest_layer, "bind_objects": bound_orders, "cache_upsert": changed_cache}
+QUERIES |= {"map_members": map_members, "map_merge_arrays": map_merge_arrays, "map_null_handling": map_null_handling, "layered_users": layered_users, "evict_lru": evict_lru}
 ORACLES = {
+    "expiry_filter": "SELECT event_id FROM events WHERE CASE event_id % 4 WHEN 0 THEN TRUE WHEN 1 THEN TIMESTAMP '2024-01-15 12:00:00' < least(TIMESTAMP '2024-02-01', ts + INTERVAL 6 HOURS) WHEN 2 THEN TIMESTAMP '2024-01-15 12:00:00' < ts + INTERVAL 2 DAYS ELSE TRUE END",
+    "layered_lookup": "SELECT user_id AS path, arg_max(m, layer) AS value, max(layer)::INTEGER AS layer FROM (SELECT user_id, (event_id % 4) AS layer, min(value) AS m FROM events GROUP BY 1, 2) GROUP BY user_id",
+    "bind_objects": "SELECT o_orderkey AS id, o_orderstatus AS status, o_totalprice::DECIMAL(18,2) AS total, o_custkey AS by, 'ab' AS tags, 3 AS limits FROM orders",
+    "cache_upsert": "SELECT n_name AS key, (CASE WHEN n_regionkey > 2 THEN n_regionkey * 10 ELSE n_regionkey END)::BIGINT AS v FROM nation WHERE n_regionkey <> 2",
     "map_members": "SELECT o_orderkey, o_custkey AS customer, o_totalprice AS total, lower(o_orderstatus) AS status FROM orders",
     "map_merge_arrays": "SELECT user_id, 'SEEN,' || string_agg(DISTINCT upper(event_type), ',' ORDER BY upper(event_type)) AS all_types FROM events GROUP BY user_id",
     "map_null_handling": "SELECT c_custkey, coalesce(nullif(c_nationkey, 3), -1) AS k, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS segment FROM customer",
