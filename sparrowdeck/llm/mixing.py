@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, words
+from .common import documents, fewer, materialize, words
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -30,37 +30,48 @@ def quality_weight(text: Column) -> Column:
     return F.greatest(F.lit(0.05), share * share)
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+def ranked(sizes: DataFrame, owner: str = "op8") -> DataFrame:
+    """Add to (source, source_size) each source's place in code point order, null last. Sources are dealt by ranges, the
+    numbers of sources in the ranges (a row for each task) are added up, and each range is numbered on its own."""
+    order = F.col("source").asc_nulls_last()
+    dealt = materialize(sizes.repartitionByRange(order).withColumn("part", F.spark_partition_id()), owner, "sources", spread=True)
+    counts = dealt.groupBy(F.col("part").alias("q")).agg(F.count(F.lit(1)).alias("n"))
+    ahead = counts.select("q", F.coalesce(F.sum("n").over(Window.orderBy("q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    place = F.col("ahead") + F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    return dealt.join(ahead, F.col("part") == F.col("q")).select("source", "source_size", place.alias("place"))
+
+
+def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, owner: str = "op8") -> DataFrame:
     """Target of each source. sizes: (source, source_size), a row for each source.
 
     The whole size is shared by weight; a share over most times its source's size stops there and the rest is shared
-    again among the others. The end of that process is min(most * size, level * weight) with the one level at which the
-    targets add up; sorted by the level at which each source stops, that level is found with running sums.
+    again among the others. So a target is min(most * size, level * weight), and the level rises from round to round, by
+    sums over all sources, until no further source stops.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    at = sizes.withColumn("weight", F.get(cycle, (F.row_number().over(by_name) - 1) % len(weights)))
-    at = at.withColumn("stop", F.lit(float(most)) * F.col("source_size") / F.col("weight"))
-    order = Window.orderBy("stop", F.col("source").asc_nulls_last())
-    upto, everything = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    stopped = F.coalesce(F.sum(F.col("source_size") * most).over(upto), F.lit(0)).cast("double")
-    total, weight_left = F.sum("source_size").over(everything).cast("double"), F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(upto), F.lit(0.0))
-    at = at.withColumn("level", (total - stopped) / weight_left)
-    # the first source, in the order of stops, that its level does not reach; all before it stop
-    first = F.min(F.when(F.col("level") <= F.col("stop"), F.struct("stop", F.col("source").isNull(), "source", "level"))).over(everything)
-    return at.withColumn("final", first["level"]).select("source", "source_size", F.least(F.lit(float(most)) * F.col("source_size"), F.col("final") * F.col("weight")).alias("target"))
-
-
-def mixed(docs: DataFrame, text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, buckets: int = BUCKETS, keep_rows: bool = True, owner: str = "op8") -> DataFrame:
+    at = materialize(ranked(sizes, owner).withColumn("weight", F.get(cycle, F.col("place") % len(weights))), owner, "weighed")
+    stop = F.lit(float(most)) * F.col("source_size") / F.col("weight")
+    level, known = 0.0, -1
+    while True:
+        stops = stop < F.lit(level)
+        total, over, left, n = at.agg(F.sum("source_size"), F.sum(F.when(stops, F.col("source_size") * most)), F.sum(F.when(~stops, F.col("weight"))), F.count(F.when(stops, 1))).first()
+        if n == known or not left:
+            break
+        level, known = (float(total or 0) - float(over or 0)) / left, n
+    return at.select("source", "source_size", F.least(F.lit(float(most)) * F.col("source_size"), F.lit(level) * F.col("weight")).alias("target"))
+
+
+def mixed(docs: DataFrame, text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, buckets: int = BUCKETS, keep_rows: bool = True, whole: bool = False, owner: str = "op8") -> DataFrame:
     """What the mix takes of each row (as struct `row`, if rows are kept): doc_id, source, size, source_size, target, taken.
 
     Each source gives whole epochs first; what its target still wants is the fractional part. Documents get exponential
     keys -ln(u) / quality; in the order of keys they are taken whole until the fractional budget ends, and the document
-    at its edge gives its first words only, so a source misses its target by less than a word.
+    at its edge gives its first words only, so a source misses its target by less than a word; or, if `whole`, it is taken
+    whole or not at all, whichever comes nearer the target.
 
     A null text has size 0 and gives nothing; null sources are one source, last; ties of keys go by doc_id and then by
-    size, and rows that still tie are interchangeable; an empty table gives an empty result; only doc_id, text and source
-    are read.
+    size, and rows that still tie, such as repeated ones, are interchangeable; a text of any length is one number; an
+    empty table gives an empty result; only doc_id, text and source are read.
 
     Prefix sums never bring a source together: documents are dealt by ranges of their key, sums of ranges (at most
     `buckets` rows a source) are accumulated, and each range is summed on its own. The table of sources has one row for
@@ -69,12 +80,12 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", weights:
     rows = docs.select(F.struct("*").alias("row"), "doc_id", F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), quality_weight(F.col(text)).alias("quality"))
     rows = rows.withColumn("key", -F.log(uniform(F.col("doc_id"), seed)) / F.col("quality"))
     rows = rows.withColumn("bucket", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * buckets).cast("int")).drop("quality")
-    if not keep_rows:  # then a few numbers for each document do, and each text is read once
-        rows = materialize(rows.drop("row"), owner, "sizes", spread=True)
+    # written, so that each text is read once; a few numbers for each document where rows are not kept
+    rows = materialize(rows if keep_rows else rows.drop("row"), owner, "sizes", spread=True)
     ranges = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("ahead", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
-    goal = targets(ranges.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, most)
+    goal = targets(ranges.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, most, owner)
     plan = ranges.join(goal.withColumnRenamed("source", "g"), F.col("source").eqNullSafe(F.col("g"))).select(F.col("source").alias("p"), F.col("bucket").alias("b"), "ahead", "source_size", "target")
     joined = rows.join(plan, F.col("source").eqNullSafe(F.col("p")) & (F.col("bucket") == F.col("b")))
     within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -82,7 +93,9 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", weights:
     budget = F.floor(F.col("target") + 0.5)
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - epochs * F.col("source_size")
-    taken = epochs * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("prefix")))
+    room = F.greatest(F.lit(0), rest - F.col("prefix"))
+    part = F.when(2 * room >= F.col("size"), F.col("size")).otherwise(0) if whole else F.least(F.col("size"), room)
+    taken = epochs * F.col("size") + part
     return joined.select(*["row"] * keep_rows, "doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
@@ -91,19 +104,16 @@ def mix(docs: DataFrame, **options: object) -> DataFrame:
     return mixed(docs, keep_rows=False, **options)
 
 
-def sampled(docs: DataFrame, text: str = "text", **options: object) -> DataFrame:
-    """The mix itself: each document once for every epoch that takes it whole, and the first words of those at the edge
-    of a budget, joined by spaces; n_chars, if there, is counted anew. Documents without words are never taken."""
-    out = mixed(docs, text=text, **options).where("taken > 0").select("row", "size", "taken")
-    times = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    out = out.withColumn("epoch", F.explode(F.sequence(F.lit(1), times)))
-    part = F.array_join(F.slice(words(F.col("row")[text]), F.lit(1), (F.col("taken") % F.col("size")).cast("int")), " ")
-    body = F.when(F.col("epoch") * F.col("size") > F.col("taken"), part).otherwise(F.col("row")[text])
-    out = out.select("row", body.alias("new_text"))
-    return out.select(*[(F.col("new_text") if c == text else F.length("new_text").cast("long") if c == "n_chars" else F.col("row")[c]).alias(c) for c in docs.columns])
+def sampled(docs: DataFrame, **options: object) -> DataFrame:
+    """The mix itself: each document as it is, once for every time that the mix takes it whole. Documents without words
+    are never taken; nulls, ties, repeated rows, long texts and empty tables are as in mixed(); all columns stay."""
+    out = mixed(docs, whole=True, **options).where("taken > 0")
+    out = out.select("row", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))))
+    return fewer(out.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of the documents table by the contract's weights."""
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparrowdeck.llm import quality
-from tests.llm.test_dedup import brute_bytes, brute_components, brute_fingerprint
+from tests.llm.test_dedup import brute_bytes, brute_similar
 from tests.llm.test_packing import check
 
 
@@ -46,7 +46,7 @@ def test_quality_rules(stages):
 
 def test_near_dedup(stages):
     before, after = rows(stages[1]), rows(stages[2])
-    root = brute_components({d: brute_fingerprint(r["text"]) for d, r in before.items()})
+    root = brute_similar(sorted((d, r["text"]) for d, r in before.items()))
     assert set(after) == set(root.values())
     assert all(after[d]["text"] == before[d]["text"] for d in after)
 
@@ -64,9 +64,11 @@ def test_mixing(stages):
         after[r["doc_id"]].append(r["text"])
     assert set(after) <= set(before) and all(len(t) <= 3 for t in after.values())
     for d, t in after.items():
-        assert all(before[d]["text"].split()[: len(x.split())] == x.split() for x in t)
+        assert all(before[d]["text"] == x for x in t)
     words = lambda df: df.agg(F.sum(F.size(quality.words(F.col("text"))))).first()[0]
-    assert words(stages[4]) == pytest.approx(words(stages[3]), rel=0.001)
+    most = max(len(r["text"].split()) for r in before.values())
+    sources = stages[3].select("source").distinct().count()
+    assert abs(words(stages[4]) - words(stages[3])) <= sources * most / 2
 
 
 def test_packing(stages):

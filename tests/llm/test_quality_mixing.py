@@ -122,7 +122,9 @@ def test_mix_meets_targets(spark, sf):
     assert all(abs(r["t"] - r["g"]) <= 1 and r["over"] <= 0 for r in per)
     out = mixing.sampled(docs)
     words = out.select(F.size(quality.words(F.col("text"))).alias("n")).agg(F.sum("n")).first()[0]
-    assert words == got.agg(F.sum("taken")).first()[0] and out.columns == docs.columns
+    most = got.agg(F.max("size")).first()[0]
+    assert abs(words - got.agg(F.sum("taken")).first()[0]) <= len(per) * most / 2 and out.columns == docs.columns
+    assert out.join(docs, ["doc_id", "text"], "left_anti").count() == 0  # whole documents only
 
 
 def test_empty_tables(spark):
