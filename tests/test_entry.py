@@ -25,6 +25,12 @@ def test_without_the_optional_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True, timeout=120)
 
 
+def test_without_what_the_optional_operators_need():
+    """A missing module takes the optional queries away and no others."""
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); assert 'pricing_summary' in q and not any(k.startswith('op1_') or k == 'pipeline' for k in q); e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=REPO, env=os.environ | {"PYTHONPATH": REPO}, check=True, timeout=120)
+
+
 def test_nothing_else_imports_the_optional_operators():
     for folder, _, files in os.walk(os.path.join(REPO, "sparrowdeck")):
         if os.path.basename(folder) in ("llm", "__pycache__"):
