@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .functions import cron
+from .functions import cron, gql
 from .operators import graph, keyvalue, mapping, tables, validation
 from .plans import relational, statements
-from .sources import formats
+from .sources import formats, yaml
 from .streaming import events
 
-MODULES = (relational, statements, keyvalue, tables, graph, validation, mapping, formats, cron, events)
+MODULES = (relational, statements, keyvalue, tables, graph, validation, mapping, formats, yaml, cron, gql, events)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,7 +8,7 @@ import xml.etree.ElementTree as ElementTree
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PAIRS = "id string, path string, value string"
@@ -70,10 +70,13 @@ def xml_pairs(text: str) -> list[tuple[str, str | None]]:
         raise ValueError("document types are not accepted")
     out: dict[str, str | None] = {}
 
+    known: set[str] = set()
+
     def put(path: list[str], value: str | None) -> None:
         key = ":".join(path)
-        if key.lower() in {k.lower() for k in out}:
+        if key.lower() in known:
             raise ValueError(f"duplicate path {key}")
+        known.add(key.lower())
         out[key] = value
 
     def walk(path: list[str], x: ElementTree.Element) -> None:
@@ -104,16 +107,28 @@ def xml_pairs(text: str) -> list[tuple[str, str | None]]:
     return list(out.items())
 
 
-def pairs(df: DataFrame, id_: str, text: str, format_: str) -> DataFrame:
-    """(id, path, value) of each text of a format: json, ini or xml."""
-    read = {"json": json_pairs, "ini": ini_pairs, "xml": xml_pairs}[format_]
+def pairs(df: DataFrame, id_: str, text: str, format_: str, errors: bool = False) -> DataFrame:
+    """(id, path, value) of each text of a format: json, ini, xml or yaml; a null text has none.
+
+    A bad text ends the job, or with `errors` gives one row without a path whose column `error` says what is wrong.
+    """
+    from . import yaml
+
+    read = {"json": json_pairs, "ini": ini_pairs, "xml": xml_pairs, "yaml": yaml.pairs}[format_]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, p, v) for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True) if t is not None for p, v in read(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["id", "path", "value"])
+            rows: list[tuple] = []
+            for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                try:
+                    rows += [(i, p, v, None) for p, v in read(t)] if t is not None else []
+                except (ValueError, ElementTree.ParseError) as e:
+                    if not errors:
+                        raise
+                    rows.append((i, None, None, str(e)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(4 if errors else 3)], names=["id", "path", "value", "error"][: 4 if errors else 3])
 
-    return df.select(F.col(id_).cast("string").alias("id"), F.col(text).alias("text")).mapInArrow(run, PAIRS)
+    return df.select(F.col(id_).cast("string").alias("id"), F.col(text).alias("text")).mapInArrow(run, PAIRS + ", error string" * errors)
 
 
 def flat_json_pairs(df: DataFrame, id_: str, text: str) -> DataFrame:
@@ -135,6 +150,21 @@ def delimited(text: Column, delimiter: str) -> Column:
     return F.split(text, re.escape(delimiter))
 
 
+def tokens(df: DataFrame, id_: str, text: str, definitions: dict[str, str], whitespace: bool = False) -> DataFrame:
+    """(id, n, kind, name, value, offset) of the tokens of a text: literals that are defined by name, of which the longest
+    that fits counts, runs of spaces and tabs if asked for, and the text between them. Nothing of the text is lost."""
+    literals = sorted(definitions.items(), key=lambda x: (-len(x[1]), x[0]))
+    signs = "|".join(re.escape(v) for _, v in literals)
+    ends = "|".join([*([signs] if signs else []), *(["[ \\t]"] if whitespace else [])])
+    pattern = "(?s)" + "|".join([*([signs] if signs else []), *(["[ \\t]+"] if whitespace else []), f"(?:(?!{ends}).)+" if ends else ".+"])
+    rows = df.select(F.col(id_).alias("id"), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(f"({pattern})"), F.lit(0))).alias("n", "value"))
+    name = F.coalesce(*[F.when(F.col("value") == v, F.lit(k)) for k, v in literals]) if literals else F.lit(None).cast("string")
+    kind = F.when(name.isNotNull(), "literal")
+    kind = kind.when(F.col("value").rlike(r"^[ \t]+$"), "whitespace") if whitespace else kind
+    before = Window.partitionBy("id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select("id", F.col("n").cast("long").alias("n"), kind.otherwise("text").alias("kind"), name.alias("name"), "value", F.coalesce(F.sum(F.length("value")).over(before), F.lit(0)).cast("long").alias("offset"))
+
+
 def encoding(content: Column) -> Column:
     """Encoding of a binary by its byte order mark, else by where its null bytes are, else UTF-8."""
     h = lambda n: F.hex(F.substring(content, 1, n))
@@ -211,19 +241,42 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as nested JSON, some of it broken."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    good = F.concat(F.lit('{"key": '), F.col("o_orderkey").cast("string"), F.lit(', "who": {"id": '), F.col("o_custkey").cast("string"), F.lit(', "tags": ["a", true, null, {}]}, "none": []}'))
+    twice = F.lit('{"a": 1, "A": 2}')
+    return o.select("o_orderkey", F.when(F.col("o_orderkey") % 7 == 0, F.lit("[1]")).when(F.col("o_orderkey") % 7 == 1, F.lit("{")).when(F.col("o_orderkey") % 7 == 2, twice).when(F.col("o_orderkey") % 7 > 3, good).alias("text"))
+
+
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in the encodings, with and without byte order marks."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", (F.col("c_custkey") % 7).alias("k"), "c_name")
+    wide = F.expr("unhex(regexp_replace(hex(encode(c_name, 'UTF-8')), '(..)', '000000$1'))")
+    kinds = [F.encode("c_name", "UTF-8"), F.expr("concat(X'EFBBBF', encode(c_name, 'UTF-8'))"), F.expr("concat(X'FEFF', encode(c_name, 'UTF-16BE'))"), F.expr("concat(X'FFFE', encode(c_name, 'UTF-16LE'))"), F.encode("c_name", "UTF-16BE"), F.encode("c_name", "UTF-16LE"), wide]
+    content = F.coalesce(*[F.when(F.col("k") == i, x) for i, x in enumerate(kinds)])
+    return c.select("c_custkey", content.alias("content"))
+
+
 QUERIES = {
+    "json_pairs_nested": lambda s, d: pairs(_nested(s, d), "o_orderkey", "text", "json", errors=True).select("id", "path", "value", F.col("error").isNotNull().alias("bad")),
+    "tokens": lambda s, d: tokens(s.read.parquet(f"{d}/part.parquet").withColumn("t", F.concat_ws("=>", "p_name", "p_type", F.lit("=x="))), "p_partkey", "t", {"arrow": "=>", "equals": "="}, whitespace=True),
     "text_lines": lambda s, d: lines(_docs(s, d), "doc_id", "text").select("id", F.col("n").cast("long").alias("n"), "line"),
     "json_flatten": lambda s, d: flat_json_pairs(s.read.parquet(f"{d}/events.parquet"), "event_id", "props"),
     "json_pairs": lambda s, d: pairs(s.read.parquet(f"{d}/events.parquet"), "event_id", "props", "json"),
     "delimited_tokens": lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.explode(delimited(F.col("p_type"), " ")).alias("token")),
-    "encodings": lambda s, d: _docs(s, d).select("doc_id", encoding(F.encode("text", "UTF-8")).alias("encoding")),
+    "encodings": lambda s, d: _marked(s, d).select("c_custkey", encoding(F.col("content")).alias("encoding")),
     "yaml_kinds": lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", yaml_kind(F.when(F.col("event_id") % 3 == 0, F.col("value").cast("string")).when(F.col("event_id") % 3 == 1, F.col("event_type")).otherwise(F.col("event_id").cast("string"))).alias("kind")),
 }
 ORACLES = {
+    "json_pairs_nested": """WITH o AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders), p AS (SELECT k, unnest([{'p': 'key', 'v': k::VARCHAR}, {'p': 'who:id', 'v': c::VARCHAR}, {'p': 'who:tags:0', 'v': 'a'}, {'p': 'who:tags:1', 'v': 'true'}, {'p': 'who:tags:2', 'v': NULL}, {'p': 'who:tags:3', 'v': NULL}, {'p': 'none', 'v': NULL}]) AS x FROM o WHERE k % 7 > 3)
+      SELECT k::VARCHAR AS id, x.p AS path, x.v AS value, FALSE AS bad FROM p UNION ALL SELECT k::VARCHAR, NULL, NULL, TRUE FROM o WHERE k % 7 < 3""",
+    "tokens": r"""WITH t AS (SELECT p_partkey AS id, regexp_extract_all(p_name || '=>' || p_type || '=>' || '=x=', '=>|=|[ \t]+|[^= \t]+') AS xs FROM part), u AS (SELECT id, n - 1 AS n, xs[n] AS value FROM t, unnest(range(1, len(xs) + 1)) AS r(n))
+      SELECT id, n, CASE WHEN value IN ('=>', '=') THEN 'literal' WHEN regexp_full_match(value, '[ \t]+') THEN 'whitespace' ELSE 'text' END AS kind, CASE value WHEN '=>' THEN 'arrow' WHEN '=' THEN 'equals' END AS name, value, coalesce(sum(length(value)) OVER (PARTITION BY id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM u""",
     "text_lines": r"SELECT doc_id AS id, n - 1 AS n, l[n] AS line FROM (SELECT doc_id, string_split_regex(regexp_replace(text, '(\r\n|\n|\r)\z', ''), '\r\n|\n|\r') AS l FROM documents WHERE length(text) > 0), unnest(range(1, len(l) + 1)) AS t(n)",
     "json_flatten": "SELECT event_id AS id, 'k' AS path, regexp_extract(props, ': ([0-9]+)', 1) AS value FROM events",
     "json_pairs": "SELECT event_id::VARCHAR AS id, 'k' AS path, regexp_extract(props, ': ([0-9]+)', 1) AS value FROM events",
     "delimited_tokens": "SELECT p_partkey, unnest(string_split(p_type, ' ')) AS token FROM part",
-    "encodings": "SELECT doc_id, 'utf-8' AS encoding FROM documents",
+    "encodings": "SELECT c_custkey, ['utf-8', 'utf-8', 'utf-16-be', 'utf-16-le', 'utf-16-be', 'utf-16-le', 'utf-32-be'][(c_custkey % 7) + 1] AS encoding FROM customer",
     "yaml_kinds": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'float' WHEN 1 THEN 'string' ELSE 'integer' END AS kind FROM events",
 }

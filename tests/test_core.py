@@ -250,6 +250,9 @@ def test_graph(spark):
     assert reach(direction="in", max_depth=1) == {1: 0, 3: 1} and reach(direction="both") == {1: 0, 2: 1, 3: 1}
     edges2 = graph.create_relationship(nodes, edges, 9, 1, 5, "A")
     assert edges2.count() == 5
+    assert graph.get_node(nodes, 2).count() == 1 and graph.delete_relationship(edges2, 9).count() == 4
+    with pytest.raises(Exception, match="node exists"):
+        graph.create_nodes(nodes, nodes.where("id = 1")).collect()
     left, kept = graph.delete_node(nodes, edges2, 1)
     assert left.count() == 4 and kept.count() == 2
     with pytest.raises(ValueError, match="exist"):
@@ -259,6 +262,7 @@ def test_graph(spark):
     assert [tuple(r) for r in docs.collect()] == [("a", "2", 2)]
     with pytest.raises(ValueError, match="version"):
         graph.delete_document(docs, "a", 1)
+    assert graph.get_document(docs, "a").first()["content"] == "2"
     assert graph.delete_document(docs, "a", 2).count() == 0
 
 
@@ -314,6 +318,12 @@ def test_sources(spark, tmp_path):
     for bad in ("[1]", '{"a": 1, "A": 2}'):
         with pytest.raises(ValueError):
             f.json_pairs(bad)
+    texts = spark.createDataFrame([(1, "a: [x, {b: 1}]"), (2, "a: [x"), (3, None)], "id long, t string")
+    assert sorted(map(tuple, f.pairs(texts, "id", "t", "yaml", errors=True).select("id", "path", "value").collect()), key=repr) == [("1", "a:0", "x"), ("1", "a:1:b", "1"), ("2", None, None)]
+    with pytest.raises(Exception, match="without its end"):
+        f.pairs(texts, "id", "t", "yaml").collect()
+    toks = f.tokens(spark.createDataFrame([(1, "a==b \t=c\nd"), (2, ""), (3, None)], "id long, t string"), "id", "t", {"eq": "=", "eqeq": "=="}, whitespace=True)
+    assert sorted((r["n"], r["kind"], r["name"], r["value"], r["offset"]) for r in toks.collect()) == [(0, "text", None, "a", 0), (1, "literal", "eqeq", "==", 1), (2, "text", None, "b", 3), (3, "whitespace", None, " \t", 4), (4, "literal", "eq", "=", 6), (5, "text", None, "c\nd", 7)]
     assert f.ini_pairs("; c\nk = 'v'\n[a:b]\nx=1\nx = 2\n# d") == [("k", "v"), ("a:b:x", "2")]
     for bad in ("[a", "[]", "nothing", "= 1"):
         with pytest.raises(ValueError):
@@ -377,7 +387,7 @@ def test_every_query_runs(spark, sf):
     from sparrowdeck import catalog
 
     for name, query in catalog.queries().items():
-        assert query(spark, sf).limit(5).count() >= 0, name
+        assert query(spark, sf).limit(5).count() > 0, name
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
 
 
