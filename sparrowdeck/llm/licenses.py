@@ -18,26 +18,37 @@ from .common import documents, few_rows, map_batches
 TEMPLATES = {
     "AGPL": ["licensed under the GNU Affero General Public License version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "Released under the Apache 2.0 License", "you may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org/licenses/LICENSE-2.0"],
+    "Artistic": ["Licensed under the Artistic License 2.0", "You may copy and distribute verbatim copies of the Standard Version of this Package under the terms of the Artistic License"],
+    "BSL": ["Distributed under the Boost Software License, Version 1.0"],
     "BSD": ["Released under the BSD License", "Licensed under the 3-Clause BSD License", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
     "CC-BY": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC-BY-NC-ND": ["Licensed under CC BY-NC-ND 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"],
+    "CC-BY-NC-SA": ["Licensed under CC BY-NC-SA 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"],
     "CC-BY-ND": ["Licensed under CC BY-ND 4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"],
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
     "CC0": ["Released under CC0 1.0", "This work is dedicated to the public domain under CC0 1.0 Universal"],
+    "EPL": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "Licensed under the Eclipse Public License 2.0"],
     "GPL": ["This work is licensed under the GNU General Public License, version 3", "Released under the GNU GPL version 2 or later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
     "ISC": ["Released under the ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "LGPL": ["licensed under the GNU Lesser General Public License version 2.1", "modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
     "MIT": ["Released under the MIT License", "Licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
     "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License 2.0"],
     "Unlicense": ["This is free and unencumbered software released into the public domain", "Released under the Unlicense"],
+    "zlib": ["This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software", "Released under the zlib License"],
 }
+# Words that say that what follows does not hold, words that a notice may open with, and words of a notice
+# that a denial stands before.
+NEGATIONS = (("not",), ("no", "longer"), ("never",), ("not", "yet"))
+OPENINGS = ("this work is", "this code is", "the software is", "it is", "this is not a toy", "")
+NEGATED = {"licensed", "released", "distributed", "dedicated", "granted", "permitted", "made", "subject", "free"}
 
 #: Orders of the word n-grams that are features.
 ORDERS = (1, 2, 3)
 #: Documents from which paragraphs of no licence are taken, at most, and such paragraphs at most.
 SAMPLE, NEGATIVES = 300, 3_000
-#: Variants of each notice for the fit.
-VARIANTS = 40
+#: Variants of each notice, and of its denial, for the fit; parts of the notices that calibration leaves out in turn.
+VARIANTS, FOLDS = 40, 4
 #: A prediction is confirmed if the paragraph has so much of a notice of its family: weighted share of its word pairs.
 CONFIRMED = 0.75
 #: Words on each side of a line break, and between two, that a notice across line breaks may take.
@@ -54,14 +65,23 @@ def grams(words: list[str], orders: tuple[int, ...] = ORDERS) -> set[tuple[str,
     return {tuple(words[i : i + n]) for n in orders for i in range(len(words) - n + 1)}
 
 
+def denials(notice: list[str]) -> list[list[str]]:
+    """A notice with words before its verbs that deny it."""
+    return [[*notice[:i], *n, *notice[i:]] for i, w in enumerate(notice) if w in NEGATED for n in NEGATIONS]
+
+
 class Vocabulary:
-    """n-grams of the templates as feature numbers; a paragraph has the features of its runs of template words."""
+    """n-grams of the templates and their denials as feature numbers; a paragraph has the features of its runs of their words."""
 
     def __init__(self, templates: dict[str, list[str]]):
-        self.number = {g: k for k, g in enumerate(sorted({g for ts in templates.values() for t in ts for g in grams(words_of(t))}))}
-        self.single = {g[0] for g in self.number if len(g) == 1}
-        # a paragraph without one of these has no pair of template words that any template has
-        self.pairs = {g for g in self.number if len(g) == 2}
+        notices = [words_of(t) for ts in templates.values() for t in ts]
+        found = {g for w in notices for g in grams(w)}
+        # a denial is known by its words next to the verb, never by one word alone
+        denied = {g for w in notices for x in denials(w) for g in grams(x, (2, 3)) if g not in found and set(g) & NEGATED}
+        self.number = {g: k for k, g in enumerate(sorted((found | denied) - {("not",)}))}
+        self.single = {w for g in self.number for w in g}
+        # words without a pair that a notice has can't be a notice
+        self.pairs = {g for w in notices for g in grams(w, (2,))}
 
     def features(self, words: list[str]) -> list[int]:
         out, run = set(), []
@@ -80,14 +100,14 @@ class Classifier:
 
     families: list[str]
     vocabulary: Vocabulary
-    weights: np.ndarray
-    bias: np.ndarray
+    weights: np.ndarray  # a row for each feature and a last one that counts always
     temperature: float
     threshold: float
     notices: dict[str, list[set]]
+    reliability: float  # mean gap between probability and accuracy over notices that were left out
 
     def probabilities(self, features: list[int]) -> np.ndarray:
-        z = (self.weights[features].sum(axis=0) + self.bias) / self.temperature
+        z = (self.weights[features].sum(axis=0) + self.weights[-1]) / self.temperature
         e = np.exp(z - z.max())
         return e / e.sum()
 
@@ -168,6 +188,8 @@ def variants(template: list[str], filler: list[str], r: random.Random) -> list[l
         if len(t) > 8 and r.random() < 0.4:
             at = r.randint(0, len(t) // 4)
             t = t[at : len(t) - r.randint(0, len(t) // 4)]
+        if t[0] in NEGATED and r.random() < 0.5:
+            t = [*r.choice(OPENINGS).split(), *t]
         if filler and r.random() < 0.6:
             at = r.randint(0, max(0, len(filler) - 30))
             extra = filler[at : at + r.randint(1, 30)]
@@ -176,55 +198,87 @@ def variants(template: list[str], filler: list[str], r: random.Random) -> list[l
     return out
 
 
-def fit(paragraphs: list[str], templates: dict[str, list[str]] = TEMPLATES, seed: int = 3, rounds: int = 200) -> Classifier:
-    """Fit to variants of the templates, to paragraphs that are like none of them, and to shuffled template words."""
+def regression(rows: list[list[int]], labels: np.ndarray, features: int, classes: int, rounds: int) -> np.ndarray:
+    """Weights of a softmax regression over sparse rows (lists of feature numbers), by Adam; the last row is the bias.
+
+    Rows are kept as one array of feature numbers with the ends of rows; both passes go over what is there only.
+    """
+    size = np.array([len(r) + 1 for r in rows])
+    at = np.fromiter((f for r in rows for f in [*r, features]), np.int64, int(size.sum()))
+    begin = np.cumsum(size) - size
+    row = np.repeat(np.arange(len(rows)), size)
+    by_feature = np.argsort(at, kind="stable")
+    used, first = np.unique(at[by_feature], return_index=True)
+    target = np.eye(classes, dtype=np.float32)[labels]
+    w = np.zeros((features + 1, classes), np.float32)
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for t in range(1, rounds + 1):
+        z = np.add.reduceat(w[at], begin)
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        d = (e / e.sum(axis=1, keepdims=True) - target) / len(rows)
+        g = 1e-5 * w
+        g[used] += np.add.reduceat(d[row[by_feature]], first)
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    return w
+
+
+def logits(weights: np.ndarray, rows: list[list[int]]) -> np.ndarray:
+    return np.array([weights[r].sum(axis=0) + weights[-1] for r in rows], np.float64).reshape(len(rows), weights.shape[1])
+
+
+def softmax(z: np.ndarray, temperature: float) -> np.ndarray:
+    e = np.exp((z - z.max(axis=1, keepdims=True)) / temperature)
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def fit(paragraphs: list[str], templates: dict[str, list[str]] = TEMPLATES, seed: int = 3, rounds: int = 150) -> Classifier:
+    """Fit to variants of the templates, and for the unknown class to paragraphs that are like none of them, to shuffled
+    template words and to denials of the templates.
+
+    Temperature and threshold come from rows that the weights they are tried on have not seen: in turn a part of all rows
+    is left out, and with them whole families, whose notices the weights should then take for unknown ones.
+    """
     r = random.Random(seed)
     families = sorted(templates)
     vocabulary = Vocabulary(templates)
     notices = {f: [grams(words_of(t), (2,)) for t in ts] for f, ts in templates.items()}
     every = [t for ts in notices.values() for t in ts]
     plain = [w for p in paragraphs if (w := words_of(p)) and max(len(grams(w, (2,)) & t) / len(t) for t in every) < 0.3]
-    filler = [w for p in plain for w in p][:20_000]
-    rows: list[tuple[list[int], int]] = [(vocabulary.features(w), 0) for w in plain]
+    filler = [w for p in plain for w in p]
     pool = [words_of(t) for ts in templates.values() for t in ts]
-    for _ in range(len(pool) * 20):
-        w = [r.choice(r.choice(pool)) for _ in range(r.randint(2, 20))]
-        rows.append((vocabulary.features(w), 0))
+    rows: list[tuple[list[int], int, int]] = [(vocabulary.features(w), 0, k % FOLDS) for k, w in enumerate(plain)]
+    for k in range(len(pool) * 20):
+        rows.append((vocabulary.features([r.choice(r.choice(pool)) for _ in range(r.randint(2, 20))]), 0, k % FOLDS))
     for k, f in enumerate(families, 1):
         for t in templates[f]:
-            rows += [(vocabulary.features(v), k) for v in variants(words_of(t), filler, r)]
-    r.shuffle(rows)
-    x = np.zeros((len(rows), len(vocabulary.number)), np.float32)
-    for i, (features, _) in enumerate(rows):
-        x[i, features] = 1
-    y = np.array([k for _, k in rows])
-    held = np.arange(len(rows)) % 5 == 0
-    a, target = x[~held], np.eye(len(families) + 1, dtype=np.float32)[y[~held]]
-    w, bias = np.zeros((x.shape[1], len(families) + 1), np.float32), np.zeros(len(families) + 1, np.float32)
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, rounds + 1):
-        z = a @ w + bias
-        e = np.exp(z - z.max(axis=1, keepdims=True))
-        d = (e / e.sum(axis=1, keepdims=True) - target) / len(a)
-        g = a.T @ d + 1e-5 * w
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        bias -= 0.5 * d.sum(axis=0)
-    # calibration on the rows held back: the temperature of least loss, then the threshold of least error
-    z = x[held] @ w + bias
-    truth = y[held]
-
-    def softmax(temperature: float) -> np.ndarray:
-        e = np.exp((z - z.max(axis=1, keepdims=True)) / temperature)
-        return e / e.sum(axis=1, keepdims=True)
-
-    loss = lambda t: -float(np.log(softmax(t)[np.arange(len(truth)), truth] + 1e-12).mean())
-    temperature = min((0.25, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0, 5.0), key=loss)
-    p = softmax(temperature)
+            rows += [(vocabulary.features(v), k, i % FOLDS) for i, v in enumerate(variants(words_of(t), filler, r))]
+            denied = denials(words_of(t))
+            for i in range(VARIANTS if denied else 0):
+                d = r.choice(denied)
+                if d[0] in {n[0] for n in NEGATIONS} and r.random() < 0.5:
+                    d = [*r.choice(OPENINGS[:4]).split(), *d]
+                extra = [filler[r.randrange(len(filler))] for _ in range(r.randint(0, 10))] if filler else []
+                rows.append((vocabulary.features([*extra, *d]), 0, i % FOLDS))
+    x, y, fold = [a for a, _, _ in rows], np.array([b for _, b, _ in rows]), np.array([c for _, _, c in rows])
+    number, classes = len(vocabulary.number), len(families) + 1
+    z, truth = [], []
+    for part in range(FOLDS):
+        left_out = (y > 0) & (y % FOLDS == part)
+        seen, out = np.flatnonzero((fold != part) & ~left_out), np.flatnonzero(fold == part)
+        w = regression([x[i] for i in seen], y[seen], number, classes, rounds)
+        z.append(logits(w, [x[i] for i in out]))
+        truth.append(np.where(np.isin(y[out], y[seen]), y[out], 0))
+    z, truth = np.concatenate(z), np.concatenate(truth)
+    loss = lambda t: -float(np.log(softmax(z, t)[np.arange(len(truth)), truth] + 1e-12).mean())
+    temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 3.0, 5.0, 7.0), key=loss)
+    p = softmax(z, temperature)
     guess, sure = p.argmax(axis=1), p.max(axis=1)
     errors = lambda t: int((np.where(sure >= t, guess, 0) != truth).sum())
     threshold = min((0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9), key=lambda t: (errors(t), abs(t - 0.5)))
-    return Classifier(families, vocabulary, w, bias, float(temperature), threshold, notices)
+    bins = np.minimum((sure * 10).astype(int), 9)
+    gaps = [abs(sure[bins == b].mean() - (guess[bins == b] == truth[bins == b]).mean()) * (bins == b).mean() for b in range(10) if (bins == b).any()]
+    return Classifier(families, vocabulary, regression(x, y, number, classes, rounds), temperature, threshold, notices, float(sum(gaps)))
 
 
 def license_scan(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame:
@@ -233,7 +287,7 @@ def license_scan(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> D
     A notice is within a line or runs over line breaks, up to a line without words. The classifier is fitted on the driver to the templates and to paragraphs of at most `sample`
     documents (those of least hash); every line and every span across line breaks of every whole text is then scored where it is, without a shuffle.
 
-    A null or empty text has no paragraphs; documents without a licence have an empty list and nulls; of equally sure
+    A text of any length is scanned line by line. A null or empty text has no paragraphs; documents without a licence have an empty list and nulls; of equally sure
     licences the first in the text counts; equal rows get equal results; an empty table gives an empty result (the
     classifier is then fitted to templates alone); only doc_id and text are read.
     """
@@ -255,4 +309,5 @@ def license_scan(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> D
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan of the documents table with its defaults."""
     return license_scan(documents(spark, sf_dir))

@@ -205,3 +205,69 @@ def test_wrapped_notice_in_a_scan(spark):
     rows = [(1, f"a b\n{WRAPPED['MIT']}\nc d"), (2, WRAPPED["MIT"].replace("copy\nof", "copy\n\nof")), (3, "x " * 500 + WRAPPED["BSD"] + " y" * 500)]
     got = {r["doc_id"]: (r["families"], r["n_licensed"], r["first_paragraph"]) for r in li.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (["MIT"], 1, 1), 2: ([], 0, None), 3: (["BSD"], 1, 0)}
+
+
+def test_denials_are_no_licence():
+    c = li.fit([])
+    for t in ("This work is not licensed under the MIT License", "This code is no longer released under the GNU GPL version 2 or later", "It was never released under the BSD License"):
+        assert c.judge(t) is None, t
+    assert c.judge("This work is licensed under the MIT License")[0] == "MIT" and c.judge("This is not a toy. Released under the BSD License")[0] == "BSD"
+
+
+def test_calibration_is_measured_on_notices_left_out():
+    c = li.fit([])
+    assert 0 <= c.reliability < 0.15 and 0.3 <= c.threshold <= 0.9
+
+
+def test_sparse_regression_is_the_dense_one():
+    r = np.random.default_rng(4)
+    rows = [sorted(set(r.integers(0, 12, r.integers(0, 6)).tolist())) for _ in range(50)]
+    y = r.integers(0, 3, 50)
+    x = np.zeros((50, 13))
+    for i, a in enumerate(rows):
+        x[i, [*a, 12]] = 1
+    w, m, v = (np.zeros((13, 3)) for _ in range(3))
+    for t in range(1, 21):
+        p = np.exp(x @ w)
+        g = x.T @ (p / p.sum(axis=1, keepdims=True) - np.eye(3)[y]) / 50 + 1e-5 * w
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    assert np.allclose(li.regression(rows, y, 12, 3, 20), w, atol=2e-2)  # single precision against double
+
+
+def plain_scan(c, body):
+    """Families of the notices in a text: every line, and every span of a line's end, whole lines and a line's start."""
+    found, runs = [], [[]]
+    for line in body.split("\n"):
+        w = li.words_of(line)
+        runs = [*runs, []] if not w else [*runs[:-1], [*runs[-1], w]]
+    for run in runs:
+        found += [h[0] for w in run if (h := c.judge_words(w))]
+        spans = []
+        for i in range(len(run)):
+            for j in range(i + 1, len(run)):
+                if sum(map(len, run[i + 1 : j])) > li.REACH:
+                    break
+                span = [*run[i][-li.REACH :], *(x for w in run[i + 1 : j] for x in w), *run[j][: li.REACH]]
+                h = c.judge_words(span)
+                if h and h[2] > max(c.similarity(w, h[0]) for w in run[i : j + 1]):
+                    spans.append((-h[2], len(span), i, j, h[0]))
+        taken = set()
+        for _, _, i, j, family in sorted(spans):
+            if not taken & set(range(i, j)):
+                taken |= set(range(i, j))
+                found.append(family)
+    return sorted(found)
+
+
+def test_scan_against_the_plain_one(spark, sf):
+    rows = [(r[0], r[1]) for r in lm.documents(spark, sf).select("doc_id", "text").collect()]
+    wrapped = [w for n in li.TEMPLATES.values() for t in n for w in [t.split()]]
+    rows += [(10_000 + k, "\n".join([*(["some words before"] * (k % 3)), " ".join(w[: len(w) // 2]), "# " + " ".join(w[len(w) // 2 :]), "more words"])) for k, w in enumerate(wrapped)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    few = li.few_rows(docs.select("doc_id", li.F.col("text").alias("t")), li.F.col("doc_id"), li.SAMPLE)
+    c = li.fit([p for r in few for p in (r["t"] or "").split("\n") if p.strip()][: li.NEGATIVES])
+    want = {d: plain_scan(c, t or "") for d, t in rows}
+    got = {r["doc_id"]: (r["families"], r["n_licensed"]) for r in li.license_scan(docs).collect()}
+    assert got == {d: (sorted(set(x)), len(x)) for d, x in want.items()}
+    assert sum(bool(want[10_000 + k]) for k in range(len(wrapped))) >= 0.8 * len(wrapped)
