@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, materialize, shared_dir, small_batches, texts, to_batch
+from .common import documents, map_batches, materialize, shared_dir, small_batches, task_count, texts, to_batch
 
 #: A payload is rows of so many 8-bit samples.
 WIDTH = 64
@@ -139,8 +139,11 @@ def store(docs: DataFrame, root: str, shard_bytes: int = SHARD, text: str = "tex
 
 def read_back(stored: DataFrame, root: str) -> DataFrame:
     """What the stored bytes of each distinct payload say. Payloads that several shards hold are read from the first."""
-    index = stored.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
-    units = index.withColumn("unit", F.floor(F.col("offset") / UNIT)).repartition("shard", "unit").sortWithinPartitions("shard", "offset")
+    index = materialize(stored.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*"), "op7", "index")
+    # rows are small, what they stand for is not: so many tasks as the payloads take, whatever the rows weigh
+    stored_bytes = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(task_count(stored), stored_bytes // (4 * UNIT))
+    units = index.withColumn("unit", F.floor(F.col("offset") / UNIT)).repartition(tasks, "shard", "unit").sortWithinPartitions("shard", "offset")
 
     def look(batch: pa.RecordBatch) -> Iterator[dict]:
         from pyarrow import fs as afs
@@ -184,24 +187,27 @@ def headers(stored: DataFrame, root: str) -> DataFrame:
     return map_batches(index, look, "digest binary, width int, height int")
 
 
-def media_columns(docs: DataFrame, root: str | None = None, owner: str = "op7") -> DataFrame:
+def media_columns(docs: DataFrame, root: str | None = None, payloads: bool = True, owner: str = "op7") -> DataFrame:
     """A row for each document: where its payload is stored and what reading it back gives.
 
     Payloads are UTF-8 texts filled up with zeros, stored as 8-bit grey images in tar shards under `root` (by default in
     the shared folder) and named by their SHA-256, so equal texts share one member of a shard and one reading. Texts
     never travel between tasks; rows meet their payload's features by digest.
 
-    A null text is empty (one row of zeros); equal rows give equal rows; an empty table gives an empty result; only doc_id
-    and text are read. The shards stay: they are what the operator makes.
+    Without `payloads`, the columns that a header has (width, height) are filled from headers alone.
+
+    A null text is empty (one row of zeros); a text of any length is one payload; equal rows give equal rows; an empty
+    table gives an empty result; only doc_id and text are read. The shards stay: they are what the operator makes.
     """
     root = root or f"{shared_dir(docs.sparkSession)}/sparrowdeck/{owner}-media-{uuid.uuid4().hex}"
     if "://" not in root:
         root = f"file://{root}" if root.startswith("/") else root.replace("file:/", "file:///", 1)
     stored = materialize(store(docs, root), owner, "stored", spread=True)
-    features = read_back(stored, root).withColumnRenamed("digest", "payload")
+    features = (read_back if payloads else headers)(stored, root).withColumnRenamed("digest", "payload")
     return stored.join(features, F.col("digest") == F.col("payload")).drop("payload")
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The media columns of the documents table, payloads read back."""
     out = media_columns(documents(spark, sf_dir))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
