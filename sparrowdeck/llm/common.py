@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import uuid
 from collections.abc import Callable, Iterator
@@ -42,18 +43,22 @@ def shared_dir(spark: SparkSession) -> str:
     return lineage.shared_dir(spark)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    with contextlib.suppress(Exception):  # a leftover table is harmless
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared folder, if it is there."""
+    with contextlib.suppress(Exception):  # a leftover table is harmless, and the session may have ended
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def release(spark: SparkSession, owner: str | None = None) -> None:
-    """Delete the tables that materialize() wrote for an owner (for all when None) and whose readers are done."""
+    """Delete the tables that materialize() wrote for an owner (for all when None) and whose readers are done.
+
+    A frame that an operator returned may still read its tables, so a caller says when it is done; what is left goes when
+    the program ends.
+    """
     for key in [owner] if owner else list(_written):
         for path in _written.pop(key, []):
-            _delete(spark, path)
+            remove(spark, path)
 
 
 def fewer(df: DataFrame) -> DataFrame:
@@ -72,8 +77,10 @@ def materialize(df: DataFrame, owner: str, name: str, spread: bool = False) -> D
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparrowdeck/{owner}-{name}-{uuid.uuid4().hex}"
     df = df if spread else fewer(df)
-    df.write.option("compression", "zstd").parquet(path)
+    if not _written:
+        atexit.register(release, spark)
     _written.setdefault(owner, []).append(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -83,7 +90,7 @@ def drop_table(df: DataFrame, owner: str) -> None:
         root = f.rsplit("/", 1)[0]
         for path in list(_written.get(owner, [])):
             if path.rsplit("/", 1)[1] == root.rsplit("/", 1)[1]:
-                _delete(df.sparkSession, path)
+                remove(df.sparkSession, path)
                 _written[owner].remove(path)
 
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fewer, map_batches, materialize, small_batches, task_count, texts
+from .common import documents, fewer, map_batches, materialize, release, small_batches, task_count, texts
 from .segments import stirred
 from .substring_dedup import word_hashes
 
@@ -221,7 +221,9 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, hot: int = HOT, b
     placed = codes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     known = placed.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
     known = placed.join(known, F.col("root") == F.col("r")).select(F.col("fp").alias("k_fp"), "component_id")
-    return fps.join(known, F.col("fp") == F.col("k_fp")).select("doc_id", "fp", "component_id")
+    out = materialize(fps.join(known, F.col("fp") == F.col("k_fp")).select("doc_id", "fp", "component_id"), f"{owner}-result", "result")
+    release(docs.sparkSession, owner)
+    return out
 
 
 # ---- similar documents: the same index over wide fingerprints, confirmed by exact similarity
@@ -398,7 +400,9 @@ def similar_documents(docs: DataFrame, words: int = WORDS, similarity: float = S
     both = left.join(sets, F.col("v") == F.col("s_id")).select("u", "v", "left", F.col("set").alias("right"))
     roots = components(map_batches(both, lambda b: _confirmed(b, similarity), "u long, v long"), owner)
     known = codes.join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").select(*[F.col(c).alias(f"k_{c}") for c in lanes], F.coalesce("root", "node").alias("component_id"))
-    return prints.join(known, [F.col(c) == F.col(f"k_{c}") for c in lanes]).select("doc_id", "component_id")
+    out = materialize(prints.join(known, [F.col(c) == F.col(f"k_{c}") for c in lanes]).select("doc_id", "component_id"), f"{owner}-result", "result")
+    release(docs.sparkSession, owner)
+    return out
 
 
 def deduplicated(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, hot: int = HOT, owner: str = "dedup") -> DataFrame:

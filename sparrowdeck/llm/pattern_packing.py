@@ -221,4 +221,5 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces and places of the documents table in sequences of 4096 ids."""
     return pack_documents(documents(spark, sf_dir))

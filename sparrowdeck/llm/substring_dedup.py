@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fewer, map_batches, materialize, ranges, small_batches, task_count, to_batch
+from .common import documents, fewer, map_batches, materialize, ranges, release, small_batches, task_count, to_batch
 from .segments import HOT, STEP, TABLE, Repeats, packed, segments, stirred, unpacked
 
 #: Bytes of a repeated string, and of the grams its minimiser is chosen from.
@@ -339,7 +339,11 @@ def _spans(docs: DataFrame, known: Repeats, kind: Bytes | Words, owner: str, hot
     copies = known.copies().union(parts.join(more, (F.col("key") == F.col("m")) & (F.col("seg") == F.col("s"))).select("doc_id", "start", "nwin", "first_doc", "first_start"))
     copies = copies if every else copies.where((F.col("doc_id") != F.col("first_doc")) | (F.col("start") != F.col("first_start")))
     equal = copies.select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.col("nwin") + tail).alias("hi"))
-    return equal.union(found).union(again.select("doc_id", "lo", (F.col("lo") + kind.width).alias("hi")))
+    every_span = equal.union(found).union(again.select("doc_id", "lo", (F.col("lo") + kind.width).alias("hi")))
+    # spans are few; once they are written, the large tables can go
+    out = materialize(every_span, f"{owner}-spans", "spans")
+    release(docs.sparkSession, owner)
+    return out
 
 
 def merged(spans: list, limit: int | None = None) -> list[tuple[int, int]]:
@@ -401,9 +405,10 @@ def suffix_dedup(docs: DataFrame, window: int = BYTES, gram: int = BYTE_GRAM, ho
     different neighbour in each document), its runs are cut into a few pieces whose keys are most of a window's text, and
     these are transformed; see _spans for the last resort.
 
-    A null text is empty; a row without a doc_id takes no part and is returned unchanged; doc_id must be unique (rows that share one are taken as one document for the order, and each
-    is returned); texts shorter than the window are unchanged; an empty table gives an empty result; only doc_id and text
-    are read. `kept` is bytes: a span can end inside a character.
+    A null text is empty; a row without a doc_id takes no part and is returned unchanged; doc_id must be unique (rows that
+    share one are taken as one document for the order, and each is returned); texts shorter than the window are
+    unchanged; a text of any length is cut into pieces that overlap by a window less one; an empty table gives an empty
+    result; only doc_id and text are read. `kept` is bytes: a span can end inside a character.
     """
     return with_spans(docs, repeated_byte_spans(docs, window, gram, hot, owner), lambda t, s: {"n_bytes": len(t), "n_removed": sum(h - lo for lo, h in s), "n_spans": len(s), "kept": _without(t, s)}, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
@@ -432,7 +437,11 @@ def word_window_dedup(docs: DataFrame, window: int = WORDS, gram: int = WORD_GRA
 
 def without_repeats(docs: DataFrame, text: str = "text", window: int = BYTES, gram: int = BYTE_GRAM, hot: int = HOT, owner: str = "substrings") -> DataFrame:
     """The documents without the bytes that suffix_dedup removes. A character that loses a byte goes as a whole; n_chars,
-    if there, is counted anew; all rows stay, even those that nothing is left of."""
+    if there, is counted anew; all rows stay, even those that nothing is left of.
+
+    Null texts stay null; rows without an id, empty, short and very long texts and repeated rows are as in suffix_dedup;
+    all columns stay, whatever their names; an empty table gives an empty one.
+    """
     spans = repeated_byte_spans(docs.select("doc_id", F.col(text).alias("text")), window, gram, hot, owner)
     grouped = spans.groupBy(F.col("doc_id").alias("s_id")).agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     rows = docs.select(F.struct("*").alias("row")).join(grouped, F.col("row.doc_id") == F.col("s_id"), "left")
@@ -452,8 +461,10 @@ def without_repeats(docs: DataFrame, text: str = "text", window: int = BYTES, gr
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of the documents table without repeated strings of 100 bytes, by digest."""
     return suffix_dedup(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of the documents table without repeated windows of 35 words, by digest."""
     return word_window_dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
