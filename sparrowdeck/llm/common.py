@@ -62,10 +62,10 @@ def release(spark: SparkSession, owner: str | None = None) -> None:
 
 
 def fewer(df: DataFrame) -> DataFrame:
-    """The frame in a quarter as many tasks as a shuffle has, though two for each core at least: for tables whose rows are
+    """The frame in a quarter as many tasks as a shuffle has, though one for each core at least: for tables whose rows are
     cheap to make, so that four shuffle partitions, one after the other, make one file. Files cost more than rows here."""
     spark = df.sparkSession
-    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, task_count(df) // 4))
+    return df.coalesce(max(spark.sparkContext.defaultParallelism, task_count(df) // 4))
 
 
 def materialize(df: DataFrame, owner: str, name: str, spread: bool = False) -> DataFrame:
