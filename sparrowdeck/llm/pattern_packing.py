@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, map_batches, materialize
-from .tokens import WordEncoder
+from .tokens import WordEncoder, cut_words
 
 CAPACITY = 4096
 END_ID = 1
@@ -162,10 +162,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     def cut(batch: pa.RecordBatch) -> Iterator[dict]:
         if not encoder:
             encoder.append(WordEncoder(tokenizer))
-        ids, ends = encoder[0].flat(batch.column(text).cast(pa.string()))
-        size = np.diff(np.concatenate(([0], ends))) + 1
-        all_ids = np.full(len(ids) + len(ends), end_id, "<u4")
-        all_ids[np.arange(len(ids)) + np.searchsorted(ends, np.arange(len(ids)), side="right")] = ids
+        all_ids, ends = encoder[0].closed(cut_words(batch.column(text).cast(pa.string())), end_id)
+        size = np.diff(ends, prepend=0)
         count = -(-size // capacity)
         row = np.repeat(np.arange(len(size)), count)
         piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)

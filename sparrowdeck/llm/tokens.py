@@ -147,14 +147,19 @@ class WordEncoder(_Encoder):
         each = lengths[codes]
         return pool[ranges((np.cumsum(lengths) - lengths)[codes], each)], np.cumsum(each)
 
-    def flat(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of the texts, one after the other, end of each)."""
-        ends, _, codes, words = cut_words(text)
+    def closed(self, cut: tuple, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the texts of cut_words(), each with `end` behind it, one after the other; end of each text)."""
+        ends, _, codes, words = cut
         ids, after = self.looked_up(codes, words)
-        return ids, np.concatenate(([0], after))[ends]
+        ends = np.concatenate(([0], after))[ends]
+        out = np.full(len(ids) + len(ends), end, "<u4")
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))] = ids
+        return out, ends + np.arange(1, len(ends) + 1)
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        ids, ends = self.flat(pa.array(list(texts), pa.string()))
+        ends, _, codes, words = cut_words(pa.array(list(texts), pa.string()))
+        ids, after = self.looked_up(codes, words)
+        ends = np.concatenate(([0], after))[ends]
         return [x.tobytes() for x in np.split(ids, ends[:-1])] if len(ends) else []
 
 

@@ -105,7 +105,7 @@ def test_scores_with_a_small_dictionary(spark, sf):
 def test_attention_helps(spark, sf):
     model, _, _ = lm.fitted(lm.documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"), "test")
     docs = [r for r in lm.documents(spark, sf).select("doc_id", "text").collect() if lm.held_out(r[0])]
-    flat, ends = lm._ids(WordEncoder(public_tokenizers.path("word_bpe_49k.json")), lm._lower(pa.array([r[1] or "" for r in docs])))
+    flat, ends = lm._ids(WordEncoder(public_tokenizers.path("word_bpe_49k.json")), lm.cut_words(lm._lower(pa.array([r[1] or "" for r in docs]))))
     ids = np.split(flat.astype(np.int64), ends[:-1])
     with_it = model.score(ids).sum()
     model.attention.p["out"][:] = 0
