@@ -139,9 +139,9 @@ def store(docs: DataFrame, root: str, shard_bytes: int = SHARD, text: str = "tex
 
 def read_back(stored: DataFrame, root: str) -> DataFrame:
     """What the stored bytes of each distinct payload say. Payloads that several shards hold are read from the first."""
-    index = materialize(stored.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*"), "op7", "index")
-    # rows are small, what they stand for is not: so many tasks as the payloads take, whatever the rows weigh
-    stored_bytes = index.agg(F.sum("length")).first()[0] or 0
+    index = stored.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
+    # rows are small, what they stand for is not: so many tasks as the payloads may take, whatever the rows weigh
+    stored_bytes = stored.agg(F.sum("length")).first()[0] or 0
     tasks = max(task_count(stored), stored_bytes // (4 * UNIT))
     units = index.withColumn("unit", F.floor(F.col("offset") / UNIT)).repartition(tasks, "shard", "unit").sortWithinPartitions("shard", "offset")
 
