@@ -81,7 +81,7 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", weights:
     rows = rows.withColumn("key", -F.log(uniform(F.col("doc_id"), seed)) / F.col("quality"))
     rows = rows.withColumn("bucket", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * buckets).cast("int")).drop("quality")
     # written, so that each text is read once; a few numbers for each document where rows are not kept
-    rows = materialize(rows if keep_rows else rows.drop("row"), owner, "sizes", spread=True)
+    rows = materialize(rows if keep_rows else rows.drop("row"), owner, "sizes", spread=keep_rows)
     ranges = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("ahead", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
@@ -101,7 +101,7 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", weights:
 
 def mix(docs: DataFrame, **options: object) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of each document; see mixed()."""
-    return mixed(docs, keep_rows=False, **options)
+    return fewer(mixed(docs, keep_rows=False, **options))
 
 
 def sampled(docs: DataFrame, **options: object) -> DataFrame:
