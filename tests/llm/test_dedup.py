@@ -306,3 +306,28 @@ def test_rows_without_id_and_clashing_columns(spark):
     assert got == [("7", 7), ("7", 7), ("8", 8), ("None", 7)]
     assert sd.suffix_dedup(docs.withColumn("lo", F.lit(1))).count() == 4
     assert sd.word_window_dedup(docs.withColumn("lo", F.lit(1))).count() == 4
+
+
+def test_long_texts_through_the_operators(spark, monkeypatch):
+    """Texts of several pieces, with repeats inside and over the joints of pieces."""
+    r = random.Random(9)
+    long = " ".join(f"w{r.randrange(10**6)}" for _ in range(30_000))
+    rows = [(1, long), (2, long[70_000:180_000]), (3, "x" + long[65_400:65_700] + "y"), (4, "z " * 40_000)]
+    got = {r[0]: (r[1], r[2], r[3]) for r in sd.suffix_dedup(frame(spark, rows)).collect()}
+    assert got[1] == (len(long), 0, 0) and got[2] == (110_000, 110_000, 1) and got[3] == (302, 300, 1)
+    assert got[4] == (80_000, 79_998, 1)
+    words = {r[0]: (r[1], r[2]) for r in sd.word_window_dedup(frame(spark, rows)).collect()}
+    inner = len(rows[1][1].split()) - (rows[1][1][0] != " " and long[69_999] != " ") - (long[180_000] != " ")
+    assert words[2][1] == inner and words[4] == (40_000, 40_000)
+
+
+def test_hot_pieces_keep_rows_linear():
+    """A run gives at most a row for each range of places, and every window is in exactly one of them."""
+    kind = sd.Bytes(100, 28)
+    for off, nwin in ((72, 73), (72, 1), (40, 41), (60, 10), (35, 5)):
+        part = bytes(range(256))[: nwin + 99]
+        got = list(sd.pieces(kind, part, off, nwin))
+        assert len(got) <= 8 and sorted(i for a, n, _ in got for i in range(a, a + n)) == list(range(nwin))
+        for a, n, core in got:
+            inner = core.split(b" ", 1)[1]
+            assert all(inner in part[i : i + 100] for i in range(a, a + n)) and len(inner) >= 91

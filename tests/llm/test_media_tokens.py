@@ -50,6 +50,31 @@ def test_damage_is_seen():
         media.samples_of(bytes(image))
 
 
+def test_headers_alone(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "hello"), (2, "é" * 1000), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["width"], r["height"]) for r in media.media_columns(docs, f"file://{tmp_path}", payloads=False).collect()}
+    assert got == {1: (64, 1), 2: (64, 32), 3: (64, 1)}
+
+
+def test_token_matrix_edges(spark):
+    """Null texts and ids, repeated rows, a very long text, columns with names of the result."""
+    long = "word " * 20_000
+    rows = [(1, "a b", 5, "x"), (1, "a b", 5, "x"), (None, "c", 5, "x"), (2, None, 5, "x"), (3, long, 5, "x"), (4, "", 5, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sequence_id long, input_ids string")
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = []
+    for r in to.token_matrices(docs, length=128).collect():
+        ids = np.frombuffer(bytes(r["input_ids"]), "<u2")
+        ends = r["cu_seqlens"]
+        got += [(d, s, tuple(ids[a:b].tolist())) for d, s, a, b in zip(r["doc_ids"], r["doc_starts"], ends, ends[1:], strict=False)]
+        assert r["n_tokens"] == ends[-1] <= 128 and len(ids) == 128
+    want = []
+    for d, x, *_ in rows:
+        ids = [*t.encode(x or "").ids, to.END_ID]
+        want += [(d, k, tuple(ids[k : k + 128])) for k in range(0, len(ids), 128)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_media_empty(spark):
     assert media.media_columns(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -82,3 +82,36 @@ def test_run(spark, sf, stages):
     got = corpus_pipeline.run(spark, sf)
     key = lambda df: sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in df.collect())
     assert key(got) == key(stages[5])
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, row string, size int, fp long, spans string, keep_id long, component_id long, host string"
+
+
+def odd_rows():
+    """Nulls in every column, empty and long texts, ties, repeated rows."""
+    words = [f"w{k}" for k in range(400)]
+    body = " ".join(words[:200])
+    rest = (None, 1, 2, "s", 3, 4, "h")
+    rows_ = [(1, body, "en", "a", 5), (1, body, "en", "a", 5), (2, body, None, None, None), (3, None, "en", "a", 1), (4, "", None, "b", 0), (None, " ".join(words[100:300]), None, None, 7), (5, " ".join(f"v{k}" for k in range(60_000)), "en", "b", 9), (6, "short text", "en", "b", 2), (7, "\n".join(words), "en", "c", 3)]
+    return [(*r, *rest) for r in rows_]
+
+
+def test_stages_on_an_odd_table(spark, sf, tmp_path):
+    docs = spark.createDataFrame(odd_rows(), ODD)
+    out = [docs]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, out[-1], sf).write.parquet(f"{tmp_path}/{k}")
+        out.append(spark.read.parquet(f"{tmp_path}/{k}"))
+        if k < 4:
+            assert out[-1].dtypes == docs.dtypes
+    ids = [sorted(str(r["doc_id"]) for r in df.collect()) for df in out]
+    assert ids[1] == ["1", "1", "2", "5", "7", "None"]  # empty and short texts fail the base rules
+    assert ids[2] == ["1", "1", "5", "7", "None"] and ids[3] == ids[2]  # equal texts leave one document, rows of one id stay
+    check(out[5].collect(), 4096)
+
+
+def test_stages_on_an_empty_table(spark, sf):
+    docs = spark.createDataFrame([], ODD)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        got = stage(spark, docs, sf)
+        assert got.count() == 0 and (k == 4 or got.columns == docs.columns)

@@ -130,3 +130,12 @@ def test_mix_meets_targets(spark, sf):
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert quality.quality_rules(docs).count() == mixing.mix(docs).count() == quality.clean(docs).count() == mixing.sampled(docs).count() == 0
+
+
+def test_mixing_repeated_rows_and_a_long_text(spark):
+    rows_ = [(1, "a b c", "s"), (1, "a b c", "s"), (None, "d", "s"), (2, "w " * 100_000, "t"), (3, None, None)]
+    out = mixing.mix(spark.createDataFrame([(*r, 9) for r in rows_], "doc_id long, text string, source string, size int")).collect()
+    assert sorted((r["doc_id"] or 0, r["size"]) for r in out) == [(0, 1), (1, 3), (1, 3), (2, 100_000), (3, 0)]
+    for s in ("s", "t"):
+        mine = [r for r in out if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 1 and all(r["taken"] <= 3 * r["size"] for r in mine)
