@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import re
 import xml.etree.ElementTree as ElementTree
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -207,17 +209,25 @@ def yaml_integer(scalar: Column) -> Column:
 # ---- listings
 
 
-def blobs(spark: SparkSession, folder: str, prefix: str = "", include: str | None = None, exclude: str | None = None) -> DataFrame:
-    """(path, length, modificationTime, content) of files whose name below the folder begins with a prefix.
+def blobs(spark: SparkSession, folder: str, prefix: str = "", include: str | Sequence[str] = (), exclude: str | Sequence[str] = ()) -> DataFrame:
+    """(path, modificationTime, length, content, name) of the files below a folder whose name there begins with a prefix,
+    matches one of the globs to include (all if there are none) and none of those to exclude.
 
-    include: a glob that Spark applies while listing; exclude: a glob with ** , * and ? applied to the rest.
+    A glob without a slash is for the last part of a name; ** goes over folders. Names are chosen from a listing, and only
+    chosen files are read. The names come to the driver, where Spark lists files anyway.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if include:
-        reader = reader.option("pathGlobFilter", include)
-    df = reader.load(folder).withColumn("name", F.regexp_extract("path", re.escape(folder.rstrip("/").split("://")[-1]) + "/(.*)$", 1))
-    df = df.where(F.col("name").startswith(prefix))
-    return df.where(~F.col("name").rlike(glob_pattern(exclude))) if exclude else df
+    name = F.regexp_extract("path", re.escape(folder.rstrip("/").split("://")[-1]) + "/(.*)$", 1)
+    listed = reader.load(folder).select("path", name.alias("name")).where(F.col("name").startswith(prefix))
+    some = lambda globs: [globs] if isinstance(globs, str) else list(globs)
+    one = lambda glob: F.col("name").rlike(glob_pattern(glob if "/" in glob else f"**/{glob}"))
+    if some(include):
+        listed = listed.where(reduce(or_, map(one, some(include))))
+    for glob in some(exclude):
+        listed = listed.where(~one(glob))
+    chosen = [r["path"] for r in listed.select("path").collect()]
+    df = reader.load(chosen) if chosen else reader.load(folder).where(F.lit(False))
+    return df.withColumn("name", name)
 
 
 def glob_pattern(glob: str) -> str:
@@ -225,7 +235,7 @@ def glob_pattern(glob: str) -> str:
     return f"^{out}$"
 
 
-def manifest(spark: SparkSession, folder: str, include: str | None = None) -> DataFrame:
+def manifest(spark: SparkSession, folder: str, include: str | Sequence[str] = ()) -> DataFrame:
     """(name, hash) of the files of a folder."""
     return blobs(spark, folder, include=include).select("name", F.sha2("content", 256).alias("hash"))
 
@@ -237,6 +247,32 @@ def migration(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("name", change.alias("change")).where("change IS NOT NULL")
 
 
+def row_frames(df: DataFrame, size: int = 1000) -> Iterator[tuple[str, object]]:
+    """A result as frames for a client: ("header", [(name, type)]), ("rows", up to `size` rows) as they come, and
+    ("complete", number of rows). One partition at a time is on the driver."""
+    yield "header", [(f.name, f.dataType.simpleString()) for f in df.schema]
+    held: list[tuple] = []
+    n = 0
+    for row in df.toLocalIterator(prefetchPartitions=True):
+        held.append(tuple(row))
+        n += 1
+        if len(held) == size:
+            yield "rows", held
+            held = []
+    if held:
+        yield "rows", held
+    yield "complete", n
+
+
+def _framed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as a client puts them together from frames."""
+    got = list(row_frames(spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name"), 7))
+    rows = [r for kind, part in got if kind == "rows" for r in part]
+    if got[-1] != ("complete", len(rows)):
+        raise ValueError("rows are missing")
+    return spark.createDataFrame(rows, ", ".join(f"{n} {t}" for n, t in got[0][1]))
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -259,6 +295,7 @@ def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "row_frames": _framed,
     "json_pairs_nested": lambda s, d: pairs(_nested(s, d), "o_orderkey", "text", "json", errors=True).select("id", "path", "value", F.col("error").isNotNull().alias("bad")),
     "tokens": lambda s, d: tokens(s.read.parquet(f"{d}/part.parquet").withColumn("t", F.concat_ws("=>", "p_name", "p_type", F.lit("=x="))), "p_partkey", "t", {"arrow": "=>", "equals": "="}, whitespace=True),
     "text_lines": lambda s, d: lines(_docs(s, d), "doc_id", "text").select("id", F.col("n").cast("long").alias("n"), "line"),
@@ -269,6 +306,7 @@ QUERIES = {
     "yaml_kinds": lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", yaml_kind(F.when(F.col("event_id") % 3 == 0, F.col("value").cast("string")).when(F.col("event_id") % 3 == 1, F.col("event_type")).otherwise(F.col("event_id").cast("string"))).alias("kind")),
 }
 ORACLES = {
+    "row_frames": "SELECT n_nationkey, n_name FROM nation",
     "json_pairs_nested": """WITH o AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders), p AS (SELECT k, unnest([{'p': 'key', 'v': k::VARCHAR}, {'p': 'who:id', 'v': c::VARCHAR}, {'p': 'who:tags:0', 'v': 'a'}, {'p': 'who:tags:1', 'v': 'true'}, {'p': 'who:tags:2', 'v': NULL}, {'p': 'who:tags:3', 'v': NULL}, {'p': 'none', 'v': NULL}]) AS x FROM o WHERE k % 7 > 3)
       SELECT k::VARCHAR AS id, x.p AS path, x.v AS value, FALSE AS bad FROM p UNION ALL SELECT k::VARCHAR, NULL, NULL, TRUE FROM o WHERE k % 7 < 3""",
     "tokens": r"""WITH t AS (SELECT p_partkey AS id, regexp_extract_all(p_name || '=>' || p_type || '=>' || '=x=', '=>|=|[ \t]+|[^= \t]+') AS xs FROM part), u AS (SELECT id, n - 1 AS n, xs[n] AS value FROM t, unnest(range(1, len(xs) + 1)) AS r(n))

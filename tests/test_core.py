@@ -345,7 +345,10 @@ def test_sources(spark, tmp_path):
         (tmp_path / name).write_text(text)
     names = lambda **k: sorted(r["name"] for r in f.blobs(spark, str(tmp_path), **k).collect())
     assert names() == ["a/x.txt", "a/y.md", "b/z.txt"] and names(prefix="a/") == ["a/x.txt", "a/y.md"]
-    assert names(include="*.txt", exclude="b/*") == ["a/x.txt"]
+    assert names(include="*.txt", exclude="b/*") == ["a/x.txt"] and names(include=["a/*", "z.*"], exclude=["*.md"]) == ["a/x.txt", "b/z.txt"]
+    assert names(include="**/z.txt") == ["b/z.txt"] and names(exclude="**") == [] and f.blobs(spark, str(tmp_path), include="z.txt").first()["content"] == b"3"
+    got = list(f.row_frames(spark.range(5), 2))
+    assert got[0] == ("header", [("id", "bigint")]) and got[-1] == ("complete", 5) and [len(x) for k, x in got if k == "rows"] == [2, 2, 1]
     old = f.manifest(spark, str(tmp_path)).where("name != 'b/z.txt'").withColumn("hash", F.when(F.col("name") == "a/y.md", "0").otherwise(F.col("hash")))
     assert dict(map(tuple, f.migration(old, f.manifest(spark, str(tmp_path))).collect())) == {"a/y.md": "changed", "b/z.txt": "added"}
 
