@@ -61,8 +61,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return at.select("source", "source_size", F.least(F.lit(float(most)) * F.col("source_size"), F.lit(level) * F.col("weight")).alias("target"))
 
 
-def mixed(docs: DataFrame, text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, buckets: int = BUCKETS, keep_rows: bool = True, whole: bool = False, owner: str = "op8") -> DataFrame:
-    """What the mix takes of each row (as struct `row`, if rows are kept): doc_id, source, size, source_size, target, taken.
+def mixed(docs: DataFrame, text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, buckets: int = BUCKETS, whole: bool = False, owner: str = "op8") -> DataFrame:
+    """What the mix takes of each row: doc_id, source, row_key and body_hash (which equal rows share), size, source_size,
+    target, taken.
 
     Each source gives whole epochs first; what its target still wants is the fractional part. Documents get exponential
     keys -ln(u) / quality; in the order of keys they are taken whole until the fractional budget ends, and the document
@@ -73,15 +74,14 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", weights:
     size, and rows that still tie, such as repeated ones, are interchangeable; a text of any length is one number; an
     empty table gives an empty result; only doc_id, text and source are read.
 
-    Prefix sums never bring a source together: documents are dealt by ranges of their key, sums of ranges (at most
-    `buckets` rows a source) are accumulated, and each range is summed on its own. The table of sources has one row for
-    each source.
+    Each text is read once, into a table of a few numbers. Prefix sums never bring a source together: documents are dealt
+    by ranges of their key, sums of ranges (at most `buckets` rows a source) are accumulated, and each range is summed on
+    its own. The table of sources has one row for each source.
     """
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), quality_weight(F.col(text)).alias("quality"))
+    rows = docs.select("doc_id", F.col(source).alias("source"), *row_key(docs, text, source), F.size(words(F.col(text))).cast("long").alias("size"), quality_weight(F.col(text)).alias("quality"))
     rows = rows.withColumn("key", -F.log(uniform(F.col("doc_id"), seed)) / F.col("quality"))
     rows = rows.withColumn("bucket", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * buckets).cast("int")).drop("quality")
-    # written, so that each text is read once; a few numbers for each document where rows are not kept
-    rows = materialize(rows if keep_rows else rows.drop("row"), owner, "sizes", spread=keep_rows)
+    rows = materialize(rows, owner, "sizes")
     ranges = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("ahead", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
@@ -96,19 +96,34 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", weights:
     room = F.greatest(F.lit(0), rest - F.col("prefix"))
     part = F.when(2 * room >= F.col("size"), F.col("size")).otherwise(0) if whole else F.least(F.col("size"), room)
     taken = epochs * F.col("size") + part
-    return joined.select(*["row"] * keep_rows, "doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return joined.select("doc_id", "source", "row_key", "body_hash", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def row_key(docs: DataFrame, text: str, source: str) -> list[Column]:
+    """Two numbers by which equal documents are known: of id, source and text, and of the text alone. Neither is null."""
+    body = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    return [F.xxhash64("doc_id", F.col("doc_id").isNull(), F.col(source), F.col(source).isNull(), body).alias("row_key"), body.alias("body_hash")]
 
 
 def mix(docs: DataFrame, **options: object) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of each document; see mixed()."""
-    return fewer(mixed(docs, keep_rows=False, **options))
+    return fewer(mixed(docs, **options).drop("row_key", "body_hash"))
 
 
-def sampled(docs: DataFrame, **options: object) -> DataFrame:
+def sampled(docs: DataFrame, text: str = "text", source: str = "source", **options: object) -> DataFrame:
     """The mix itself: each document as it is, once for every time that the mix takes it whole. Documents without words
-    are never taken; nulls, ties, repeated rows, long texts and empty tables are as in mixed(); all columns stay."""
-    out = mixed(docs, whole=True, **options).where("taken > 0")
-    out = out.select("row", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))))
+    are never taken; nulls, ties, repeated rows, long texts and empty tables are as in mixed(); all columns stay.
+
+    Texts travel once, to meet what was decided for them. Repeated rows share what the mix takes of them: each gets the
+    same number of copies, and the first ones one more.
+    """
+    taken = mixed(docs, text=text, source=source, whole=True, **options).where("size > 0")
+    decided = taken.groupBy(F.col("row_key").alias("k"), F.col("body_hash").alias("h")).agg(F.sum(F.expr("taken div size")).alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
+    rows = docs.select(F.struct("*").alias("row"), *row_key(docs, text, source))
+    rows = rows.join(decided, (F.col("row_key") == F.col("k")) & (F.col("body_hash") == F.col("h")))
+    place = F.row_number().over(Window.partitionBy("row_key", "body_hash").orderBy("row_key"))
+    out = rows.withColumn("place", place).withColumn("times", F.expr("CAST(copies div rows + IF(place <= copies % rows, 1, 0) AS INT)")).where("times > 0")
+    out = out.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return fewer(out.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
 
 
