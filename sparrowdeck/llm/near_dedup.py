@@ -136,11 +136,14 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def salted(cells: DataFrame, hot: int, *columns: str) -> DataFrame:
+def salted(cells: DataFrame, hot: int, owner: str, *columns: str) -> DataFrame:
     """Deal out the rows (cell, fp, ...) of cells with more than `hot` of them: rows get salts, and each pair of salts is a
-    cell of its own, (cell, a, b), so nothing gathers in one task and no pair is lost. Beyond MOST_SALTS the salts grow."""
+    cell of its own, (cell, a, b), so nothing gathers in one task and no pair is lost. Beyond MOST_SALTS the salts grow.
+
+    The list of such cells is a table, so its size is known when the join is planned: a short one is broadcast.
+    """
     often = cells.groupBy(F.col("cell").alias("k")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot)
-    often = often.select("k", F.least(F.lit(MOST_SALTS), F.ceil(F.col("n") / hot)).cast("int").alias("salts"))
+    often = materialize(often.select("k", F.least(F.lit(MOST_SALTS), F.ceil(F.col("n") / hot)).cast("int").alias("salts")), owner, "often")
     dealt = cells.join(often, F.col("cell") == F.col("k"), "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     return dealt.select("cell", F.least("salt", "other").alias("a"), F.greatest("salt", "other").alias("b"), "fp", *columns)
@@ -166,7 +169,7 @@ def _links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(codes[linked]), pa.array(codes[root[linked]])], names=["u", "v"])
 
 
-def links(codes: DataFrame, distance: int = DISTANCE, hot: int = HOT, blocks: int | None = None) -> DataFrame:
+def links(codes: DataFrame, distance: int = DISTANCE, hot: int = HOT, blocks: int | None = None, owner: str = "links") -> DataFrame:
     """Edges (u, v) between fingerprints that span the components. codes: a column fp of distinct ones.
 
     Two codes within the distance agree on one of the choices of blocks: each code goes to a cell for each choice, and
@@ -177,7 +180,7 @@ def links(codes: DataFrame, distance: int = DISTANCE, hot: int = HOT, blocks: in
     masks = schemes(distance, blocks or blocks_for(n, distance, hot))
     cells = codes.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
     cells = cells.withColumn("cell", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))
-    dealt = salted(cells, hot, "mask")
+    dealt = salted(cells, hot, owner, "mask")
     tasks = max(task_count(dealt), n * len(masks) // AT_TASK)
     return small_batches(dealt.repartition(tasks, "cell", "a", "b").select("fp", "mask")).mapInArrow(lambda it: _links(it, distance), "u long, v long").where("u != v").distinct()
 
@@ -217,7 +220,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, hot: int = HOT, b
     """
     fps = materialize(map_batches(docs.select("doc_id", "text"), _fingerprints, "doc_id long, fp long"), owner, "fps", spread=True)
     codes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), owner, "codes")
-    roots = components(links(codes.select("fp"), distance, hot, blocks), owner)
+    roots = components(links(codes.select("fp"), distance, hot, blocks, owner), owner)
     placed = codes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     known = placed.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
     known = placed.join(known, F.col("root") == F.col("r")).select(F.col("fp").alias("k_fp"), "component_id")
@@ -388,13 +391,13 @@ def similar_documents(docs: DataFrame, words: int = WORDS, similarity: float = S
     r = np.random.default_rng(13)
     keys = np.array([r.permutation(64 * LANES)[:bits] for _ in range(tables)])
     cells = map_batches(codes, lambda b: _cells(b, keys), "cell long, fp long, " + ", ".join(f"c{k} long" for k in range(COMPARED)))
-    dealt = salted(cells, hot, *lanes[:COMPARED])
+    dealt = salted(cells, hot, owner, *lanes[:COMPARED])
     share, width = differing(similarity), 64 * COMPARED
     most = math.ceil(width * share + 3 * math.sqrt(width * share * (1 - share)))
     tasks = max(task_count(docs), n * tables // AT_TASK)
     dealt = dealt.repartition(tasks, "cell", "a", "b").sortWithinPartitions("cell", "a", "b", "fp")
     near = materialize(small_batches(dealt).mapInArrow(lambda it: _alike(it, most), "u long, v long").where("u != v").distinct(), owner, "near")
-    ends = near.select(F.col("u").alias("w_id")).union(near.select("v")).distinct()
+    ends = materialize(near.select(F.col("u").alias("w_id")).union(near.select("v")).distinct(), owner, "ends")
     sets = materialize(map_batches(docs.join(ends, F.col("doc_id") == F.col("w_id"), "left_semi"), lambda b: _sets(b, words), "s_id long, set binary"), owner, "sets")
     left = near.join(sets, F.col("u") == F.col("s_id")).select("u", "v", F.col("set").alias("left"))
     both = left.join(sets, F.col("v") == F.col("s_id")).select("u", "v", "left", F.col("set").alias("right"))
@@ -409,9 +412,11 @@ def deduplicated(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     """The documents whose id is the least of their component; see similar_documents. Rows that share a doc_id are one
     document and stay together; rows without an id stay too, since no other row can stand for them. All columns stay,
     whatever their names; an empty table gives an empty one."""
-    keep = similar_documents(docs, words, similarity, hot, owner).where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
-    rows = docs.select(F.struct("*").alias("row"))
-    out = rows.join(keep, F.col("row.doc_id") == F.col("keep_id"), "left_semi").union(rows.where("row.doc_id IS NULL"))
+    stays = F.max(F.col("doc_id") == F.col("component_id"))
+    gone = similar_documents(docs, words, similarity, hot, owner).groupBy("doc_id").agg(stays.alias("stays")).where("NOT stays").select(F.col("doc_id").alias("gone_id"))
+    # a table, so that texts need not travel where it is short enough to be broadcast
+    gone = materialize(gone, f"{owner}-result", "gone")
+    out = docs.select(F.struct("*").alias("row")).join(gone, F.col("row.doc_id") == F.col("gone_id"), "left_anti")
     return fewer(out.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
 
 
