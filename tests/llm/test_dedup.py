@@ -254,7 +254,8 @@ def test_similar_documents_against_brute_force(spark, hot):
         assert want[d] == want[c]
 
 
-def test_large_cells_take_the_index():
+def test_large_cells_take_the_index(monkeypatch):
+    monkeypatch.setattr(nd, "DIRECT", 48)
     r = random.Random(1)
     centre = [r.getrandbits(64) for _ in range(2)]
     codes = np.array([[c ^ sum(1 << r.randrange(64) for _ in range(r.randint(0, 6))) & (2**64 - 1) for c in centre] for _ in range(150)], np.uint64)
