@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .functions import cron
+from .functions import cron, oql
 from .functions import gql as gql_functions
 from .operators import graph, keyvalue, mapping, tables, validation
 from .plans import gql, relational, statements
 from .sources import formats, yaml
 from .streaming import events
 
-MODULES = (relational, statements, keyvalue, tables, graph, validation, mapping, formats, yaml, cron, gql_functions, gql, events)
+MODULES = (relational, statements, keyvalue, tables, graph, validation, mapping, formats, yaml, cron, gql_functions, oql, gql, events)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
