@@ -240,7 +240,12 @@ RECALL = 0.97
 #: Codes that an average cell may have, and codes of a cell that are compared without an index. A smaller cell takes a
 #: longer key and so more tables: 24 for 200,000 texts, 66 for 12 million.
 CELL, DIRECT = 64, 256
-CODES = "doc_id long, " + ", ".join(f"c{k} long" for k in range(LANES))
+CODES = "doc_id long, " + ", ".join(f"c{k} long" for k in range(LANES)) + ", size int, s0 long, s1 long, prefix array<long>"
+#: Shingles are counted in so many documents, or one in COUNTED_SHARE if that is more, to put the frequent ones last: those
+#: found OFTEN times, at most MOST_FREQUENT. Only how many pairs are compared depends on it, never which are found.
+COUNTED, COUNTED_SHARE, OFTEN, MOST_FREQUENT = 10_000, 64, 4, 200_000
+#: Rows of shingles looked at together, and pairs held before they leave a task.
+TOGETHER, PAIRS = 1 << 16, 1 << 18
 _LANE = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) for k in range(LANES)], np.uint64)
 
 
@@ -278,7 +283,10 @@ def tables_for(codes: int, similarity: float = SIMILARITY) -> tuple[int, int]:
 
 
 def spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Numbers of the edges of a least spanning forest of n items: each component takes its least edge, round by round."""
+    """Numbers of the edges of a least spanning forest of n items: each component takes its least edge, round by round.
+
+    The weight is a distance of fingerprints, so an edge that is taken may not be similar enough by count while one that
+    is left is; remaining_pairs() finds those."""
     place = np.lexsort((b, a, weight))
     rank = np.empty(len(place), np.int64)
     rank[place] = np.arange(len(place))
@@ -356,33 +364,168 @@ def _sets(batch: pa.RecordBatch, words: int) -> Iterator[dict]:
     yield {"s_id": batch.column("doc_id"), "set": [shingle_set(t, words).tobytes() for t in texts(batch)]}
 
 
-def _confirmed(batch: pa.RecordBatch, similarity: float) -> Iterator[dict]:
+def _confirmed(batch: pa.RecordBatch, similarity: float, columns: list[str]) -> Iterator[dict]:
     keep = []
     for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
         x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
         both = len(np.intersect1d(x, y, assume_unique=True))
         keep.append(both >= similarity * (len(x) + len(y) - both))
     kept = batch.filter(pa.array(keep, pa.bool_()))
-    yield {"u": kept.column("u"), "v": kept.column("v")}
+    yield {c: kept.column(c) for c in columns}
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, words: int, similarity: float, owner: str) -> DataFrame:
+    """The rows (u, v, ...) of a table of pairs of documents whose sets are similar enough by count."""
+    ends = materialize(pairs.select(F.col("u").alias("w_id")).union(pairs.select("v")).distinct(), owner, "ends")
+    sets = materialize(map_batches(docs.join(ends, F.col("doc_id") == F.col("w_id"), "left_semi"), lambda b: _sets(b, words), "s_id long, set binary"), owner, "sets")
+    left = pairs.join(sets, F.col("u") == F.col("s_id")).select(*pairs.columns, F.col("set").alias("left"))
+    both = left.join(sets, F.col("v") == F.col("s_id")).select(*pairs.columns, "left", F.col("set").alias("right"))
+    columns = pairs.columns
+    return map_batches(both, lambda b: _confirmed(b, similarity, columns), ", ".join(f"{c} long" for c in columns))
+
+
+def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles that many documents have, in order of their values; class of each, higher where it is more frequent).
+
+    This only orders shingles. Any order finds the same pairs (see prefix), this one with fewer comparisons; so some
+    documents are counted, those of least hash, and the list is bounded.
+    """
+    every = max(1, min(COUNTED_SHARE, docs.count() // COUNTED))
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        found, n = np.unique(np.concatenate([shingle_set(t, words) for t in texts(batch)]), return_counts=True)
+        yield {"g": found.view(np.int64), "n": n}
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    counts = map_batches(some, run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+    got = counts.orderBy(F.desc("n"), "g").limit(MOST_FREQUENT).toArrow()
+    values = got.column("g").to_numpy().view(np.uint64)
+    order = np.argsort(values)
+    return values[order], 1 + np.log2(got.column("n").to_numpy()[order]).astype(np.int64)
+
+
+def prefix(hashes: np.ndarray, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first n - least + 1 of n hashes, rare ones first, where sets that are similar share at least `least` of them.
+
+    Two sets that share `least` have their first common hash, in an order that is the same for all, in both prefixes.
+    """
+    if not len(hashes):
+        return hashes
+    values, level = frequent
+    known = np.zeros(len(hashes), np.int64)
+    if len(values):
+        at = np.minimum(np.searchsorted(values, hashes), len(values) - 1)
+        known = np.where(values[at] == hashes, level[at], 0)
+    least = math.ceil(similarity * len(hashes) - 1e-6)
+    return hashes[np.argsort(known, kind="stable")][: len(hashes) - least + 1]  # within a class, by value
+
+
+def _meeting(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs (u, v, cu, cv, room, n) of sets of different components that share n shingles of their prefixes here, and may
+    be similar by their sizes if they share `room` at least (rows come sorted by cell). Every pair of a cell is looked at.
+
+    Of the two prefixes, one ends first in the order; what it lacks of the other up to there, its set lacks. So sets share
+    at most what their prefixes do and the rest of that set.
+    """
+    names = ["cell", "a", "b", "fp", "size", "rest", "comp"]
+
+    def out(held: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.concatenate(held)
+        pairs = pairs[np.lexsort(pairs.T)]
+        first = np.flatnonzero(np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(axis=1))))
+        n = np.diff(np.append(first, len(pairs)))
+        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in pairs[first].T), pa.array(n)], names=["u", "v", "cu", "cv", "room", "n"])
+
+    def pairs(cell: np.ndarray, a: np.ndarray, b: np.ndarray, fp: np.ndarray, size: np.ndarray, rest: np.ndarray, comp: np.ndarray) -> Iterator[np.ndarray]:
+        begin = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+        counts = np.diff(np.append(begin, len(cell)))
+        last = np.repeat(begin + counts, counts)
+        x, step = np.arange(len(cell)), 0
+        while len(x):
+            step += 1
+            x = x[x + step < last[x]]
+            y = x + step
+            ok = (comp[x] != comp[y]) & (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-6)
+            p, q = x[ok], y[ok]
+            if len(p):
+                turned = fp[p] < fp[q]
+                p, q = np.where(turned, q, p), np.where(turned, p, q)
+                least = np.ceil(similarity / (1 + similarity) * (size[p] + size[q]) - 1e-6).astype(np.int64)
+                yield np.stack([fp[p], fp[q], comp[p], comp[q], least - np.maximum(rest[p], rest[q])], axis=1)
+
+    def whole() -> Iterator[list[np.ndarray]]:
+        held: list[list[np.ndarray]] = []
+        rows = 0
+        for batch in batches:
+            held.append([batch.column(c).to_numpy().astype(np.int64) for c in names])
+            rows += batch.num_rows
+            if rows >= TOGETHER:
+                got = [np.concatenate(x) for x in zip(*held, strict=True)]
+                other = (got[0] != got[0][-1]) | (got[1] != got[1][-1]) | (got[2] != got[2][-1])
+                done = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0  # the last cell may go on
+                if done:
+                    yield [x[:done] for x in got]
+                held, rows = [[x[done:] for x in got]], rows - done
+        if rows:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+    held: list[np.ndarray] = []
+    for got in whole():
+        for some in pairs(*got):
+            held.append(some)
+            if sum(map(len, held)) >= PAIRS:
+                yield out(held)
+                held = []
+    if held:
+        yield out(held)
+
+
+def remaining_pairs(sets: DataFrame, similarity: float, hot: int, owner: str) -> DataFrame:
+    """(u, v, cu, cv): all pairs of sets of different components that may be similar; none that is similar is missing.
+
+    sets: (fp, comp, size, prefix), one row for each distinct set. Sets that share a shingle of their prefixes meet in its
+    cell; cells of one component are left, those with more than `hot` sets are dealt out (see salted), where a pair may be
+    counted more than once, so that too many pairs go on, never too few.
+    """
+    cells = sets.select("fp", "comp", "size", (F.col("size") - F.size("prefix")).alias("rest"), F.explode("prefix").alias("cell"))
+    alive = cells.groupBy(F.col("cell").alias("k")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("k")
+    # tables, so that joins with what is short need no shuffle
+    alive = materialize(alive, owner, "alive")
+    cells = materialize(cells.join(alive, F.col("cell") == F.col("k"), "left_semi"), owner, "cells")
+    dealt = salted(cells, hot, owner, "size", "rest", "comp")
+    dealt = dealt.repartition(task_count(dealt), "cell", "a", "b").sortWithinPartitions("cell", "a", "b", "fp")
+    met = small_batches(dealt).mapInArrow(lambda it: _meeting(it, similarity), "u long, v long, cu long, cv long, room long, n long")
+    met = met.groupBy("u", "v", "cu", "cv").agg(F.max("room").alias("room"), F.sum("n").alias("n")).where("n >= room")
+    return materialize(met.select("u", "v", "cu", "cv"), owner, "rest")
 
 
 def similar_documents(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, hot: int = HOT, owner: str = "similar") -> DataFrame:
     """(doc_id, component_id) of each row with an id: documents whose sets of word shingles have a Jaccard similarity of
-    `similarity` or more are linked, and a component's id is its least doc_id.
+    `similarity` or more are linked, and a component's id is its least doc_id. No link is missing.
 
     Wide fingerprints of the sets go to cells of several tables, chosen bits of the fingerprint each; in a cell, codes
     near each other are found directly or, in large cells, over the index; a least spanning forest of them leaves the
-    task, and of its edges those stay whose sets are similar enough by count. Equal sets are one code.
+    task, and of its edges those stay whose sets are similar enough by count. Equal fingerprints are one code.
+
+    That joins nearly all that is similar. An exact join finds the rest: sets that are similar share a shingle of their
+    prefixes (see prefix), so all pairs that do, and whose components still differ, are counted too. Distinct sets take
+    part in it, not codes, so that a link of any text of a code counts.
 
     A null or wordless text has the empty set, and all such are linked; a text of any length is one set; equal rows get
     equal results; rows without an id take no part and are not returned; rows that share an id are one document; an empty
     table gives an empty result; only doc_id and text are read.
     """
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))
 
     def fingerprints(batch: pa.RecordBatch) -> Iterator[dict]:
-        codes = np.array([wide_fingerprint(shingle_set(t, words)) for t in texts(batch)], np.uint64).reshape(-1, LANES).view(np.int64)
-        yield {"doc_id": batch.column("doc_id"), **{f"c{k}": codes[:, k] for k in range(LANES)}}
+        sets = [shingle_set(t, words) for t in texts(batch)]
+        codes = np.array([wide_fingerprint(s) for s in sets], np.uint64).reshape(-1, LANES).view(np.int64)
+        digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
+        first = [prefix(s, similarity, shared.value) for s in sets]
+        ends = np.cumsum([0, *map(len, first)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*first, np.zeros(0, np.uint64)]).view(np.int64)))
+        yield {"doc_id": batch.column("doc_id"), **{f"c{k}": codes[:, k] for k in range(LANES)}, "size": [len(s) for s in sets], "s0": digests[:, 0], "s1": digests[:, 1], "prefix": lists}
 
     lanes = [f"c{k}" for k in range(LANES)]
     prints = materialize(map_batches(docs, fingerprints, CODES), owner, "prints", spread=True)
@@ -398,13 +541,17 @@ def similar_documents(docs: DataFrame, words: int = WORDS, similarity: float = S
     tasks = max(task_count(docs), n * tables // AT_TASK)
     dealt = dealt.repartition(tasks, "cell", "a", "b").sortWithinPartitions("cell", "a", "b", "fp")
     near = materialize(small_batches(dealt).mapInArrow(lambda it: _alike(it, most), "u long, v long").where("u != v").distinct(), owner, "near")
-    ends = materialize(near.select(F.col("u").alias("w_id")).union(near.select("v")).distinct(), owner, "ends")
-    sets = materialize(map_batches(docs.join(ends, F.col("doc_id") == F.col("w_id"), "left_semi"), lambda b: _sets(b, words), "s_id long, set binary"), owner, "sets")
-    left = near.join(sets, F.col("u") == F.col("s_id")).select("u", "v", F.col("set").alias("left"))
-    both = left.join(sets, F.col("v") == F.col("s_id")).select("u", "v", "left", F.col("set").alias("right"))
-    roots = components(map_batches(both, lambda b: _confirmed(b, similarity), "u long, v long"), owner)
-    known = codes.join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").select(*[F.col(c).alias(f"k_{c}") for c in lanes], F.coalesce("root", "node").alias("component_id"))
-    out = materialize(prints.join(known, [F.col(c) == F.col(f"k_{c}") for c in lanes]).select("doc_id", "component_id"), f"{owner}-result", "result")
+    roots = components(confirmed(near, docs, words, similarity, owner), owner)
+    known = codes.join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").select(*[F.col(c).alias(f"k_{c}") for c in lanes], F.coalesce("root", "node").alias("comp"))
+    known = materialize(known, owner, "known")
+    same = [F.col(c) == F.col(f"k_{c}") for c in lanes]
+    # equal sets have equal columns but for the id
+    sets = prints.where("size > 0").groupBy("s0", "s1").agg(F.min("doc_id").alias("fp"), *[F.first(c).alias(c) for c in (*lanes, "size", "prefix")])
+    sets = materialize(sets.join(known, same).select("fp", "comp", "size", "prefix"), owner, "distinct")
+    rest = confirmed(remaining_pairs(sets, similarity, hot, owner), docs, words, similarity, owner)
+    joined = components(rest.select(F.col("cu").alias("u"), F.col("cv").alias("v")), owner)
+    known = known.join(joined, F.col("comp") == F.col("node"), "left").select(*[f"k_{c}" for c in lanes], F.coalesce("root", "comp").alias("component_id"))
+    out = materialize(prints.join(known, same).select("doc_id", "component_id"), f"{owner}-result", "result")
     release(docs.sparkSession, owner)
     return out
 

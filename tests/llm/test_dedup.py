@@ -254,6 +254,48 @@ def test_similar_documents_against_brute_force(spark, hot):
         assert want[d] == want[c]
 
 
+def edge_rows(n=220):
+    """Pairs of texts that share 79 to 82 of 100 shingles, and chains in which only some links hold."""
+    r = random.Random(17)
+    rows = []
+    for g in range(n):
+        base = [f"g{g}w{r.randrange(10**6)}" for _ in range(94)]
+        far = [f"h{g}w{r.randrange(10**6)}" for _ in range(30)]
+        rows += [(10 * g, " ".join(base)), (10 * g + 1, " ".join([*base[: 83 + g % 4], *far[: 11 - g % 4]]))]
+        if g % 4 == 0:  # near the second, not near the first
+            rows.append((10 * g + 2, " ".join([*base[6 : 83 + g % 4], *far[: 15 - g % 4]])))
+    return rows
+
+
+@pytest.mark.parametrize("hot", [600, 3])
+def test_no_pair_at_the_limit_is_missed(spark, hot):
+    rows = edge_rows()
+    pairs = [(a, b) for a, b in zip(rows, rows[1:], strict=False) if a[0] // 10 == b[0] // 10]
+    assert sum(0.8 <= jaccard(a[1], b[1]) < 0.84 for a, b in pairs) > 150 and any(jaccard(a[1], b[1]) < 0.8 for a, b in pairs)
+    want = {}
+    for d, t in rows:  # texts of different groups share nothing
+        mine = [(e, u) for e, u in rows if e // 10 == d // 10]
+        want[d] = brute_similar(mine)[d]
+    assert dict(nd.similar_documents(frame(spark, rows), hot=hot).collect()) == want
+
+
+@pytest.mark.parametrize("hot", [600, 2])
+def test_the_exact_join_alone_finds_every_pair(spark, hot, monkeypatch):
+    """No set has a component yet: all similar pairs have to meet, also in dealt cells and among frequent shingles."""
+    monkeypatch.setattr(nd, "OFTEN", 3)
+    monkeypatch.setattr(nd, "TOGETHER", 50)
+    rows = [(d, t) for d, t in near_rows(6) if nd.shingle_set((t or "").encode()).size]
+    rows = list({nd.shingle_set(t.encode()).tobytes(): (d, t) for d, t in rows}.values())
+    frequent = nd.frequent_shingles(frame(spark, rows), nd.WORDS)
+    assert len(frequent[0])
+    sets = [(d, d, len(s := nd.shingle_set(t.encode())), nd.prefix(s, 0.8, frequent).view(np.int64).tolist()) for d, t in rows]
+    sets = spark.createDataFrame(sets, "fp long, comp long, size int, prefix array<long>")
+    met = nd.remaining_pairs(sets, 0.8, hot, "test")
+    got = {(r["u"], r["v"]) for r in nd.confirmed(met, frame(spark, rows), nd.WORDS, 0.8, "test").collect()}
+    want = {(max(a, b), min(a, b)) for k, (a, s) in enumerate(rows) for b, t in rows[k + 1 :] if jaccard(s, t) >= 0.8}
+    assert got == want and len(want) > 50
+
+
 def test_large_cells_take_the_index(monkeypatch):
     monkeypatch.setattr(nd, "DIRECT", 48)
     r = random.Random(1)
