@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROWS, documents, drop_table, few_rows, materialize, small_batches, to_batch
+from .common import ROWS, documents, drop_table, materialize, small_batches, to_batch
 from .tokens import WordEncoder, cut_words, split_buffer
 
 #: One document in so many is held out.
@@ -27,10 +27,11 @@ CLASSES = SINGLE + BANDS
 #: are one each.
 SEEN, OWN = 1024, 4096
 WIDTH, WINDOW, STRIDE = 16, 32, 26
-#: Bounds of the start of the attention weights on the driver: documents, and steps of BATCH windows.
-SAMPLE, STEPS, BATCH = 1_000, 500, 96
-#: From there every training document teaches: so many rounds, each over one in EVERY of all windows.
-ROUNDS, EVERY, RATE = 2, 128, 0.002
+#: A table of at most so many training documents and STEPS times BATCH windows is learnt on the driver, in STEPS steps.
+FEW, STEPS, BATCH = 1_000, 500, 96
+#: A larger one is learnt by all tasks: in each of ROUNDS rounds another one in EVERY windows, so that all windows of all
+#: training documents teach, once each; the rate of the first round, and the windows that are worth a task.
+ROUNDS, EVERY, RATE, AT_TASK = 4, 4, 0.008, 20_000
 #: Counts of words that a task holds before it sums them up and hands them on.
 HELD = 600_000
 #: Windows scored in one step: what they take stays in a core's cache.
@@ -150,37 +151,60 @@ class Attention:
 
     def gradients(self, before: np.ndarray, after: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         p = self.p
-        logits, (_, x, q, k, v, s, h) = self.forward(before)
-        logits -= logits.max(axis=2, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(axis=2, keepdims=True)
-        total = weight.sum()
-        loss = -float((np.log(np.take_along_axis(logits, after[..., None], axis=2)[..., 0] + 1e-30) * weight).sum() / total)
-        d = logits
-        np.put_along_axis(d, after[..., None], np.take_along_axis(d, after[..., None], axis=2) - 1, axis=2)
-        d *= (weight / total)[..., None]
+        x = p["embed"][before] + p["place"]
+        q, k, v = x @ p["wq"], x @ p["wk"], x @ p["wv"]
+        s = q @ k.transpose(0, 2, 1)
+        s *= 1 / math.sqrt(WIDTH)
+        s += self.mask
+        s -= s.max(axis=2, keepdims=True)
+        np.exp(s, out=s)
+        s /= s.sum(axis=2, keepdims=True)
+        h = s @ v
+        h += x
         flat = lambda a: a.reshape(-1, a.shape[-1])
-        g = {"out": flat(h).T @ flat(d)}
-        dh = d @ p["out"].T
+        # only places with a weight need classes
+        here = np.flatnonzero(weight)
+        share = weight.reshape(-1)[here] / weight.sum()
+        seen, want, some = before.reshape(-1), after.reshape(-1)[here], flat(h)[here]
+        d = some @ p["out"]
+        d += self.prior.take(seen[here], axis=0)
+        d -= d.max(axis=1, keepdims=True)
+        rows = np.arange(len(here))
+        got = d[rows, want]
+        np.exp(d, out=d)
+        total = d @ np.ones(CLASSES, d.dtype)
+        loss = -float(((got - np.log(total)) * share).sum())
+        d *= (share / total)[:, None]
+        d[rows, want] -= share
+        g = {"out": some.T @ d}
+        dh = np.zeros_like(h)
+        flat(dh)[here] = d @ p["out"].T
         dv = s.transpose(0, 2, 1) @ dh
         ds = dh @ v.transpose(0, 2, 1)
-        ds = s * (ds - (ds * s).sum(axis=2, keepdims=True)) / math.sqrt(WIDTH)
+        ds -= (ds * s).sum(axis=2, keepdims=True)
+        ds *= s
+        ds *= 1 / math.sqrt(WIDTH)
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
         g |= {"wq": flat(x).T @ flat(dq), "wk": flat(x).T @ flat(dk), "wv": flat(x).T @ flat(dv)}
         dx = dh + dq @ p["wq"].T + dk @ p["wk"].T + dv @ p["wv"].T
         g["place"] = dx.sum(axis=0)
         g["embed"] = np.zeros_like(p["embed"])
-        np.add.at(g["embed"], before.reshape(-1), flat(dx))
+        order = np.argsort(seen, kind="stable")
+        first = np.flatnonzero(np.diff(seen[order], prepend=-1))
+        g["embed"][seen[order[first]]] = np.add.reduceat(flat(dx)[order], first)
         return loss, g
 
     def fit(self, before: np.ndarray, after: np.ndarray, weight: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = 0.01) -> list[float]:
-        """Adam over random batches of windows; the losses."""
+        """Adam over batches of windows, all windows in one shuffled order after the other; there are as many steps more as
+        the first order takes. The losses."""
         r = np.random.default_rng(11)
+        steps = max(steps, -(-len(before) // batch))
+        picks = (order[at : at + batch] for _ in iter(int, 1) for order in [r.permutation(len(before))] for at in range(0, len(before), batch))
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
         losses = []
         for t in range(1, steps + 1 if len(before) else 1):
-            pick = r.integers(0, len(before), batch)
+            pick = next(picks)
             loss, g = self.gradients(before[pick], after[pick].astype(np.int64), weight[pick])
             losses.append(loss)
             now = rate * min(1, t / 20) * (1 - 0.9 * t / steps)
@@ -351,18 +375,27 @@ def paired(encoded: DataFrame, classes: Classes) -> np.ndarray:
     return out.reshape(SEEN + 1, OWN)
 
 
+def window_count(encoded: DataFrame) -> tuple[int, int]:
+    """Rows of encoded, and their windows (see windows)."""
+    count = F.greatest(F.lit(1), F.ceil((F.octet_length("ids") / 2 - (WINDOW - STRIDE)) / STRIDE))
+    return tuple(int(x or 0) for x in encoded.agg(F.count(F.lit(1)), F.sum(count)).first())
+
+
 def taught(attention: Attention, encoded: DataFrame, classes: Classes, rounds: int = ROUNDS, every: int = EVERY) -> int:
-    """Train the weights on a share of the windows of all rows of encoded; how many windows that were.
+    """Train the weights on the windows of all rows of encoded, one in `every` in each round; how many windows that were.
+    With as many rounds as `every`, each window teaches once.
 
     In each round each task goes on from the same weights over its own windows; the mean of what the tasks reach,
     weighted by their windows, is where the next round starts. Few sums of weights come to the driver.
     """
     spark, total = encoded.sparkSession, 0
+    # the same rows in each task each round, so that the rounds' windows are different ones
+    encoded = encoded.select("ids").coalesce(max(1, window_count(encoded)[1] // AT_TASK))
     for k in range(rounds):
         shared = spark.sparkContext.broadcast((attention, classes))
-        offset = k * every // rounds
+        offset, rate = k * every // rounds, RATE * (1 - k / rounds)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, offset: int = offset) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, offset: int = offset, rate: float = rate) -> Iterator[pa.RecordBatch]:
             start, classes = shared.value
             mine = Attention(start.prior)
             mine.p = dict(start.p)
@@ -382,7 +415,7 @@ def taught(attention: Attention, encoded: DataFrame, classes: Classes, rounds: i
                 if size:
                     yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
-            if n := mine.learn(chosen()):
+            if n := mine.learn(chosen(), rate):
                 flat = np.concatenate([mine.p[x].reshape(-1) for x in Attention.NAMES]).astype(np.float64) * n
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["n", "w"])
 
@@ -394,7 +427,7 @@ def taught(attention: Attention, encoded: DataFrame, classes: Classes, rounds: i
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([sums.tobytes()], pa.binary())], names=["n", "w"])
 
-        got = encoded.select("ids").mapInArrow(run, "n long, w binary").repartition(SUMS).mapInArrow(added, "n long, w binary").collect()
+        got = encoded.mapInArrow(run, "n long, w binary").repartition(SUMS).mapInArrow(added, "n long, w binary").collect()
         if n := sum(r["n"] for r in got):
             mean, at = sum(np.frombuffer(bytes(r["w"])) for r in got) / n, 0
             for x in Attention.NAMES:
@@ -413,17 +446,13 @@ def _table(counts: DataFrame, kind: int, size: int) -> np.ndarray:
     return out
 
 
-def fitted(docs: DataFrame, tokenizer: str, owner: str, sample: int = SAMPLE, steps: int = STEPS) -> tuple[Model, DataFrame, DataFrame]:
+def fitted(docs: DataFrame, tokenizer: str, owner: str, sample: int = FEW, steps: int = STEPS) -> tuple[Model, DataFrame, DataFrame]:
     """The model, the table of word counts, and the documents with their ids.
 
-    Which ids get classes of their own, and the counts of words, ids and class pairs, come from all training documents.
-    The attention weights start from at most `sample` of them, those of least hash, and go on over a share of the windows
-    of all.
+    Which ids get classes of their own, the counts of words, ids and class pairs, and the attention weights come from all
+    training documents. The weights start at random and learn from every window: on the driver where there are at most
+    `sample` training documents, and no more windows than the steps take, and by all tasks otherwise. Nothing is sampled.
     """
-    is_held = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS) == 0
-    few = few_rows(docs.where(~is_held).select("doc_id", "text"), F.col("doc_id"), sample)
-    ids, ends = _ids(WordEncoder(tokenizer), cut_words(_lower(pa.array([r["text"] or "" for r in few], pa.string()))))
-    sequences = np.split(ids.astype(np.int64), ends[:-1]) if len(ends) else []
     parts = materialize(counted(docs, tokenizer), owner, "parts", spread=True)
     table = materialize(parts.where("kind < 3").groupBy("kind", "key").agg(F.sum("n").alias("n")), owner, "counts")
     counts = _table(table, 1, VOCABULARY)
@@ -442,8 +471,12 @@ def fitted(docs: DataFrame, tokenizer: str, owner: str, sample: int = SAMPLE, st
     share = column / np.bincount(class_of, weights=column, minlength=CLASSES)[class_of]
     within = np.log((joint + 5 * share) / (pairs + 5)[:, class_of]).astype(np.float32)
     attention = Attention(prior)
-    attention.fit(*training_windows(sequences, classes), steps=steps)
-    taught(attention, training, classes)
+    rows, there = window_count(training)
+    if rows <= sample and there <= steps * BATCH:
+        sequences = [np.frombuffer(r["ids"], "<u2").astype(np.int64) for r in training.select("ids").orderBy("ids").collect()]
+        attention.fit(*training_windows(sequences, classes), steps=steps)
+    else:
+        taught(attention, training, classes)
     return Model(classes, attention, within, np.log(seen / column[classes.own])), table.where("kind = 0").select(F.col("key").alias("word"), F.col("n").alias("c")), parts.where("kind = 3").select("doc_id", "held_out", "text", "ids")
 
 
@@ -457,7 +490,7 @@ def least_count(words: DataFrame, most: int) -> int:
     return 1 << k
 
 
-def lm_scores(docs: DataFrame, tokenizer: str | None = None, sample: int = SAMPLE, steps: int = STEPS, frequent: int = FREQUENT, owner: str = "op2") -> DataFrame:
+def lm_scores(docs: DataFrame, tokenizer: str | None = None, sample: int = FEW, steps: int = STEPS, frequent: int = FREQUENT, owner: str = "op2") -> DataFrame:
     """Base and model score of each document: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     Both are log10 probabilities of the whole lower-case text, end included, from models that learn from the documents

@@ -131,6 +131,33 @@ def test_all_training_documents_teach(spark):
     assert few > 0 and many == pytest.approx(2 * few, rel=0.1) and any((model.attention.p[k] != old[k]).any() for k in old)
 
 
+def test_every_training_window_teaches(spark, monkeypatch):
+    """Each window of each training document reaches the weights, on the driver and by tasks."""
+    rows = [(i, f"word{i % 7} of text {i} " * 60) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    taught, met, fit = lm.taught, [], lm.Attention.fit
+
+    def counting(attention, encoded, *rest, **more):
+        met.append(("tasks", taught(attention, encoded, *rest, **more), lm.window_count(encoded)[1]))
+
+    def watching(self, before, after, weight, **more):
+        seen = []
+        plain = self.gradients
+        self.gradients = lambda b, a, w: seen.append((b, a, w)) or plain(b, a, w)
+        fit(self, before, after, weight, **more)
+        got = {x.tobytes() for b, _, _ in seen for x in b}
+        met.append(("driver", sum(x.tobytes() in got for x in before), len(before)))
+        del self.gradients
+
+    monkeypatch.setattr(lm, "taught", counting)
+    monkeypatch.setattr(lm.Attention, "fit", watching)
+    for sample in (1, 100):
+        _, _, encoded = lm.fitted(docs, public_tokenizers.path("word_bpe_49k.json"), "test", sample=sample, steps=40)
+        lengths = np.array([len(r["ids"]) // 2 for r in encoded.where("NOT held_out").collect()])
+        assert met[-1][1] == met[-1][2] == len(lm.windows(lengths)[0])
+    assert [x[0] for x in met] == ["tasks", "driver"]
+
+
 # ---- licences
 
 
