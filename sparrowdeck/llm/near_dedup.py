@@ -240,7 +240,7 @@ RECALL = 0.97
 #: Codes that an average cell may have, and codes of a cell that are compared without an index. A smaller cell takes a
 #: longer key and so more tables: 24 for 200,000 texts, 66 for 12 million.
 CELL, DIRECT = 64, 256
-CODES = "doc_id long, " + ", ".join(f"c{k} long" for k in range(LANES)) + ", size int, s0 long, s1 long, prefix array<long>"
+CODES = "doc_id long, " + ", ".join(f"c{k} long" for k in range(LANES)) + ", size int, s0 long, s1 long, prefix array<long>, parity binary"
 #: Shingles are counted in so many documents, or one in COUNTED_SHARE if that is more, to put the frequent ones last: those
 #: found OFTEN times, at most MOST_FREQUENT. Only how many pairs are compared depends on it, never which are found.
 COUNTED, COUNTED_SHARE, OFTEN, MOST_FREQUENT = 10_000, 64, 4, 200_000
@@ -420,12 +420,18 @@ def prefix(hashes: np.ndarray, similarity: float, frequent: tuple[np.ndarray, np
     return hashes[np.argsort(known, kind="stable")][: len(hashes) - least + 1]  # within a class, by value
 
 
+def parity(hashes: np.ndarray) -> bytes:
+    """512 bits: whether the number of hashes that fall to each is odd. Two sets differ in at least as many hashes as bits."""
+    return np.packbits((np.bincount((hashes >> np.uint64(55)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).tobytes()
+
+
 def _meeting(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """Pairs (u, v, cu, cv, room, n) of sets of different components that share n shingles of their prefixes here, and may
     be similar by their sizes if they share `room` at least (rows come sorted by cell). Every pair of a cell is looked at.
 
     Of the two prefixes, one ends first in the order; what it lacks of the other up to there, its set lacks. So sets share
-    at most what their prefixes do and the rest of that set.
+    at most what their prefixes do and the rest of that set. Pairs whose parity shows that they differ in too many shingles
+    stay behind: that is certain, so no similar pair does.
     """
     names = ["cell", "a", "b", "fp", "size", "rest", "comp"]
 
@@ -436,7 +442,7 @@ def _meeting(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
         n = np.diff(np.append(first, len(pairs)))
         return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in pairs[first].T), pa.array(n)], names=["u", "v", "cu", "cv", "room", "n"])
 
-    def pairs(cell: np.ndarray, a: np.ndarray, b: np.ndarray, fp: np.ndarray, size: np.ndarray, rest: np.ndarray, comp: np.ndarray) -> Iterator[np.ndarray]:
+    def pairs(cell: np.ndarray, a: np.ndarray, b: np.ndarray, fp: np.ndarray, size: np.ndarray, rest: np.ndarray, comp: np.ndarray, bits: np.ndarray) -> Iterator[np.ndarray]:
         begin = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
         counts = np.diff(np.append(begin, len(cell)))
         last = np.repeat(begin + counts, counts)
@@ -447,17 +453,20 @@ def _meeting(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
             y = x + step
             ok = (comp[x] != comp[y]) & (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-6)
             p, q = x[ok], y[ok]
+            least = np.ceil(similarity / (1 + similarity) * (size[p] + size[q]) - 1e-6).astype(np.int64)
+            ok = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype=np.int64) <= size[p] + size[q] - 2 * least
+            p, q, least = p[ok], q[ok], least[ok]
             if len(p):
                 turned = fp[p] < fp[q]
                 p, q = np.where(turned, q, p), np.where(turned, p, q)
-                least = np.ceil(similarity / (1 + similarity) * (size[p] + size[q]) - 1e-6).astype(np.int64)
                 yield np.stack([fp[p], fp[q], comp[p], comp[q], least - np.maximum(rest[p], rest[q])], axis=1)
 
     def whole() -> Iterator[list[np.ndarray]]:
         held: list[list[np.ndarray]] = []
         rows = 0
         for batch in batches:
-            held.append([batch.column(c).to_numpy().astype(np.int64) for c in names])
+            bits = np.frombuffer(b"".join(batch.column("parity").to_pylist()), np.uint64).reshape(-1, 8)
+            held.append([*(batch.column(c).to_numpy().astype(np.int64) for c in names), bits])
             rows += batch.num_rows
             if rows >= TOGETHER:
                 got = [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -483,16 +492,16 @@ def _meeting(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
 def remaining_pairs(sets: DataFrame, similarity: float, hot: int, owner: str) -> DataFrame:
     """(u, v, cu, cv): all pairs of sets of different components that may be similar; none that is similar is missing.
 
-    sets: (fp, comp, size, prefix), one row for each distinct set. Sets that share a shingle of their prefixes meet in its
+    sets: (fp, comp, size, prefix, parity), one row for each distinct set. Sets that share a shingle of their prefixes meet in its
     cell; cells of one component are left, those with more than `hot` sets are dealt out (see salted), where a pair may be
     counted more than once, so that too many pairs go on, never too few.
     """
-    cells = sets.select("fp", "comp", "size", (F.col("size") - F.size("prefix")).alias("rest"), F.explode("prefix").alias("cell"))
+    cells = sets.select("fp", "comp", "size", "parity", (F.col("size") - F.size("prefix")).alias("rest"), F.explode("prefix").alias("cell"))
     alive = cells.groupBy(F.col("cell").alias("k")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("k")
     # tables, so that joins with what is short need no shuffle
     alive = materialize(alive, owner, "alive")
     cells = materialize(cells.join(alive, F.col("cell") == F.col("k"), "left_semi"), owner, "cells")
-    dealt = salted(cells, hot, owner, "size", "rest", "comp")
+    dealt = salted(cells, hot, owner, "size", "rest", "comp", "parity")
     dealt = dealt.repartition(task_count(dealt), "cell", "a", "b").sortWithinPartitions("cell", "a", "b", "fp")
     met = small_batches(dealt).mapInArrow(lambda it: _meeting(it, similarity), "u long, v long, cu long, cv long, room long, n long")
     met = met.groupBy("u", "v", "cu", "cv").agg(F.max("room").alias("room"), F.sum("n").alias("n")).where("n >= room")
@@ -525,7 +534,7 @@ def similar_documents(docs: DataFrame, words: int = WORDS, similarity: float = S
         first = [prefix(s, similarity, shared.value) for s in sets]
         ends = np.cumsum([0, *map(len, first)])
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*first, np.zeros(0, np.uint64)]).view(np.int64)))
-        yield {"doc_id": batch.column("doc_id"), **{f"c{k}": codes[:, k] for k in range(LANES)}, "size": [len(s) for s in sets], "s0": digests[:, 0], "s1": digests[:, 1], "prefix": lists}
+        yield {"doc_id": batch.column("doc_id"), **{f"c{k}": codes[:, k] for k in range(LANES)}, "size": [len(s) for s in sets], "s0": digests[:, 0], "s1": digests[:, 1], "prefix": lists, "parity": [parity(s) for s in sets]}
 
     lanes = [f"c{k}" for k in range(LANES)]
     prints = materialize(map_batches(docs, fingerprints, CODES), owner, "prints", spread=True)
@@ -546,8 +555,8 @@ def similar_documents(docs: DataFrame, words: int = WORDS, similarity: float = S
     known = materialize(known, owner, "known")
     same = [F.col(c) == F.col(f"k_{c}") for c in lanes]
     # equal sets have equal columns but for the id
-    sets = prints.where("size > 0").groupBy("s0", "s1").agg(F.min("doc_id").alias("fp"), *[F.first(c).alias(c) for c in (*lanes, "size", "prefix")])
-    sets = materialize(sets.join(known, same).select("fp", "comp", "size", "prefix"), owner, "distinct")
+    sets = prints.where("size > 0").groupBy("s0", "s1").agg(F.min("doc_id").alias("fp"), *[F.first(c).alias(c) for c in (*lanes, "size", "prefix", "parity")])
+    sets = materialize(sets.join(known, same).select("fp", "comp", "size", "prefix", "parity"), owner, "distinct")
     rest = confirmed(remaining_pairs(sets, similarity, hot, owner), docs, words, similarity, owner)
     joined = components(rest.select(F.col("cu").alias("u"), F.col("cv").alias("v")), owner)
     known = known.join(joined, F.col("comp") == F.col("node"), "left").select(*[f"k_{c}" for c in lanes], F.coalesce("root", "comp").alias("component_id"))

@@ -288,8 +288,8 @@ def test_the_exact_join_alone_finds_every_pair(spark, hot, monkeypatch):
     rows = list({nd.shingle_set(t.encode()).tobytes(): (d, t) for d, t in rows}.values())
     frequent = nd.frequent_shingles(frame(spark, rows), nd.WORDS)
     assert len(frequent[0])
-    sets = [(d, d, len(s := nd.shingle_set(t.encode())), nd.prefix(s, 0.8, frequent).view(np.int64).tolist()) for d, t in rows]
-    sets = spark.createDataFrame(sets, "fp long, comp long, size int, prefix array<long>")
+    sets = [(d, d, len(s := nd.shingle_set(t.encode())), nd.prefix(s, 0.8, frequent).view(np.int64).tolist(), nd.parity(s)) for d, t in rows]
+    sets = spark.createDataFrame(sets, "fp long, comp long, size int, prefix array<long>, parity binary")
     met = nd.remaining_pairs(sets, 0.8, hot, "test")
     got = {(r["u"], r["v"]) for r in nd.confirmed(met, frame(spark, rows), nd.WORDS, 0.8, "test").collect()}
     want = {(max(a, b), min(a, b)) for k, (a, s) in enumerate(rows) for b, t in rows[k + 1 :] if jaccard(s, t) >= 0.8}
