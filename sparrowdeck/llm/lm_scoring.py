@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ROWS, documents, drop_table, materialize, small_batches, to_batch
-from .tokens import WordEncoder, cut_words, split_buffer
+from .tokens import WordEncoder, cut_words, split_buffer, strings
 
 #: One document in so many is held out.
 FOLDS = 10
@@ -34,8 +34,8 @@ FEW, STEPS, BATCH = 1_000, 500, 96
 ROUNDS, EVERY, RATE, AT_TASK = 4, 4, 0.008, 20_000
 #: Counts of words that a task holds before it sums them up and hands them on.
 HELD = 600_000
-#: Windows scored in one step: what they take stays in a core's cache.
-AT_ONCE = 32
+#: Windows scored in one step: few enough for the caches, enough to make few calls.
+AT_ONCE = 64
 #: Sums of weights that a round brings to the driver.
 SUMS = 8
 #: Words whose base score each task keeps in a dictionary, at most; the others are looked up by a join.
@@ -53,6 +53,11 @@ def held_out(doc_id: int | None, folds: int = FOLDS) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds == 0
 
 
+def _sound(sums: np.ndarray) -> bool:
+    """Whether sums of exponentials, of which no maximum was subtracted, are as good as if it had been."""
+    return not len(sums) or bool(sums.max() < math.exp(SAFE) and sums.min() > math.exp(-SAFE))
+
+
 @dataclass
 class Classes:
     """Ids to classes to predict, classes of context and columns of the pair table, by frequency."""
@@ -127,72 +132,120 @@ class Attention:
         added = sum(np.abs(p[x] @ w).max(axis=0) for x in ("embed", "place") for w in (p["out"], p["wv"] @ p["out"])).max()
         return bool(max(scores, added) < SAFE and self.prior.max() <= 0)
 
-    def log_probs(self, before: np.ndarray, after: np.ndarray, first: int = 0, bounded: bool = False) -> np.ndarray:
+    def folded(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(embedding and position with a column more, of ones in their sum, and wq wk' scaled). With these, q k' is
+        (x wq wk') x', and attention weights times x1 give their sum as well: neither k nor v is needed on its own."""
+        p = self.p
+        embed = np.concatenate((p["embed"], np.ones((len(p["embed"]), 1), p["embed"].dtype)), axis=1)
+        return embed, np.pad(p["place"], ((0, 0), (0, 1))), p["wq"] @ p["wk"].T * p["wq"].dtype.type(1 / math.sqrt(WIDTH))
+
+    def log_probs(self, before: np.ndarray, after: np.ndarray, first: int = 0, bounded: bool = False, folded: tuple | None = None) -> np.ndarray:
         """Natural log probability of the class `after` at the places from `first` on. forward(), with fewer passes."""
         p = self.p
-        x = p["embed"][before] + p["place"]
-        q, k = x[:, first:] @ (p["wq"] * np.float32(1 / math.sqrt(WIDTH))), x @ p["wk"]
-        s = q @ k.transpose(0, 2, 1)
+        embed, place, both = folded or self.folded()
+        x1 = embed.take(before.reshape(-1), axis=0).reshape(*before.shape, WIDTH + 1)
+        x1 += place
+        x = x1[:, :, :WIDTH]
+        some = np.ascontiguousarray(x[:, first:]).reshape(-1, WIDTH)
+        s = (some @ both).reshape(len(before), -1, WIDTH) @ x.transpose(0, 2, 1)
         if not bounded:
             s += self.mask[first:]
             s -= s.max(axis=2, keepdims=True)
         np.exp(s, out=s)
         s *= self.causal[first:]
-        h = s @ (x @ p["wv"])
-        h /= s.sum(axis=2, keepdims=True)
-        h += x[:, first:]
-        logits = h.reshape(-1, WIDTH) @ p["out"]
+        h = s @ x1
+        h = (h[:, :, :WIDTH] / h[:, :, WIDTH:]).reshape(-1, WIDTH) @ p["wv"]
+        h += some
+        logits = h @ p["out"]
         logits += self.prior.take(before[:, first:].reshape(-1), axis=0)
         if not bounded:
             logits -= logits.max(axis=1, keepdims=True)
-        got = logits[np.arange(len(logits)), after[:, first:].reshape(-1)]
+        got = logits.reshape(-1).take(np.arange(0, logits.size, CLASSES) + after[:, first:].reshape(-1))
         np.exp(logits, out=logits)
         return (got - np.log(logits @ np.ones(CLASSES, np.float32))).reshape(len(before), -1)
 
     def gradients(self, before: np.ndarray, after: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        p = self.p
-        x = p["embed"][before] + p["place"]
-        q, k, v = x @ p["wq"], x @ p["wk"], x @ p["wv"]
-        s = q @ k.transpose(0, 2, 1)
-        s *= 1 / math.sqrt(WIDTH)
-        s += self.mask
-        s -= s.max(axis=2, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True)
-        h = s @ v
-        h += x
-        flat = lambda a: a.reshape(-1, a.shape[-1])
+        """Loss and its gradients. Windows without a weight at the places that an earlier window scores go on their own,
+        as nothing is asked there."""
+        before, folded, total = before.astype(np.intp), self.folded(), weight.sum()
+        whole = weight[:, : WINDOW - STRIDE].any(axis=1)
+        loss, g, seen, dx = 0.0, {}, [], []
+        for o, first in ((np.flatnonzero(whole), 0), (np.flatnonzero(~whole), WINDOW - STRIDE)):
+            if len(o):
+                one, more, d = self._part(before[o], after[o], weight[o] / total, first, folded)
+                loss += one
+                g = {k: g[k] + x if g else x for k, x in more.items()}
+                seen.append(before[o].reshape(-1))
+                dx.append(d.reshape(-1, WIDTH))
+        p, scale = self.p, 1 / math.sqrt(WIDTH)
+        both = g.pop("both") * p["wq"].dtype.type(scale)
+        cells = (np.concatenate(seen)[:, None] * WIDTH + np.arange(WIDTH)).reshape(-1)
+        embed = np.bincount(cells, np.concatenate(dx).reshape(-1), p["embed"].size).reshape(p["embed"].shape)
+        return loss, g | {"wq": both @ p["wk"], "wk": both.T @ p["wq"], "embed": embed.astype(p["embed"].dtype)}
+
+    def _part(self, before: np.ndarray, after: np.ndarray, share: np.ndarray, first: int, folded: tuple) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+        """Loss, gradients ("both" for wq wk' before it is scaled) and gradient of x of windows without a weight before `first`."""
+        p, n, m = self.p, len(before), WINDOW - first
+        embed, place, both = folded
+        x1 = embed.take(before.reshape(-1), axis=0).reshape(n, WINDOW, WIDTH + 1)
+        x1 += place
+        x = x1[:, :, :WIDTH]
+        asked = np.ascontiguousarray(x[:, first:]).reshape(-1, WIDTH)
+        # below, the gradients of the scores and the exponentials stand one over the other, and what each is multiplied by
+        left = np.empty((n, 2 * m, WINDOW), x1.dtype)
+        right = np.empty((n, 2 * m, WIDTH + 1), x1.dtype)
+        ds, e, q, z = left[:, :m], left[:, m:], right[:, :m, :WIDTH], right[:, m:]
+        q[:] = (asked @ both).reshape(n, m, WIDTH)
+        for plain in (True, False):
+            np.matmul(q, x.transpose(0, 2, 1), out=e)
+            if not plain:
+                e += self.mask[first:]
+                e -= e.max(axis=2, keepdims=True)
+            with np.errstate(over="ignore", invalid="ignore"):
+                np.exp(e, out=e)
+                e *= self.causal[first:]
+                h = e @ x1
+            if _sound(h[:, :, WIDTH]):
+                break
+        r = 1 / h[:, :, WIDTH:]
+        met = h[:, :, :WIDTH] * r
+        h = met.reshape(-1, WIDTH) @ p["wv"]
+        h += asked
         # only places with a weight need classes
-        here = np.flatnonzero(weight)
-        share = weight.reshape(-1)[here] / weight.sum()
-        seen, want, some = before.reshape(-1), after.reshape(-1)[here], flat(h)[here]
-        d = some @ p["out"]
-        d += self.prior.take(seen[here], axis=0)
-        d -= d.max(axis=1, keepdims=True)
-        rows = np.arange(len(here))
-        got = d[rows, want]
-        np.exp(d, out=d)
-        total = d @ np.ones(CLASSES, d.dtype)
+        share = share[:, first:].reshape(-1)
+        here = np.flatnonzero(share)
+        share, want, some = share[here], after[:, first:].reshape(-1)[here], h.take(here, axis=0)
+        for plain in (True, False):
+            d = some @ p["out"]
+            d += self.prior.take(before[:, first:].reshape(-1)[here], axis=0)
+            if not plain:
+                d -= d.max(axis=1, keepdims=True)
+            flat, at = d.reshape(-1), np.arange(0, d.size, CLASSES) + want
+            got = flat[at]
+            with np.errstate(over="ignore", invalid="ignore"):
+                np.exp(d, out=d)
+                total = d @ np.ones(CLASSES, d.dtype)
+            if _sound(total):
+                break
         loss = -float(((got - np.log(total)) * share).sum())
-        d *= (share / total)[:, None]
-        d[rows, want] -= share
-        g = {"out": some.T @ d}
+        flat[at] -= total
+        share = (share / total).astype(d.dtype)[:, None]
         dh = np.zeros_like(h)
-        flat(dh)[here] = d @ p["out"].T
-        dv = s.transpose(0, 2, 1) @ dh
-        ds = dh @ v.transpose(0, 2, 1)
-        ds -= (ds * s).sum(axis=2, keepdims=True)
-        ds *= s
-        ds *= 1 / math.sqrt(WIDTH)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g |= {"wq": flat(x).T @ flat(dq), "wk": flat(x).T @ flat(dk), "wv": flat(x).T @ flat(dv)}
-        dx = dh + dq @ p["wq"].T + dk @ p["wk"].T + dv @ p["wv"].T
+        dh[here] = (d @ p["out"].T) * share
+        some *= share
+        g = {"out": some.T @ d, "wv": met.reshape(-1, WIDTH).T @ dh}
+        dmet = (dh @ p["wv"].T).reshape(n, m, WIDTH)
+        np.multiply(dmet, r, out=z[:, :, :WIDTH])
+        np.negative(np.einsum("abc,abc->ab", z[:, :, :WIDTH], met), out=z[:, :, WIDTH])
+        np.matmul(z, x1.transpose(0, 2, 1), out=ds)
+        ds *= e
+        dq = (ds @ x).reshape(-1, WIDTH)
+        g["both"] = asked.T @ dq
+        dx = left.transpose(0, 2, 1) @ right[:, :, :WIDTH]
+        dh += dq @ both.T
+        dx[:, first:] += dh.reshape(n, m, WIDTH)
         g["place"] = dx.sum(axis=0)
-        g["embed"] = np.zeros_like(p["embed"])
-        order = np.argsort(seen, kind="stable")
-        first = np.flatnonzero(np.diff(seen[order], prepend=-1))
-        g["embed"][seen[order[first]]] = np.add.reduceat(flat(dx)[order], first)
-        return loss, g
+        return loss, g, dx
 
     def fit(self, before: np.ndarray, after: np.ndarray, weight: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = 0.01) -> list[float]:
         """Adam over batches of windows, all windows in one shuffled order after the other; there are as many steps more as
@@ -216,15 +269,26 @@ class Attention:
 
     def learn(self, batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], rate: float = RATE) -> int:
         """Adam over batches of windows, each once; how many windows there were."""
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        s = {k: np.zeros_like(v) for k, v in self.p.items()}
-        n = 0
+        # all weights are parts of one array, so that a step is few operations
+        flat = np.concatenate([self.p[k].reshape(-1) for k in self.NAMES])
+        ends = np.cumsum([self.p[k].size for k in self.NAMES])
+        self.p = {k: x.reshape(self.p[k].shape) for k, x in zip(self.NAMES, np.split(flat, ends[:-1]), strict=True)}
+        m, s, n = np.zeros_like(flat), np.zeros_like(flat), 0
         for t, (before, after, weight) in enumerate(batches, 1):
             _, g = self.gradients(before, after.astype(np.int64), weight)
-            for k, x in g.items():
-                m[k] = 0.9 * m[k] + 0.1 * x
-                s[k] = 0.98 * s[k] + 0.02 * x * x
-                self.p[k] = self.p[k] - (rate * min(1, t / 20) * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.98**t)) + 1e-8)).astype(np.float32)
+            x = np.concatenate([g[k].reshape(-1) for k in self.NAMES]).astype(flat.dtype, copy=False)
+            m *= 0.9
+            m += 0.1 * x
+            x *= x
+            x *= 0.02
+            s *= 0.98
+            s += x
+            np.divide(s, 1 - 0.98**t, out=x)
+            np.sqrt(x, out=x)
+            x += 1e-8
+            np.divide(m, x, out=x)
+            x *= rate * min(1, t / 20) / (1 - 0.9**t)
+            flat -= x
             n += len(before)
         return n
 
@@ -245,23 +309,23 @@ class Model:
     def score_flat(self, flat: np.ndarray, lengths: np.ndarray, at_once: int = AT_ONCE) -> np.ndarray:
         """The same for sequences that stand one after the other; none is empty."""
         begin = np.cumsum(lengths) - lengths
-        previous = np.concatenate(([SEEN], self.classes.seen[flat[:-1]]))
+        # as many more as a window has, so that each window is whole
+        previous = np.full(len(flat) + WINDOW, SEEN, np.intp)
+        previous[1 : len(flat)] = self.classes.seen[flat[:-1]]
         previous[begin] = SEEN
-        total = np.add.reduceat(self.within[previous, self.classes.own[flat]] + self.last[flat], begin, dtype=np.float64)
+        total = np.add.reduceat(self.within.reshape(-1).take(previous[: len(flat)] * OWN + self.classes.own[flat]) + self.last[flat], begin, dtype=np.float64)
         doc, start, first, places = windows(lengths)
-        seen, predicted = self.classes.seen[flat], self.classes.predicted[flat]
+        predicted = np.zeros(len(previous), np.intp)
+        predicted[: len(flat)] = self.classes.predicted[flat]
+        previous, predicted = (np.lib.stride_tricks.sliding_window_view(x, WINDOW) for x in (previous, predicted))
         begins = begin[doc] + start
         step = np.arange(WINDOW)
-        bounded = self.attention.bounded()
+        bounded, folded = self.attention.bounded(), self.attention.folded()
         for skip in (0, WINDOW - STRIDE):
             group = np.flatnonzero(first == skip)
             for at in range(0, len(group), at_once):
                 o = group[at : at + at_once]
-                where = np.minimum(begins[o][:, None] + step, len(flat) - 1)
-                before = seen[np.maximum(where - 1, 0)]
-                if not skip:
-                    before[:, 0] = SEEN
-                got = self.attention.log_probs(before, predicted[where], skip, bounded)
+                got = self.attention.log_probs(previous[begins[o]], predicted[begins[o]], skip, bounded, folded)
                 got[step[skip:] >= places[o][:, None]] = 0
                 total += np.bincount(doc[o], weights=got.sum(axis=1, dtype=np.float64), minlength=len(lengths))
         return total
@@ -532,7 +596,7 @@ def lm_scores(docs: DataFrame, tokenizer: str | None = None, sample: int = FEW,
                     lengths = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // 2
                     scores.append(model.score_flat(np.frombuffer(b"".join(ids.to_pylist()), "<u2").astype(np.int64), lengths) / math.log(10))
                 ends, words, codes, distinct = cut_words(_lower(part.column("text")))
-                known = np.array([top.get(w, np.nan) for w in distinct.to_pylist()], np.float64)[codes]
+                known = np.array([top.get(w, np.nan) for w in strings(distinct)], np.float64)[codes]
                 rare = np.isnan(known)
                 # summed document by document, so a sum does not depend on its neighbours
                 bounds = np.concatenate(([0], ends))

@@ -36,6 +36,11 @@ def cut_words(text: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, pa.Arra
     return before[offsets[1:] - offsets[0]], flat, coded.indices.to_numpy(), coded.dictionary
 
 
+def strings(words: pa.Array) -> list[str]:
+    """to_pylist() of an array of strings, several times as fast."""
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 def split_buffer(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     """A binary array of consecutive parts of `data` that end at these elements."""
     offsets = np.concatenate(([0], ends)).astype(np.int64) * data.itemsize
@@ -141,7 +146,7 @@ class WordEncoder(_Encoder):
         """(ids of the words with these codes, end of each word's ids). Each distinct word is looked up once."""
         if len(self) > self.cache:
             self.clear()
-        got = list(map(self.__getitem__, words.to_pylist()))
+        got = list(map(self.__getitem__, strings(words)))
         lengths = np.fromiter(map(len, got), np.int64, len(got)) // 4
         pool = np.frombuffer(b"".join(got), "<u4")
         each = lengths[codes]

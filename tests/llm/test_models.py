@@ -67,6 +67,50 @@ def test_gradients_against_differences():
         assert (losses[0] - losses[1]) / (2 * step) == pytest.approx(g[k][at], rel=1e-3, abs=1e-7)
 
 
+def plain_gradients(a, before, after, weight):
+    """The model's gradients step by step in 64 bits, every place of every window alike."""
+    p = {k: v.astype(np.float64) for k, v in a.p.items()}
+    x = p["embed"][before] + p["place"]
+    q, k, v = x @ p["wq"], x @ p["wk"], x @ p["wv"]
+    s = q @ k.transpose(0, 2, 1) / math.sqrt(lm.WIDTH) + a.mask
+    s = np.exp(s - s.max(axis=2, keepdims=True))
+    s /= s.sum(axis=2, keepdims=True)
+    h = x + s @ v
+    d = h @ p["out"] + a.prior[before]
+    d = np.exp(d - d.max(axis=2, keepdims=True))
+    d = (d / d.sum(axis=2, keepdims=True) - np.eye(lm.CLASSES)[after]) * (weight / weight.sum())[..., None]
+    dh = d @ p["out"].T
+    ds = dh @ v.transpose(0, 2, 1)
+    ds = s * (ds - (ds * s).sum(axis=2, keepdims=True)) / math.sqrt(lm.WIDTH)
+    dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ dh
+    dx = dh + dq @ p["wq"].T + dk @ p["wk"].T + dv @ p["wv"].T
+    g = {w: np.einsum("abc,abd->cd", x, y) for w, y in (("wq", dq), ("wk", dk), ("wv", dv))}
+    g |= {"out": np.einsum("abc,abd->cd", h, d), "place": dx.sum(axis=0), "embed": np.zeros_like(p["embed"])}
+    np.add.at(g["embed"], before, dx)
+    return g
+
+
+@pytest.mark.parametrize("scale", [1, 60])
+def test_gradients_against_the_plain_ones(scale):
+    """Also where a sum of exponentials would overflow without its maximum."""
+    a, r = small_model(4).attention, np.random.default_rng(5)
+    a.p["wq"] *= scale
+    a.p["out"] *= scale**2
+    before, after, weight = lm.training_windows([r.integers(0, lm.VOCABULARY, n) for n in (1, 300, 32, 40)], small_model().classes)
+    _, got = a.gradients(before, after.astype(np.int64), weight)
+    for k, want in plain_gradients(a, before, after, weight).items():
+        assert np.abs(got[k] - want).max() < 1e-4 * np.abs(want).max()
+
+
+def test_gradients_leave_out_what_nothing_asks(monkeypatch):
+    """Of a window only the places that it scores need classes and weights of what they attend to."""
+    a, r, met, exp = small_model(6).attention, np.random.default_rng(7), [], np.exp
+    before, after, weight = lm.training_windows([r.integers(0, lm.VOCABULARY, 1000)], small_model().classes)
+    monkeypatch.setattr(np, "exp", lambda x, **more: met.append(x.size) or exp(x, **more))
+    a.gradients(before[1:], after[1:].astype(np.int64), weight[1:])
+    assert sum(met) <= lm.STRIDE * (lm.WINDOW + lm.CLASSES) * len(before[1:])
+
+
 def test_probabilities_add_up(spark, sf):
     docs = lm.documents(spark, sf)
     model, _, _ = lm.fitted(docs, public_tokenizers.path("word_bpe_49k.json"), "test", sample=40, steps=20)
